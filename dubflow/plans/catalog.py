@@ -1,0 +1,6 @@
+"""All queries of the engine by name, with their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
