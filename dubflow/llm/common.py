@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch: a few very long texts can't fill a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> None:
@@ -43,7 +44,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # the write's shuffle files go when it ends: what follows reads the table
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

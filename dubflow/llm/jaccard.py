@@ -3,8 +3,8 @@
 Sets are ordered by token hash. Two sets that link share, among the first tokens of both, at least `need` tokens (the
 prefix bound with a required overlap); a set with fewer tokens there that any other set has can't link and goes, which
 leaves only what is close to something. What is left meets in blocks: first under two tokens a set (small tries that
-join most groups), then, for sets that still share enough tokens with another component, under their rarest such tokens,
-as many as the same bound asks for. Inside a block the sets form a trie; a set walks it, sharing the partial overlap of
+join most groups), then, for sets of which other components still have enough tokens, under the rarest of these, as many
+as the prefix bound asks for. Inside a block the sets form a trie; a set walks it, sharing the partial overlap of
 common prefixes, and leaves a subtree when the lengths that remain can't reach the needed overlap or when everything
 below is in its component already. No pair of one component is looked at twice, no list of pairs is made.
 """
@@ -182,8 +182,10 @@ def block_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that links reach, for nodes with links. Alternating large and small stars."""
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    before = None
     while True:
+        stars = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty() and edges.join(edges.select(F.col("b").alias("x")), F.col("a") == F.col("x"), "left_semi").isEmpty()
+        if stars:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).select(F.col("a").alias("u"), "m")
         large = both.join(least, both.a == least.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -191,10 +193,6 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.join(least, large.a == least.u)
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b")))
         edges = materialize(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        before = now
 
 
 def _joined(narrow: DataFrame, full: DataFrame, percent: int, exact: bool) -> DataFrame:
@@ -214,6 +212,51 @@ def _joined(narrow: DataFrame, full: DataFrame, percent: int, exact: bool) -> Da
     return materialize(rows.mapInArrow(lambda it: block_links(it, percent), "a long, b long"), "edges")
 
 
+def _flag(token: np.ndarray, ident: np.ndarray, who: np.ndarray, sure: bool = False) -> Iterator[pa.RecordBatch]:
+    if len(token) < 2 and not sure:
+        return
+    begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    mixed = np.minimum.reduceat(who, begin) != np.maximum.reduceat(who, begin)
+    keep = np.repeat(mixed | sure, np.diff(np.append(begin, len(token))))
+    if keep.any():
+        yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(ident[keep]), pa.array(np.zeros(int(keep.sum()), bool))], names=["token", "id", "hot"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of their tokens, those whose token more than one `who` has; memory is bounded for any token."""
+    kept = None
+    for b in batches:
+        rows = [b.column(i).to_numpy() for i in range(3)]
+        if kept is not None:
+            rows = [np.concatenate(x) for x in zip(kept, rows, strict=True)]
+        if len(rows[0]):
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            yield from _flag(*(x[:last] for x in rows))
+            # of the token that goes on, what is sure to be shared leaves at once, but for a row of each of two sides
+            rows = [x[last:] for x in rows]
+            other = np.flatnonzero(rows[2] != rows[2][0])
+            if len(rows[0]) > 50_000 and len(other):
+                two = np.zeros(len(rows[0]), bool)
+                two[[0, other[0]]] = True
+                yield from _flag(*(x[~two] for x in rows), True)
+                rows = [x[two] for x in rows]
+            kept = rows
+    if kept is not None:
+        yield from _flag(*kept)
+
+
+def shared_tokens(rows: DataFrame, total: int) -> DataFrame:
+    """Distinct (token, id, hot) of the rows (token, id, who) whose token more than one `who` has.
+
+    Tokens that a sample of ids shows to be very common go without a shuffle by token, and are marked hot; at most 20,000.
+    """
+    often = rows.where("pmod(xxhash64(id), 64) = 0").groupBy("token").agg(F.count_distinct("who").alias("c")).where(F.col("c") >= max(8, total // 6400))
+    hot = F.broadcast(often.orderBy(F.desc("c"), "token").limit(20_000).select(F.col("token").alias("t"), F.lit(True).alias("hot")))
+    rows = rows.join(hot, F.col("token") == F.col("t"), "left")
+    spread = rows.where("hot is null").select("token", "id", "who").repartition("token").sortWithinPartitions("token").mapInArrow(_shared, "token long, id long, hot boolean")
+    return spread.unionByName(rows.where("hot").select("token", "id", "hot")).distinct()
+
+
 def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id.
 
@@ -229,44 +272,12 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     classes = materialize(sets.where("n > 0 and doc_id is not null").groupBy("digest", "cls", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "set-classes")
     total = classes.agg(F.sum("copies")).first()[0] or 0
 
-    # tokens that hold a large share of all sets, by a sample of sets: they are shared for sure and need no shuffle
-    often = sets.where(F.expr("pmod(cls, 64) = 0") & F.col("e").isNotNull()).select("cls", F.explode("e").alias("token")).groupBy("token").agg(F.count_distinct("cls").alias("c"))
-    hot = F.broadcast(often.where(F.col("c") >= max(8, total // 64 // 100)).orderBy(F.desc("c"), "token").limit(20_000).select(F.col("token").alias("t"), F.lit(True).alias("hot")))
-    rows = sets.where("e is not null").select("cls", F.explode("e").alias("token")).join(hot, F.col("token") == F.col("t"), "left")
-
-    def shared(batches):
-        kept = None
-        for b in batches:
-            token, cls = b.column(0).to_numpy(), b.column(1).to_numpy()
-            if kept is not None:
-                token, cls = np.concatenate([kept[0], token]), np.concatenate([kept[1], cls])
-            if len(token):
-                last = int(np.searchsorted(token, token[-1]))
-                yield from flag(token[:last], cls[:last])
-                # of the token that goes on, what is sure to be shared leaves at once
-                token, cls = token[last:], cls[last:]
-                if len(token) > 100_000 and (cls != cls[0]).any():
-                    yield from flag(token[1:], cls[1:], True)
-                    token, cls = token[:1], cls[:1]
-                kept = token, cls
-        if kept is not None:
-            yield from flag(*kept)
-
-    def flag(token, cls, sure=False):
-        if len(token) < 2 and not sure:
-            return
-        begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        mixed = np.minimum.reduceat(cls, begin) != np.maximum.reduceat(cls, begin)
-        keep = np.repeat(mixed | sure, np.diff(np.append(begin, len(token))))
-        if keep.any():
-            yield _batch({"token": token[keep], "cls": cls[keep], "hot": np.zeros(int(keep.sum()), bool)}, {"token": pa.int64(), "cls": pa.int64(), "hot": pa.bool_()})
-
-    spread = rows.where("hot is null").select("token", "cls").repartition("token").sortWithinPartitions("token").mapInArrow(shared, "token long, cls long, hot boolean")
-    tokens = materialize(spread.unionByName(rows.where("hot").select("token", "cls", "hot")).distinct(), "shared-tokens")
+    rows = sets.where("e is not null").select(F.explode("e").alias("token"), F.col("cls").alias("id"), F.col("cls").alias("who"))
+    tokens = materialize(shared_tokens(rows, total), "shared-tokens")
 
     least = F.ceil(F.col("n") * percent / 100).cast("long")
     need = F.greatest(F.lit(1), F.floor(least * 6 / 100).cast("int"))
-    close = tokens.groupBy("cls").agg(F.count(F.lit(1)).alias("have")).join(classes.select("cls", "rep", "n"), "cls").where(F.col("have") >= need)
+    close = tokens.groupBy(F.col("id").alias("cls")).agg(F.count(F.lit(1)).alias("have")).join(classes.select("cls", "rep", "n"), "cls").where(F.col("have") >= need)
     close = materialize(close.select("cls", "rep", "n", need.alias("need")), "close-sets")
 
     def whole(batches):
@@ -278,22 +289,39 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     # a repeated id may bring another text: only the set of the class counts
     full = materialize(found.where(F.octet_length("tokens") == 8 * F.col("n")).dropDuplicates(["rep", "cls"]), "full-sets")
 
-    mine = tokens.join(close.select("cls", "rep", "need"), "cls").select("token", "cls", "hot", F.col("rep").alias("id"), "need")
+    mine = tokens.join(close.select("cls", "rep", "need"), F.col("id") == F.col("cls")).select("token", "hot", F.col("rep").alias("id"), "need")
     mine = materialize(mine, "close-tokens")
-    keys = []
-    for k in range(2):
-        keys.append(mine.where("not hot").groupBy("id").agg(F.min_by("token", F.xxhash64("token", F.lit(k))).alias("key")).select("key", "id", F.col("id").alias("comp")))
-    first = _joined(keys[0].unionByName(keys[1]).distinct(), full, percent, exact=False)
+    keys = [mine.where("not hot").groupBy("id").agg(F.min_by("token", F.xxhash64("token", F.lit(k))).alias("key")) for k in range(2)]
+    first = _joined(keys[0].unionByName(keys[1]).distinct().withColumn("comp", F.col("id")), full, percent, exact=False)
     comps = components(first)
 
-    known = mine.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    known = materialize(known, "known-tokens")
+    # sets whose prefix, then whose whole set, has enough tokens that another component has too
+    label = comps.select(F.col("node").alias("id"), "component")
+    known = mine.join(label, "id", "left").withColumn("comp", F.coalesce("component", "id"))
     mixed = known.where("not hot").groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select(F.col("token").alias("t"))
     active = known.where("not hot").join(mixed, F.col("token") == F.col("t"), "left_semi").unionByName(known.where("hot"))
-    active = materialize(active.withColumn("have", F.count(F.lit(1)).over(Window.partitionBy("id"))).where("have >= need"), "active-tokens")
-    freq = active.groupBy("token").agg(F.count(F.lit(1)).alias("f")).select(F.col("token").alias("t"), "f")
-    ordered = active.join(freq, F.col("token") == F.col("t")).groupBy("id", "comp", "need").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("l"))  # a set's own prefix
-    narrow = ordered.select("id", "comp", F.explode(F.slice("l", F.lit(1), F.size("l") - F.col("need") + 1)).alias("x")).select(F.col("x.token").alias("key"), "id", "comp")
+    active = active.groupBy("id", "comp", "need").agg(F.count(F.lit(1)).alias("have")).where("have >= need").select(F.col("id").alias("rep"), "comp")
+    active = full.join(active, "rep").select("rep", "comp", "tokens")
+
+    def exploded(batches):
+        for b in batches:
+            for rep, comp, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                token = np.frombuffer(raw, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.full(len(token), rep)), pa.array(np.full(len(token), comp))], names=["token", "id", "who"])
+
+    wide = shared_tokens(active.mapInArrow(exploded, "token long, id long, who long"), total)
+    wide = materialize(wide.join(label, "id", "left").select("token", "id", F.coalesce("component", "id").alias("comp")), "mixed-tokens")
+    bound = F.ceil(F.col("n") * percent / 100)
+    have = wide.groupBy("id").agg(F.count(F.lit(1)).alias("have")).join(close.select(F.col("rep").alias("id"), "n"), "id").where(F.col("have") >= bound)
+    have = materialize(have.select("id", (F.col("have") - bound + 1).cast("int").alias("most")), "active-sets")
+    wide = wide.join(have, "id")
+    freq = wide.groupBy("token").agg(F.count(F.lit(1)).alias("f")).select(F.col("token").alias("t"), "f")
+    ordered = wide.join(freq, F.col("token") == F.col("t")).groupBy("id", "comp", "most").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("l"))  # a set's own tokens
+    narrow = materialize(ordered.select("id", "comp", F.explode(F.slice("l", F.lit(1), F.col("most"))).alias("x")).select(F.col("x.token").alias("key"), "id", "comp"), "keys")
+    # of blocks with the same sets, one
+    same = narrow.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2"))
+    same = same.where("c > 1").groupBy("c", "h1", "h2").agg(F.min("key").alias("k"))
+    narrow = narrow.join(same.select("k"), F.col("key") == F.col("k"), "left_semi")
     second = _joined(narrow, full, percent, exact=True)
     final = components(first.unionByName(second))
 
