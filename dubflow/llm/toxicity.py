@@ -19,6 +19,8 @@ from dubflow.llm.quality import fold, training_sample
 #: Labelled rows, and evenly spaced windows of each, that the network is fitted on at most. Scoring has no such bounds.
 TRAIN_ROWS, TRAIN_WINDOWS = 4_000, 8
 THRESHOLD = 0.5
+#: Steps of training at least, however few the rows.
+LEAST_STEPS = 160
 WINDOW, STRIDE = 64, 48
 WORDS, NGRAMS, DIM, HIDDEN = 4096, 8192, 16, 8
 CACHE_WORDS = 200_000
@@ -204,6 +206,8 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 4, batch: int = 128, ra
 
     state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     rng, step = np.random.default_rng(seed), 0
+    batch = min(batch, max(16, len(docs) // 8))
+    epochs = max(epochs, -(-LEAST_STEPS * batch // len(docs)))
     for epoch in range(epochs):
         order = rng.permutation(len(docs))
         for i in range(0, len(order), batch):
