@@ -2,5 +2,433 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from dubflow.functions import dims, text
+from dubflow.operators import folds, frames, intervals, islands, signal
+from dubflow.sources.fixtures import CS, EV, conversation_segments, event_segments, table
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+R = lambda c, alias=None: F.round(c, 6).alias(alias or c)
+TEXT_EV = lambda s, d: event_segments(s, d).withColumn("text", F.col("speaker"))
+
+
+@query(f"""WITH {EV}, a AS (SELECT *, speaker AS text, lower(speaker) AS key, row_number() OVER (PARTITION BY media_id, lower(speaker) ORDER BY seq) AS nth FROM ev),
+    b AS (SELECT * FROM a WHERE length(key) <= 3 OR nth <= 4),
+    c AS (SELECT *, CASE WHEN coalesce(key = lag(key) OVER w AND start_s - lag(end_s) OVER w < 5.0, false) THEN 0 ELSE 1 END AS new FROM b WINDOW w AS (PARTITION BY media_id ORDER BY seq)),
+    i AS (SELECT *, sum(new) OVER (PARTITION BY media_id ORDER BY seq) AS island FROM c)
+    SELECT media_id, min(seq) AS seq, round(arg_min(start_s, seq), 6) AS start_s, round(arg_max(end_s, seq), 6) AS end_s, arg_min(text, seq) AS text FROM i GROUP BY media_id, island""")
+def clean_segments(spark: SparkSession, d: str) -> DataFrame:
+    return islands.clean_segments(TEXT_EV(spark, d)).select("media_id", "seq", R("start_s"), R("end_s"), "text")
+
+
+@query(f"""WITH RECURSIVE {CS}, n AS (SELECT *, (seq // 3)::VARCHAR AS who FROM cs),
+    r AS (SELECT media_id, seq, seq AS grp, start_s, end_s, text, who FROM n WHERE seq = 0
+        UNION ALL SELECT n.media_id, n.seq, CASE WHEN m THEN r.grp ELSE n.seq END, CASE WHEN m THEN r.start_s ELSE n.start_s END, n.end_s,
+            CASE WHEN m THEN CASE WHEN trim(r.text, E' \\n') LIKE '%-' OR trim(n.text, E' \\n') LIKE '-%' THEN trim(r.text, E' \\n') || trim(n.text, E' \\n') ELSE trim(r.text, E' \\n') || ' ' || trim(n.text, E' \\n') END ELSE n.text END, n.who
+        FROM r JOIN n ON n.media_id = r.media_id AND n.seq = r.seq + 1, LATERAL (SELECT r.end_s - r.start_s < 40 AND n.start_s - r.end_s < 0.5 AND r.who = n.who AS m))
+    SELECT media_id, grp AS seq, arg_max(start_s, seq) AS start_s, arg_max(end_s, seq) AS end_s, arg_max(text, seq) AS text FROM r GROUP BY media_id, grp""")
+def merge_short_segments(spark: SparkSession, d: str) -> DataFrame:
+    rows = conversation_segments(spark, d).withColumn("speaker", F.expr("cast(seq div 3 as string)"))
+    return folds.merge_short(rows, 40.0, 0.5).select("media_id", "seq", "start_s", "end_s", "text")
+
+
+STAMP = "printf('%02d:%02d:%02d,%03d', {w} // 3600, {w} % 3600 // 60, {w} % 60, trunc(({x} - {w}) * 1000)::INT)"
+
+
+def _stamp(x: str) -> str:
+    return STAMP.format(w=f"floor(round_even({x}, 6))::BIGINT", x=x)
+
+
+@query(f"WITH {EV} SELECT media_id, seq, {_stamp('start_s')} AS stamp FROM ev")
+def srt_timestamp(spark: SparkSession, d: str) -> DataFrame:
+    return event_segments(spark, d).select("media_id", "seq", text.timestamp(F.col("start_s")).alias("stamp"))
+
+
+@query(f"""WITH {CS}, n AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY seq) AS no FROM cs)
+    SELECT media_id, string_agg(no || E'\\n' || {_stamp('start_s')} || ' --> ' || {_stamp('end_s')} || E'\\n' || text || E'\\n\\n', '' ORDER BY seq) AS srt FROM n WHERE trim(text) <> '' GROUP BY media_id""")
+def srt_blocks(spark: SparkSession, d: str) -> DataFrame:
+    rows = conversation_segments(spark, d).withColumn("no", F.row_number().over(islands.in_order())).where(text.strip(F.col("text")) != "")
+    block = text.srt_block(F.col("no"), F.col("start_s"), F.col("end_s"), F.col("text"))
+    return rows.groupBy("media_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", block.alias("b")))), lambda x: x.b), "").alias("srt"))
+
+
+SPEECH = "v AS (SELECT media_id, start_s, end_s, seq FROM ev WHERE speaker = 'error' AND media_id % 5 <> 0)"
+
+
+def _speech(spark: SparkSession, d: str) -> DataFrame:
+    return event_segments(spark, d).where("speaker = 'error' and media_id % 5 <> 0")
+
+
+@query(f"""WITH {EV}, {SPEECH} SELECT media_id, seq FROM ev s WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.media_id = s.media_id)
+    OR EXISTS (SELECT 1 FROM v WHERE v.media_id = s.media_id AND s.start_s < v.end_s AND s.end_s > v.start_s)""")
+def vad_semi_join(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.speech_filter(event_segments(spark, d).select("media_id", "seq", "start_s", "end_s"), _speech(spark, d)).select("media_id", "seq")
+
+
+@query(f"""WITH {EV}, t AS (SELECT * FROM ev WHERE k % 2 = 0), o AS (SELECT s.media_id, s.seq, arg_min(t.speaker, (-(least(s.end_s, t.end_s) - greatest(s.start_s, t.start_s)), t.seq)) AS turn_speaker
+    FROM ev s JOIN t ON s.media_id = t.media_id AND s.start_s < t.end_s AND s.end_s > t.start_s GROUP BY ALL)
+    SELECT media_id, seq, turn_speaker FROM ev LEFT JOIN o USING (media_id, seq)""")
+def overlap_speaker(spark: SparkSession, d: str) -> DataFrame:
+    rows = event_segments(spark, d)
+    return intervals.overlap_speaker(rows.select("media_id", "seq", "start_s", "end_s"), rows.where("k % 2 = 0")).select("media_id", "seq", "turn_speaker")
+
+
+@query(f"""WITH {EV}, w AS (SELECT media_id, seq, start_s + 0.01 AS start_s, start_s + 0.26 AS end_s FROM ev WHERE k % 3 = 1), t AS (SELECT * FROM ev WHERE k % 4 = 0),
+    j AS (SELECT w.media_id, w.seq, t.speaker, t.seq AS ts, greatest(0, least(w.end_s, t.end_s) - greatest(w.start_s, t.start_s)) AS o,
+        CASE WHEN t.start_s >= w.end_s THEN t.start_s - w.end_s ELSE greatest(0, w.start_s - t.end_s) END AS away FROM w LEFT JOIN t USING (media_id))
+    SELECT media_id, seq, coalesce(CASE WHEN max(o) > 0 THEN arg_min(speaker, (-o, ts)) ELSE arg_min(speaker, (away, ts)) END, 'SPEAKER_00') AS turn_speaker FROM j GROUP BY ALL""")
+def word_speaker_nearest(spark: SparkSession, d: str) -> DataFrame:
+    rows = event_segments(spark, d)
+    words = rows.where("k % 3 = 1").select("media_id", "seq", (F.col("start_s") + 0.01).alias("start_s"), (F.col("start_s") + 0.26).alias("end_s"))
+    return intervals.word_speaker(words, rows.where("k % 4 = 0")).select("media_id", "seq", "turn_speaker")
+
+
+@query(f"""WITH {EV}, c AS (SELECT *, CASE WHEN coalesce(speaker = lag(speaker) OVER w, false) THEN 0 ELSE 1 END AS new FROM ev WINDOW w AS (PARTITION BY media_id ORDER BY seq)),
+    i AS (SELECT *, sum(new) OVER (PARTITION BY media_id ORDER BY seq) AS island FROM c)
+    SELECT media_id, island, min(speaker) AS speaker, round(arg_min(start_s, seq), 6) AS start_s, round(arg_max(end_s, seq), 6) AS end_s, trim(string_agg(' ' || speaker, '' ORDER BY seq)) AS text FROM i GROUP BY media_id, island""")
+def speaker_runs(spark: SparkSession, d: str) -> DataFrame:
+    rows = event_segments(spark, d).withColumn("text", F.concat(F.lit(" "), "speaker"))
+    return islands.speaker_runs(rows).select("media_id", "island", "speaker", R("start_s"), R("end_s"), "text")
+
+
+@query(f"""WITH {EV}, q AS (SELECT media_id, quantile_cont(val, 0.3) AS cut FROM ev GROUP BY 1),
+    l AS (SELECT ev.*, ev.seq - 1 - row_number() OVER (PARTITION BY ev.media_id ORDER BY ev.seq) AS run FROM ev JOIN q USING (media_id) WHERE val > cut),
+    r AS (SELECT media_id, run, min(seq - 1) * 0.25::DOUBLE AS a, max(seq) * 0.25::DOUBLE AS z FROM l GROUP BY 1, 2 HAVING max(seq) * 0.25::DOUBLE - min(seq - 1) * 0.25::DOUBLE >= 0.5),
+    n AS (SELECT *, CASE WHEN coalesce(a - lag(z) OVER (PARTITION BY media_id ORDER BY a) < 0.3, false) THEN 0 ELSE 1 END AS new FROM r),
+    i AS (SELECT *, sum(new) OVER (PARTITION BY media_id ORDER BY a) AS island FROM n)
+    SELECT media_id, min(a) AS start_s, max(z) AS end_s FROM i GROUP BY media_id, island""")
+def energy_vad(spark: SparkSession, d: str) -> DataFrame:
+    return islands.energy_speech(event_segments(spark, d).select("media_id", (F.col("seq") - 1).alias("seq"), "val"), 0.25)
+
+
+CLIPS = "clips AS (SELECT media_id, seq, seq * 0.5::DOUBLE AS start_s, val / 100 AS actual_dur, k % 7 <> 0 AS valid FROM ev)"
+
+
+@query(f"""WITH RECURSIVE {EV}, {CLIPS}, n AS (SELECT *, lead(start_s) OVER (PARTITION BY media_id ORDER BY start_s, seq) AS next_s FROM clips),
+    v AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_s, seq) AS i FROM n WHERE valid),
+    r AS (SELECT media_id, 0::BIGINT AS i, 0::BIGINT AS seq, 0.0::DOUBLE AS delay, 0.0::DOUBLE AS prev, 0.0::DOUBLE AS new_start, 0.0::DOUBLE AS final_dur, 1.0::DOUBLE AS ratio FROM (SELECT DISTINCT media_id FROM v)
+        UNION ALL SELECT v.media_id, v.i, v.seq, dl, v.start_s + dl + v.actual_dur / rt, v.start_s + dl, v.actual_dur / rt, rt
+        FROM r JOIN v ON v.media_id = r.media_id AND v.i = r.i + 1,
+            LATERAL (SELECT CASE WHEN v.start_s + r.delay < r.prev THEN least(r.delay + r.prev - (v.start_s + r.delay), 1.5) ELSE r.delay END AS dl),
+            LATERAL (SELECT v.actual_dur / greatest(coalesce(v.next_s + dl, 1000.0) - (v.start_s + dl), 0.5) AS raw),
+            LATERAL (SELECT CASE WHEN v.actual_dur > 0 AND NOT raw BETWEEN 0.9 AND 1.1 THEN least(greatest(raw, 0.8), 1.35) ELSE 1.0 END::DOUBLE AS rt))
+    SELECT media_id, seq, round(new_start, 6) AS new_start, round(final_dur, 6) AS final_dur, round(ratio, 6) AS ratio FROM r WHERE i > 0""")
+def delay_schedule(spark: SparkSession, d: str) -> DataFrame:
+    clips = event_segments(spark, d).select("media_id", "seq", (F.col("seq") * 0.5).alias("start_s"), (F.col("val") / 100).alias("actual_dur"), F.expr("k % 7 <> 0").alias("valid"))
+    return folds.delay_schedule(clips, 1000.0).select("media_id", "seq", R("new_start"), R("final_dur"), R("ratio"))
+
+
+def _cutoff(rows: DataFrame, most: float, *order) -> DataFrame:
+    before = F.sum("dur").over(Window.partitionBy("media_id", "speaker").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("before", F.coalesce(before, F.lit(0.0)))
+
+
+@query(f"""WITH {EV}, e AS (SELECT *, round(val / 10, 3) AS dur FROM ev WHERE round(val / 10, 3) >= 0.5 AND k >= 1),
+    b AS (SELECT *, coalesce(sum(dur) OVER (PARTITION BY media_id, speaker ORDER BY dur DESC, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e)
+    SELECT media_id, speaker, count(*) AS clips, round(sum(dur), 6) AS total FROM b WHERE before < 15 GROUP BY 1, 2 HAVING sum(dur) >= 1""")
+def speaker_profiles_topk(spark: SparkSession, d: str) -> DataFrame:
+    """k / 100 stands for a clip's RMS."""
+    rows = event_segments(spark, d).withColumn("dur", F.round(F.col("val") / 10, 3)).where("dur >= 0.5 and k >= 1")
+    got = _cutoff(rows, 15.0, F.desc("dur"), "seq").where("before < 15").groupBy("media_id", "speaker").agg(F.count(F.lit(1)).alias("clips"), F.sum("dur").alias("total"))
+    return got.where("total >= 1").select("media_id", "speaker", "clips", R("total"))
+
+
+@query(f"""WITH {EV}, e AS (SELECT *, round(val / 10, 3) AS dur, 65 + k * 2.35 AS f0 FROM ev),
+    b AS (SELECT *, coalesce(sum(dur) OVER (PARTITION BY media_id, speaker ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e)
+    SELECT media_id, speaker, CASE WHEN avg(f0) > 160 THEN 'Female' ELSE 'Male' END AS gender FROM b WHERE before <= 20 GROUP BY 1, 2""")
+def gender_cutoff(spark: SparkSession, d: str) -> DataFrame:
+    rows = event_segments(spark, d).withColumn("dur", F.round(F.col("val") / 10, 3)).withColumn("f0", 65 + F.col("k") * 2.35)
+    return _cutoff(rows, 20.0, "seq").where("before <= 20").groupBy("media_id", "speaker").agg(F.when(F.avg("f0") > 160, "Female").otherwise("Male").alias("gender"))
+
+
+@query(f"WITH {EV} SELECT media_id, round(sqrt(avg(val * val)), 6) AS rms, round(var_pop(val), 6) AS variance, sqrt(avg(val * val)) >= 0.02 AND var_pop(val) >= 1e-5 AS ok FROM ev WHERE seq <= 40 GROUP BY 1")
+def reference_rms_valid(spark: SparkSession, d: str) -> DataFrame:
+    return signal.rms_valid(event_segments(spark, d).where("seq <= 40")).select("media_id", R("rms"), R("variance"), "ok")
+
+
+@query(f"""WITH {EV}, f AS (SELECT media_id, speaker, min(seq) AS first FROM ev GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY first) AS i FROM f)
+    SELECT media_id, seq::BIGINT AS seq, speaker, CASE WHEN i <= 3 THEN ['a', 'b', 'c'][i] ELSE ['a', 'b', 'c'][1 + 3 % 3] END AS voice FROM ev JOIN n USING (media_id, speaker)""")
+def voice_assignment(spark: SparkSession, d: str) -> DataFrame:
+    return folds.assign_voices(event_segments(spark, d), ["a", "b", "c"])
+
+
+@query(f"WITH {EV} SELECT media_id, seq, ['en-US-AriaNeural', 'en-US-JennyNeural', 'en-GB-SoniaNeural'][1 + k % 3] AS voice FROM ev")
+def voice_modulo(spark: SparkSession, d: str) -> DataFrame:
+    rows = event_segments(spark, d).withColumn("voices", dims.gender_voices(F.lit("xx"), F.lit("Female"))).withColumn("who", F.concat(F.lit("SPEAKER_"), "k"))
+    number = F.substring_index("who", "_", -1).try_cast("int")
+    return rows.select("media_id", "seq", F.get("voices", F.coalesce(F.pmod(number, F.size("voices")), F.lit(0))).alias("voice"))
+
+
+@query(f"""WITH RECURSIVE {EV}, e AS (SELECT media_id, seq, CASE WHEN k % 5 = 0 THEN NULL ELSE speaker END AS speaker, CASE WHEN k % 3 = 0 THEN 'ref' || seq END AS ref FROM ev),
+    r AS (SELECT media_id, 0 AS seq, NULL::VARCHAR AS speaker, NULL::VARCHAR AS used, NULL::VARCHAR AS last, MAP {{}}::MAP(VARCHAR, VARCHAR) AS by FROM (SELECT DISTINCT media_id FROM e)
+        UNION ALL SELECT e.media_id, e.seq, e.speaker, u, CASE WHEN e.ref IS NOT NULL OR e.speaker IS NULL OR r.by[e.speaker] IS NULL THEN u ELSE r.last END,
+            CASE WHEN e.speaker IS NULL THEN r.by ELSE map_concat(r.by, MAP {{e.speaker: u}}) END
+        FROM r JOIN e ON e.media_id = r.media_id AND e.seq = r.seq + 1, LATERAL (SELECT coalesce(e.ref, CASE WHEN e.speaker IS NULL THEN r.last ELSE r.by[e.speaker] END, 'clip' || e.media_id) AS u))
+    SELECT media_id, seq::BIGINT AS seq, speaker, used FROM r WHERE seq > 0""")
+def reference_fallback(spark: SparkSession, d: str) -> DataFrame:
+    rows = event_segments(spark, d).select("media_id", "seq", F.expr("if(k % 5 = 0, null, speaker)").alias("speaker"), F.expr("if(k % 3 = 0, concat('ref', seq), null)").alias("ref"))
+    return folds.reference_fallback(rows, F.concat(F.lit("clip"), "media_id"))
+
+
+CACHE = "cache AS (SELECT DISTINCT lang, trim(text, E' \\n') AS text, '<' || left(trim(text, E' \\n'), 20) || '>' AS translated FROM documents WHERE doc_id % 2 = 0)"
+
+
+def _cache(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents").withColumn("key", F.regexp_replace("text", "^[ \n]+|[ \n]+$", ""))
+    hit = docs.where("doc_id % 2 = 0").select(F.col("lang").alias("l"), F.col("key").alias("t"), F.concat(F.lit("<"), F.substring("key", 1, 20), F.lit(">")).alias("translated")).distinct()
+    return docs, hit
+
+
+@query(f"WITH {CACHE} SELECT doc_id, coalesce(translated, 'model:' || d.lang) AS translated FROM documents d LEFT JOIN cache c ON c.lang = d.lang AND c.text = trim(d.text, E' \\n')")
+def translation_cache_join(spark: SparkSession, d: str) -> DataFrame:
+    docs, hit = _cache(spark, d)
+    return docs.join(hit, (F.col("lang") == F.col("l")) & (F.col("key") == F.col("t")), "left").select("doc_id", F.coalesce("translated", F.concat(F.lit("model:"), "lang")).alias("translated"))
+
+
+@query(f"WITH {CACHE} SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM cache c WHERE c.lang = d.lang AND c.text = trim(d.text, E' \\n'))")
+def cache_misses(spark: SparkSession, d: str) -> DataFrame:
+    docs, hit = _cache(spark, d)
+    return docs.join(hit, (F.col("lang") == F.col("l")) & (F.col("key") == F.col("t")), "left_anti").select("doc_id")
+
+
+LANGS = "langs(name, code, pos) AS (VALUES " + ", ".join(f"('{n}', '{c}', {k})" for k, (n, c) in enumerate(dims.LANGUAGES)) + ")"
+VOICES = "voices(code, voice) AS (VALUES " + ", ".join(f"('{c}', '{v}')" for c, (a, b) in dims.VOICES.items() for v in a + b) + ")"
+NAMED = "CASE doc_id % 4 WHEN 0 THEN lang WHEN 1 THEN 'French' WHEN 2 THEN 'Chinese (Simplified)' ELSE 'InvalidLang' END"
+
+
+@query(f"WITH {LANGS}, n AS (SELECT doc_id, {NAMED} AS name FROM documents) SELECT doc_id, CASE WHEN name IN (SELECT code FROM langs) THEN name ELSE coalesce((SELECT code FROM langs l WHERE l.name = n.name), 'en') END AS code FROM n")
+def language_code(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", dims.language_code(F.expr(NAMED)).alias("code"))
+
+
+@query(f"WITH {LANGS}, f AS (SELECT code, arg_min(name, pos) AS name FROM langs GROUP BY 1) SELECT doc_id, coalesce(name, 'English') AS name FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'zh' WHEN doc_id % 3 = 1 THEN 'xx' ELSE lang END AS code FROM documents) LEFT JOIN f USING (code)")
+def language_name(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", dims.language_name(F.expr("CASE WHEN doc_id % 3 = 0 THEN 'zh' WHEN doc_id % 3 = 1 THEN 'xx' ELSE lang END")).alias("name"))
+
+
+@query(f"WITH {VOICES} SELECT doc_id, coalesce(v, '') AS voices FROM documents LEFT JOIN (SELECT code, string_agg(voice, ',' ORDER BY voice) AS v FROM voices GROUP BY 1) ON code = lang")
+def available_voices(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.array_join(dims.available_voices(F.col("lang")), ",").alias("voices"))
+
+
+NAMES = f"{LANGS}, f AS (SELECT code, arg_min(name, pos) AS name FROM langs GROUP BY 1)"
+
+
+@query(f"""WITH {NAMES} SELECT doc_id, '<|begin_of_text|><|start_header_id|>system<|end_header_id|>' || E'\\n\\n' || 'You are a professional video translator. Translate the user''s text accurately, preserving tone and style. Do not add any explanations.'
+    || CASE WHEN doc_id % 2 = 0 THEN E'\\nContext (Previous Line): ' || source ELSE '' END || '<|eot_id|><|start_header_id|>user<|end_header_id|>' || E'\\n\\n' || 'Translate from ' || name || ' to French:' || E'\\n\\n' || text || '<|eot_id|><|start_header_id|>assistant<|end_header_id|>' || E'\\n\\n' AS prompt
+    FROM documents JOIN f ON code = lang""")
+def prompt_llama(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.prompt("llama", F.col("text"), F.col("lang"), F.lit("fr"), F.expr("if(doc_id % 2 = 0, source, null)")).alias("prompt"))
+
+
+@query(f"WITH {NAMES} SELECT doc_id, 'Translate this from ' || name || ' to French:' || E'\\n' || name || ': ' || text || E'\\nFrench:' AS prompt FROM documents JOIN f ON code = lang")
+def prompt_alma(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.prompt("alma", F.col("text"), F.col("lang"), F.lit("fr")).alias("prompt"))
+
+
+@query(f"WITH {NAMES} SELECT doc_id, E'<|user|>\\nTranslate from ' || name || ' to French:' || E'\\n' || text || E'\\n<|assistant|>\\n' AS prompt FROM documents JOIN f ON code = lang")
+def prompt_default(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.prompt("default", F.col("text"), F.col("lang"), F.lit("fr")).alias("prompt"))
+
+
+@query("""WITH c AS (SELECT doc_id, text, trim(regexp_replace(regexp_replace(text, '[\\x00-\\x1f\\x7f-\\x{9f}]', '', 'g'), ' +', ' ', 'g')) AS t FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN ' ! ' ELSE left(text, 400) END AS text FROM documents))
+    SELECT doc_id, CASE WHEN length(trim(text)) >= 2 AND t <> '' AND regexp_matches(text, '[a-zA-Z0-9]') THEN t END AS clean FROM c""")
+def sanitize_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.sanitize(F.expr("if(doc_id % 10 = 0, ' ! ', left(text, 400))")).alias("clean"))
+
+
+@query(f"WITH {EV} SELECT media_id, coalesce(string_agg(speaker, ' ' ORDER BY seq) FILTER (k / 100.0 >= 0.6), 'kept ' || media_id) AS text, count(*) FILTER (k / 100.0 >= 0.6) AS words FROM ev GROUP BY 1")
+def confidence_filter(spark: SparkSession, d: str) -> DataFrame:
+    words = event_segments(spark, d).groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("speaker").alias("word"), (F.col("k") / 100).alias("p")))).alias("words"))
+    kept = F.filter("words", lambda w: F.coalesce(w.p, F.lit(1.0)) >= 0.6)
+    return words.select("media_id", F.when(F.size(kept) > 0, text.strip(F.array_join(F.transform(kept, lambda w: w.word), " "))).otherwise(F.concat(F.lit("kept "), "media_id")).alias("text"), F.size(kept).cast("long").alias("words"))
+
+
+@query(f"""WITH {EV}, f AS (SELECT media_id, seq - 1 AS frame, speaker, k FROM ev), d AS (SELECT media_id, frame, CASE WHEN k % 9 = 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN k % 4 = 0 THEN NULL ELSE speaker END AS text FROM f WHERE frame % 5 = 0),
+    g AS (SELECT *, count(*) FILTER (status <> 'error') OVER (PARTITION BY media_id ORDER BY frame) AS n FROM d), h AS (SELECT media_id, frame, first_value(CASE WHEN status <> 'error' THEN text END) OVER (PARTITION BY media_id, n ORDER BY frame) AS held, n FROM g)
+    SELECT f.media_id, f.frame::INT AS frame, CASE WHEN n > 0 THEN held END AS held FROM f LEFT JOIN h ON h.media_id = f.media_id AND h.frame = f.frame - f.frame % 5""")
+def ocr_hold(spark: SparkSession, d: str) -> DataFrame:
+    f = event_segments(spark, d).select("media_id", (F.col("seq") - 1).alias("frame"), "speaker", "k")
+    found = f.where("frame % 5 = 0").select("media_id", "frame", F.expr("if(k % 9 = 0, 'error', 'ok')").alias("status"), F.expr("if(k % 4 = 0, null, speaker)").alias("text"))
+    return frames.held_detection(f.select("media_id", "frame"), found, 5)
+
+
+@query(f"WITH {EV} SELECT media_id, seq, k / 100.0::DOUBLE AS conf FROM ev WHERE coalesce(k / 100.0::DOUBLE, 1.0) >= 0.4")
+def ocr_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return event_segments(spark, d).withColumn("conf", F.col("k") / 100).where(F.coalesce("conf", F.lit(1.0)) >= 0.4).select("media_id", "seq", "conf")
+
+
+FILLED = """b AS (SELECT media_id, seq - 1 AS frame, CASE WHEN k % 3 <> 0 THEN k END AS x1 FROM ev), f AS (SELECT media_id, frame, coalesce(last_value(x1 IGNORE NULLS) OVER (PARTITION BY media_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    first_value(x1 IGNORE NULLS) OVER (PARTITION BY media_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS x1 FROM b)"""
+
+
+def _boxes(spark: SparkSession, d: str) -> DataFrame:
+    return event_segments(spark, d).select("media_id", (F.col("seq") - 1).alias("frame"), F.expr("if(k % 3 <> 0, k, null)").alias("x1"))
+
+
+@query(f"WITH {EV}, {FILLED} SELECT media_id, frame::INT AS frame, trunc(avg(x1) OVER (PARTITION BY media_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))::INT AS x1 FROM f")
+def box_smooth(spark: SparkSession, d: str) -> DataFrame:
+    return frames.smooth(_boxes(spark, d), "x1")
+
+
+@query(f"WITH {EV}, {FILLED} SELECT media_id, frame::INT AS frame, x1 FROM f")
+def box_fill(spark: SparkSession, d: str) -> DataFrame:
+    return frames.fill(_boxes(spark, d), "x1")
+
+
+@query(f"WITH {EV} SELECT media_id, seq, floor(start_s / 300)::BIGINT AS chunk, round(start_s - floor(start_s / 300) * 300, 6) AS local_s FROM ev")
+def chunk_assign(spark: SparkSession, d: str) -> DataFrame:
+    chunk = F.floor(F.col("start_s") / 300)
+    return event_segments(spark, d).select("media_id", "seq", chunk.alias("chunk"), F.round(F.col("start_s") - chunk * 300, 6).alias("local_s"))
+
+
+@query(f"WITH {CS} SELECT media_id, seq, coalesce(sum(end_s - start_s) OVER (PARTITION BY media_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS offset_s FROM cs")
+def chunk_offsets(spark: SparkSession, d: str) -> DataFrame:
+    before = F.sum(F.col("end_s") - F.col("start_s")).over(islands.in_order().rowsBetween(Window.unboundedPreceding, -1))
+    return conversation_segments(spark, d).select("media_id", "seq", F.coalesce(before, F.lit(0.0)).alias("offset_s"))
+
+
+@query(f"WITH {CS} SELECT media_id, max(end_s) > 1.5 * 60 AS chunked FROM cs GROUP BY 1")
+def should_chunk(spark: SparkSession, d: str) -> DataFrame:
+    return conversation_segments(spark, d).groupBy("media_id").agg(F.coalesce(F.max("end_s") > 1.5 * 60, F.lit(False)).alias("chunked"))
+
+
+SAMPLES = "s AS (SELECT media_id, seq - 1 AS idx, val FROM ev)"
+
+
+def _samples(spark: SparkSession, d: str) -> DataFrame:
+    return event_segments(spark, d).select("media_id", (F.col("seq") - 1).alias("idx"), "val")
+
+
+@query(f"""WITH {EV}, {SAMPLES}, w AS (SELECT s.*, unnest(range(greatest(0, ceil((idx - 9) / 9.0))::BIGINT, (idx // 9)::BIGINT + 1)) AS win FROM s),
+    x AS (SELECT *, least(1.0, (idx - win * 9) / 2.0::DOUBLE, (9 - (idx - win * 9)) / 2.0::DOUBLE) AS wt FROM w)
+    SELECT media_id, idx::INT AS idx, round(sum(wt * val) / (sum(wt) + 1e-8), 6) AS val FROM x GROUP BY 1, 2""")
+def overlap_add(spark: SparkSession, d: str) -> DataFrame:
+    return signal.overlap_add(_samples(spark, d), 10, 9, 2).select("media_id", "idx", R("val"))
+
+
+@query("SELECT n_nationkey AS n, i::INT AS i, round(i / greatest(1, n_nationkey - 1)::DOUBLE, 6) AS w FROM (SELECT n_nationkey, unnest(range(n_nationkey)) AS i FROM nation)")
+def crossfade_window(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    weights = F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: i / F.greatest(F.lit(1), n - 1))
+    return table(spark, d, "nation").where("n_nationkey > 0").select(n.alias("n"), F.posexplode(weights).alias("i", "w")).select("n", "i", R("w"))
+
+
+@query(f"""WITH {EV}, a AS (SELECT media_id, seq - 1 AS idx, val / 100 AS v FROM ev WHERE speaker <> 'error'), b AS (SELECT media_id, seq + 1 AS idx, val / 200 AS b FROM ev WHERE k % 2 = 0),
+    m AS (SELECT coalesce(a.media_id, b.media_id) AS media_id, coalesce(a.idx, b.idx) AS idx, coalesce(v, 0) * 1.0 + coalesce(b, 0) * 0.8 AS val FROM a FULL JOIN b ON a.media_id = b.media_id AND a.idx = b.idx),
+    p AS (SELECT *, max(abs(val)) OVER (PARTITION BY media_id) AS peak FROM m) SELECT media_id, idx::INT AS idx, round(CASE WHEN peak > 0.95 THEN val * (0.95 / peak) ELSE val END, 6) AS val FROM p""")
+def mix_tracks(spark: SparkSession, d: str) -> DataFrame:
+    ev = event_segments(spark, d)
+    a = ev.where("speaker <> 'error'").select("media_id", (F.col("seq") - 1).alias("idx"), (F.col("val") / 100).alias("val"))
+    b = ev.where("k % 2 = 0").select("media_id", (F.col("seq") + 1).alias("idx"), (F.col("val") / 200).alias("val"))
+    return signal.mix(a, b).select("media_id", "idx", R("val"))
+
+
+@query(f"WITH {EV}, p AS (SELECT *, max(abs(val)) OVER (PARTITION BY media_id) AS peak FROM ev) SELECT media_id, seq - 1 AS idx, round(CASE WHEN peak > 0.95 THEN val * (0.95 / peak) ELSE val END, 6) AS val FROM p")
+def peak_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return signal.peak_normalize(_samples(spark, d)).select("media_id", "idx", R("val"))
+
+
+@query(f"WITH {EV} SELECT media_id, (seq // 4 * 3 + seq % 4)::INT AS idx, round(sum(val), 6) AS val FROM ev GROUP BY 1, 2")
+def canvas_sum(spark: SparkSession, d: str) -> DataFrame:
+    clips = event_segments(spark, d).select("media_id", F.expr("int(seq div 4)").alias("clip"), F.expr("seq % 4").alias("idx"), "val")
+    return signal.canvas_sum(clips, F.col("clip") * 3).select("media_id", "idx", R("val"))
+
+
+@query(f"WITH {EV} SELECT media_id, seq - 1 AS idx, round(val - coalesce(0.97 * lag(val) OVER (PARTITION BY media_id ORDER BY seq), 0), 6) AS val FROM ev")
+def preemphasis(spark: SparkSession, d: str) -> DataFrame:
+    return signal.preemphasis(_samples(spark, d)).select("media_id", "idx", R("val"))
+
+
+@query(f"WITH {EV} SELECT media_id, seq, round(least(greatest((val * 3 - 150 + 100) / 100, 0), 1), 6) AS val FROM ev")
+def mel_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return event_segments(spark, d).select("media_id", "seq", F.round(signal.mel_normalize(F.col("val") * 3 - 150), 6).alias("val"))
+
+
+@query(f"WITH {EV} SELECT media_id, (seq - 1)::INT AS frame, ((seq - 1) * 80.0::DOUBLE / 25)::BIGINT + 0 * k AS mel FROM ev WHERE (seq - 1) * 80 % 25 * 2 < 25")
+def mel_window_index(spark: SparkSession, d: str) -> DataFrame:
+    rows = event_segments(spark, d).where("(seq - 1) * 80 % 25 * 2 < 25").withColumn("frame", F.col("seq") - 1)
+    return rows.select("media_id", "frame", (F.col("frame") * 80.0 / 25).cast("long").alias("mel"))
+
+
+def points():
+    """21 keypoints of three coordinates from an embedding."""
+    return F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.slice("embedding", i * 3 + 1, 3))
+
+
+@query("SELECT vec_id, round(abs(embedding[19 * 3 + 2]::DOUBLE - embedding[18 * 3 + 2]::DOUBLE), 5) AS lip FROM embeddings")
+def lip_open(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    return rows.select("vec_id", F.round(frames.lip_open(points()), 5).alias("lip"))
+
+
+@query("SELECT vec_id, p::INT AS p, round(CASE WHEN p BETWEEN 17 AND 20 THEN x + 0.8::DOUBLE * (0.5 - x) ELSE x END, 5) AS x FROM (SELECT vec_id, p, embedding[p * 3 + 1]::DOUBLE AS x FROM embeddings, range(21) t(p))")
+def lip_transfer(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    driving = F.transform(points(), lambda p: F.transform(p, lambda _: F.lit(0.5)))
+    return rows.select("vec_id", F.posexplode(frames.lip_transfer(points(), driving)).alias("p", "v")).select("vec_id", "p", F.round(F.get("v", F.lit(0)), 5).alias("x"))
+
+
+@query(f"WITH {EV} SELECT media_id, seq // 4 AS frame, arg_max(seq, (k, seq)) AS pos, max(k) AS area FROM ev GROUP BY 1, 2")
+def largest_box(spark: SparkSession, d: str) -> DataFrame:
+    boxes = event_segments(spark, d).select("media_id", F.expr("int(seq div 4)").alias("frame"), F.col("seq").alias("pos"), "k")
+    return frames.largest(boxes, F.col("k"))
+
+
+@query(f"WITH {EV} SELECT media_id, seq, round(start_s, 3) AS start_s, round(round(start_s, 3) + round(val, 3), 3) AS end_s, speaker FROM ev WHERE k % 10 <> 0")
+def rttm_parse(spark: SparkSession, d: str) -> DataFrame:
+    from dubflow.sources.formats import parse_rttm
+
+    lines = event_segments(spark, d).select("media_id", "seq", F.when(F.expr("k % 10 = 0"), F.lit(";; comment")).otherwise(F.concat_ws("  ", F.lit("SPEAKER f 1"), F.round("start_s", 3), F.round("val", 3), F.lit("<NA> <NA>"), "speaker", F.lit("<NA> <NA>"))).alias("value"))
+    return parse_rttm(lines).select("media_id", "seq", "start_s", F.round("end_s", 3).alias("end_s"), "speaker")
+
+
+@query(f"WITH {EV} SELECT media_id, seq, CASE WHEN k % 4 <> 0 THEN k END AS n FROM ev")
+def worker_json(spark: SparkSession, d: str) -> DataFrame:
+    from dubflow.sources.formats import worker_payload
+
+    out = F.when(F.expr("k % 4 = 0"), F.lit("crashed")).otherwise(F.concat(F.lit("log\n<<<<JSON>>>>{\"n\":\n"), "k", F.lit("}<<<<ENDJSON>>>> bye")))
+    return event_segments(spark, d).select("media_id", "seq", worker_payload(out, "n int").n.alias("n"))
+
+
+@query(f"WITH {CS} SELECT media_id, seq, lag(text) OVER (PARTITION BY media_id ORDER BY seq) AS previous FROM cs")
+def context_prev(spark: SparkSession, d: str) -> DataFrame:
+    return conversation_segments(spark, d).select("media_id", "seq", F.lag("text").over(islands.in_order()).alias("previous"))
+
+
+@query(f"WITH {EV} SELECT media_id, seq, CASE WHEN k = 0 THEN 'Calculating...' WHEN x < 60 THEN '~' || trunc(x)::BIGINT || 's remaining' ELSE '~' || trunc(x / 60)::BIGINT || 'm remaining' END AS eta FROM (SELECT *, val / (k / 100.0::DOUBLE) - val AS x FROM ev)")
+def eta_text(spark: SparkSession, d: str) -> DataFrame:
+    return event_segments(spark, d).select("media_id", "seq", text.eta(F.col("k") / F.lit(100.0), F.col("val")).alias("eta"))
+
+
+@query("SELECT doc_id, round(greatest(0.5, least(0.3 * len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')), 5.0))::DOUBLE, 6) AS seconds FROM documents")
+def dummy_duration(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.round(text.dummy_duration(F.col("text")), 6).alias("seconds"))
+
+
+@query()
+def cluster_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").select((F.col("vec_id") % 5).alias("media_id"), F.col("vec_id").alias("seq"), F.col("embedding").alias("vector"))
+    return signal.cluster_embeddings(rows)
+
+
+@query()
+def streamed_chunks(spark: SparkSession, d: str) -> DataFrame:
+    from dubflow.streaming.chunks import stream_chunk_counts
+
+    return stream_chunk_counts(spark, f"{d}/events.parquet")
