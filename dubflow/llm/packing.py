@@ -23,11 +23,13 @@ from dubflow.llm.common import materialize, prepare
 
 MAX_TOKENS, END_ID = 4096, 1
 #: Distinct words that a worker remembers; ranks are counted in groups of about so many rows.
-CACHE_WORDS, RANK_ROWS = 300_000, 5_000
+CACHE_WORDS, RANK_ROWS = 400_000, 5_000
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: White space as the tokenizer's own patterns have it (str.split() also splits at 1C-1F).
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+#: The pre-tokenizer's pattern: a fixed value of the tokenizer file.
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ODD = re.compile("[\x1c-\x1f]")
 
 
@@ -35,26 +37,64 @@ class WordTokenizer:
     """Ids of a text as the tokenizer file gives them, word by word: its pre-tokenizer never joins across white space."""
 
     def __init__(self, path: str) -> None:
+        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a piece of the pre-tokenizer
+        self.closes[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
+        self.split = regex.compile(PIECE)
         self.known: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str]:
         return [w for w in SPACE.split(text) if w] if ODD.search(text) else text.split()
 
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words. Latin-1 words are cut as the pre-tokenizer cuts them, and new parts encoded many to a call."""
+        plain = [w for w in words if max(w) <= "\xff" and "<|" not in w and not ODD.search(w)]
+        rest = list(set(words).difference(plain)) if len(plain) < len(words) else []
+        for i in range(0, len(rest), 20_000):
+            self.known.update(zip(rest[i : i + 20_000], self._each(rest[i : i + 20_000]), strict=True))
+        cut = [self.split.findall(w.lower()) for w in plain]
+        if len(self.parts) > CACHE_WORDS:
+            self.parts = {}
+        parts = self.parts
+        new = list({p for ps in cut for p in ps if p not in parts})
+        groups = [new[i : i + 100] for i in range(0, len(new), 100)]
+        for i in range(0, len(groups), 100):
+            some = groups[i : i + 100]
+            for group, e in zip(some, self.tokenizer.encode_batch_fast([" ".join(g) for g in some], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                ends = np.flatnonzero(self.closes[ids]) + 1
+                if len(ends) == len(group):
+                    raw, at = ids.tobytes(), 0
+                    for p, end in zip(group, (4 * ends).tolist(), strict=True):
+                        parts[p] = raw[at:end]
+                        at = end
+                else:
+                    parts.update(zip(group, self._each(group), strict=True))
+        for w, ps in zip(plain, cut, strict=True):
+            self.known[w] = parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps])
+
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [self.words(t) for t in texts]
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = list({w for words in split for w in words if w not in known})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.earlier = {}, self.known
+        known, earlier, new = self.known, self.earlier, []
+        for w in {w for words in split for w in words if w not in known}:
+            if (ids := earlier.get(w)) is not None:
+                known[w] = ids
+            else:
+                new.append(w)
+        self._learn(new)
         for words in split:
             yield b"".join([known[w] for w in words])
 

@@ -256,7 +256,7 @@ def test_tokenizer_by_words():
     t, ours = Tokenizer.from_file(tokenizer_path()), packing.tokenizer(tokenizer_path())
     rng = random.Random(8)
     spaces = [chr(c) for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, 0x2000, 0x2003, 0x2028, 0x202F, 0x205F, 0x3000)]
-    some = ["It's", "<|endoftext|>", "İŞ", "Σς", "é", "́", "漢字かな", "12ab", "🙂🙂", "...!!", "we'LL", "​", "x" * 300]
+    some = ["It's", "''s", "'tis", "ß²½ªµ", "Naïve-Été", "a1b2!?", "<|endoftext|>", "İŞ", "Σς", "é", "́", "漢字かな", "12ab", "🙂🙂", "...!!", "we'LL", "​", "x" * 300]
     texts = ["", "  ", *("".join(rng.choice(some + spaces * 2) for _ in range(40)) for _ in range(300))]
     assert [np.frombuffer(b, "<u4").tolist() for b in ours.ids(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
