@@ -59,3 +59,10 @@ def largest(df: DataFrame, area: Column, last_of_equals: bool = True) -> DataFra
     """Per frame the row with the largest area."""
     order = F.struct(area, F.col("pos") if last_of_equals else -F.col("pos"))
     return df.groupBy("media_id", "frame").agg(F.max_by("pos", order).alias("pos"), F.max(area).alias("area"))
+
+
+def zip_frames(source: DataFrame, driving: DataFrame) -> DataFrame:
+    """Source frames with the driving frame of the same number; beyond the last the last is held. No driving frames, no rows."""
+    last = driving.groupBy("media_id").agg(F.max("frame").alias("__last"))
+    rows = source.join(last, "media_id").withColumn("__at", F.least("frame", "__last"))
+    return rows.join(driving.withColumnRenamed("frame", "__at"), ["media_id", "__at"]).drop("__at", "__last")
