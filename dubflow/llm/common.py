@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +22,29 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def trim() -> None:
+    """Returns a worker's free memory to the system: workers live on between tasks, and others' count beside them."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if release:
+        release(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run over batches, with the memory that earlier tasks left given back before and its own after."""
+
+    def bounded(batches):
+        gc.collect()
+        trim()
+        yield from run(batches)
+        gc.collect()
+        trim()
+
+    return bounded
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir, or (only where that is unset, as in tests) a new one."""
     sc = spark.sparkContext

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dubflow.llm.common import prepare
+from dubflow.llm.common import lean, prepare
 
 #: Edits allowed, as a share of the item's characters; bytes of items that one broadcast may have.
 EDIT_SHARE, BLOCK_BYTES = 0.08, 8 << 20
@@ -134,7 +134,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE,
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), MATCH, strict=True)], schema=MATCH)
 
-        found = texts.mapInArrow(run, MATCH_DDL)
+        found = texts.mapInArrow(lean(run), MATCH_DDL)
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dubflow.llm.common import join_classes, materialize, prepare
+from dubflow.llm.common import join_classes, lean, materialize, prepare
 
 #: Sets in one block; larger ones are dealt to cells.
 BLOCK_SETS = 2_000
@@ -209,7 +209,7 @@ def _joined(narrow: DataFrame, full: DataFrame, percent: int, exact: bool) -> Da
     rows = rows.select("key", "id", "comp", F.explode(cells).alias("cell")).select("key", "cell.k2", "cell.k3", "id", "comp")
     rows = rows.join(full.select(F.col("rep").alias("id"), "n", "tokens"), "id").select("key", "k2", "k3", "comp", "tokens", "n")
     rows = rows.repartition("key", "k2", "k3").sortWithinPartitions("key", "k2", "k3", "n", "comp").drop("n")
-    return materialize(rows.mapInArrow(lambda it: block_links(it, percent), "a long, b long"), "edges")
+    return materialize(rows.mapInArrow(lean(lambda it: block_links(it, percent)), "a long, b long"), "edges")
 
 
 def _flag(token: np.ndarray, ident: np.ndarray, who: np.ndarray, sure: bool = False) -> Iterator[pa.RecordBatch]:
@@ -253,7 +253,7 @@ def shared_tokens(rows: DataFrame, total: int) -> DataFrame:
     often = rows.where("pmod(xxhash64(id), 64) = 0").groupBy("token").agg(F.count_distinct("who").alias("c")).where(F.col("c") >= max(8, total // 6400))
     hot = F.broadcast(often.orderBy(F.desc("c"), "token").limit(20_000).select(F.col("token").alias("t"), F.lit(True).alias("hot")))
     rows = rows.join(hot, F.col("token") == F.col("t"), "left")
-    spread = rows.where("hot is null").select("token", "id", "who").repartition("token").sortWithinPartitions("token").mapInArrow(_shared, "token long, id long, hot boolean")
+    spread = rows.where("hot is null").select("token", "id", "who").repartition("token").sortWithinPartitions("token").mapInArrow(lean(_shared), "token long, id long, hot boolean")
     return spread.unionByName(rows.where("hot").select("token", "id", "hot")).distinct()
 
 
@@ -268,7 +268,7 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     spark = docs.sparkSession
     prepare(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    sets = materialize(texts.mapInArrow(lambda it: set_rows(it, words, percent), "doc_id long, n long, digest binary, cls long, e array<long>"), "sets")
+    sets = materialize(texts.mapInArrow(lean(lambda it: set_rows(it, words, percent)), "doc_id long, n long, digest binary, cls long, e array<long>"), "sets")
     classes = materialize(sets.where("n > 0 and doc_id is not null").groupBy("digest", "cls", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "set-classes")
     total = classes.agg(F.sum("copies")).first()[0] or 0
 
@@ -285,7 +285,7 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), pa.array([shingles(t, words).tobytes() for t in b.column(0).to_pylist()], pa.binary())], names=["rep", "cls", "n", "tokens"])
 
     wanted = close.select("rep", "cls", "n").hint("shuffle_hash")
-    found = texts.join(wanted, F.col("doc_id") == F.col("rep")).select("text", "rep", "cls", "n").mapInArrow(whole, "rep long, cls long, n long, tokens binary")
+    found = texts.join(wanted, F.col("doc_id") == F.col("rep")).select("text", "rep", "cls", "n").mapInArrow(lean(whole), "rep long, cls long, n long, tokens binary")
     # a repeated id may bring another text: only the set of the class counts
     full = materialize(found.where(F.octet_length("tokens") == 8 * F.col("n")).dropDuplicates(["rep", "cls"]), "full-sets")
 
@@ -309,7 +309,7 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
                 token = np.frombuffer(raw, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.full(len(token), rep)), pa.array(np.full(len(token), comp))], names=["token", "id", "who"])
 
-    wide = shared_tokens(active.mapInArrow(exploded, "token long, id long, who long"), total)
+    wide = shared_tokens(active.mapInArrow(lean(exploded), "token long, id long, who long"), total)
     wide = materialize(wide.join(label, "id", "left").select("token", "id", F.coalesce("component", "id").alias("comp")), "mixed-tokens")
     bound = F.ceil(F.col("n") * percent / 100)
     have = wide.groupBy("id").agg(F.count(F.lit(1)).alias("have")).join(close.select(F.col("rep").alias("id"), "n"), "id").where(F.col("have") >= bound)

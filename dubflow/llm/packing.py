@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dubflow.llm.common import materialize, prepare
+from dubflow.llm.common import lean, materialize, prepare, trim
 
 MAX_TOKENS, END_ID = 4096, 1
-#: Distinct words that a worker remembers; ranks are counted in groups of about so many rows.
+#: Distinct words, and parts of words, that a worker remembers; ranks are counted in groups of about so many rows.
 CACHE_WORDS, RANK_ROWS = 400_000, 5_000
+#: Characters of text that are words in memory at once (but for one longer text).
+SPLIT_CHARS = 2 << 20
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: White space as the tokenizer's own patterns have it (str.split() also splits at 1C-1F).
@@ -37,6 +39,7 @@ class WordTokenizer:
     """Ids of a text as the tokenizer file gives them, word by word: its pre-tokenizer never joins across white space."""
 
     def __init__(self, path: str) -> None:
+        self.remembered = CACHE_WORDS
         import regex
         from tokenizers import Tokenizer
 
@@ -84,9 +87,19 @@ class WordTokenizer:
             self.known[w] = parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps])
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+        """Little-endian unsigned 32-bit ids of each text, some at a time: the words of a whole batch take many times its bytes."""
+        some, size = [], 0
+        for text in texts:
+            some.append(text)
+            size += len(text)
+            if size >= SPLIT_CHARS:
+                yield from self._some(some)
+                some, size = [], 0
+        yield from self._some(some)
+
+    def _some(self, texts: list[str]) -> Iterator[bytes]:
         split = [self.words(t) for t in texts]
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > self.remembered:
             self.known, self.earlier = {}, self.known
         known, earlier, new = self.known, self.earlier, []
         for w in {w for words in split for w in words if w not in known}:
@@ -102,20 +115,21 @@ class WordTokenizer:
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str, remembered: int = CACHE_WORDS) -> WordTokenizer:
     """One a worker, kept between tasks."""
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
+    _tokenizers[path].remembered = remembered
     return _tokenizers[path]
 
 
-def pieces(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", remembered: int = CACHE_WORDS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each text's ids and end_id, cut only where there are over max_tokens."""
     prepare(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        t = tokenizer(path)
+        t = tokenizer(path, remembered)
         for b in batches:
             rows = []
             for doc, ids in zip(b.column(0).to_pylist(), t.ids(b.column(1).to_pylist()), strict=True):
@@ -125,8 +139,10 @@ def pieces(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS, end_id: int
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PIECES, strict=True)], schema=PIECES)
+                del rows
+            trim()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(run, PIECES_DDL)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(lean(run), PIECES_DDL)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
@@ -209,14 +225,15 @@ def find_place(p: dict[str, np.ndarray], length: np.ndarray, rank: np.ndarray) -
     return p["seq"][i] + r // p["per"][i], p["offsets"][p["at"][i] + r % p["per"][i]]
 
 
-def pack(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", remembered: int = CACHE_WORDS) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (gapless from 0 in each sequence).
 
     Null text counts as empty: a piece of the end id alone. Rows with equal or null ids are documents each. Ties in length
     go by rank, in an order made of id, piece and checksum. No rows: no pieces. Other columns play no part.
+    A worker remembers the ids of about `remembered` words, twice at most; fewer take less memory and more time.
     """
     spark = docs.sparkSession
-    cut = materialize(pieces(docs, path, max_tokens, end_id, id_col, text_col), "pieces")
+    cut = materialize(pieces(docs, path, max_tokens, end_id, id_col, text_col, remembered), "pieces")
     counts = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # max_tokens rows at most
     total = sum(counts.values())
     send = spark.sparkContext.broadcast(places(plan(counts, max_tokens)))  # grows with the lengths, not with the rows
