@@ -16,6 +16,9 @@ from dubflow.llm.packing import pack
 from dubflow.llm.quality import keep_quality
 from dubflow.llm.queries import table, tokenizer_path
 
+#: Words that a worker of the packing stage remembers: the executors' memory still holds what earlier stages took.
+REMEMBERED_WORDS = 100_000
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
@@ -39,7 +42,7 @@ def leaks_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of tokenised documents, packed into sequences."""
-    return pack(docs, tokenizer_path())
+    return pack(docs, tokenizer_path(), remembered=REMEMBERED_WORDS)
 
 
 STAGES = [("quality", quality_stage), ("exact_dedup", dedup_stage), ("near_dedup", near_stage), ("decontamination", leaks_stage), ("packing", packing_stage)]
