@@ -223,10 +223,15 @@ def _flag(token: np.ndarray, ident: np.ndarray, who: np.ndarray, sure: bool = Fa
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in the order of their tokens, those whose token more than one `who` has; memory is bounded for any token."""
-    kept = None
+    """Of rows in the order of their tokens and ids, distinct ones whose token more than one `who` has; memory is bounded
+    for any token."""
+    kept = last_row = None
     for b in batches:
         rows = [b.column(i).to_numpy() for i in range(3)]
+        if len(rows[0]):
+            new = np.concatenate([[(rows[0][0], rows[1][0]) != last_row], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])])
+            last_row = (rows[0][-1], rows[1][-1])
+            rows = [x[new] for x in rows]
         if kept is not None:
             rows = [np.concatenate(x) for x in zip(kept, rows, strict=True)]
         if len(rows[0]):
@@ -253,8 +258,8 @@ def shared_tokens(rows: DataFrame, total: int) -> DataFrame:
     often = rows.where("pmod(xxhash64(id), 64) = 0").groupBy("token").agg(F.count_distinct("who").alias("c")).where(F.col("c") >= max(8, total // 6400))
     hot = F.broadcast(often.orderBy(F.desc("c"), "token").limit(20_000).select(F.col("token").alias("t"), F.lit(True).alias("hot")))
     rows = rows.join(hot, F.col("token") == F.col("t"), "left")
-    spread = rows.where("hot is null").select("token", "id", "who").repartition("token").sortWithinPartitions("token").mapInArrow(lean(_shared), "token long, id long, hot boolean")
-    return spread.unionByName(rows.where("hot").select("token", "id", "hot")).distinct()
+    spread = rows.where("hot is null").select("token", "id", "who").repartition("token").sortWithinPartitions("token", "id").mapInArrow(lean(_shared), "token long, id long, hot boolean")
+    return spread.unionByName(rows.where("hot").select("token", "id", "hot").distinct())
 
 
 def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
