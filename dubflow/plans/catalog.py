@@ -252,6 +252,14 @@ def sanitize_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.sanitize(F.expr("if(doc_id % 10 = 0, ' ! ', left(text, 400))")).alias("clean"))
 
 
+@query(r"""WITH c AS (SELECT doc_id, text, trim(regexp_replace(regexp_replace(text, '[\x00-\x1f\x7f-\x{9f}]', '', 'g'), ' +', ' ', 'g'), ' ') AS t FROM documents)
+    SELECT doc_id, CASE WHEN length(regexp_replace(text, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')) >= 2 AND t <> ''
+        AND regexp_matches(text, '[a-zA-Z0-9\x{4e00}-\x{9fff}\x{3040}-\x{309f}\x{30a0}-\x{30ff}\x{0400}-\x{04ff}\x{0600}-\x{06ff}\x{ac00}-\x{d7af}]') THEN t END AS clean FROM c""")
+def sanitize_whole_text(spark: SparkSession, d: str) -> DataFrame:
+    """The whole text of every row; sanitize_text and its SQL see 400 characters."""
+    return table(spark, d, "documents").select("doc_id", text.sanitize(F.col("text")).alias("clean"))
+
+
 @query(f"WITH {EV} SELECT media_id, coalesce(string_agg(speaker, ' ' ORDER BY seq) FILTER (k / 100.0 >= 0.6), 'kept ' || media_id) AS text, count(*) FILTER (k / 100.0 >= 0.6) AS words FROM ev GROUP BY 1")
 def confidence_filter(spark: SparkSession, d: str) -> DataFrame:
     words = event_segments(spark, d).groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("speaker").alias("word"), (F.col("k") / 100).alias("p")))).alias("words"))
