@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over words and their characters, in numpy.
 
 A word enters as its own vector (frequent words of the training sample; the others share one) plus the mean of vectors of
-its character n-grams. A document is cut into overlapping windows, all of them are scored, and the largest counts; in
+its character n-grams. A long word counts as several, its overlapping pieces. A document is cut into overlapping windows, all of them are scored, and the largest counts; in
 training too, where the gradient flows through the largest window of each document.
 """
 
@@ -24,24 +24,46 @@ LEAST_STEPS = 160
 WINDOW, STRIDE = 64, 48
 WORDS, NGRAMS, DIM, HIDDEN = 4096, 8192, 16, 8
 CACHE_WORDS = 200_000
+#: Bytes of a word at most, and bytes that neighbouring pieces of a longer one share.
+PIECE, SHARED = 96, 16
 _TRIM = ".,;:!?\"'()[]{}|#$%&*-_~`<>/\\=+@^"
 
 
+def pieces(word: str) -> list[str]:
+    """The word, or if it has over PIECE bytes, overlapping pieces of whole characters that hold all of it, a space before each."""
+    raw = word.encode("utf-8", "replace")
+    if len(raw) <= PIECE:
+        return [word]
+    out, a, z = [], 0, 0
+    while z < len(raw):
+        z = min(a + PIECE, len(raw))
+        while z < len(raw) and raw[z] & 0xC0 == 0x80:
+            z -= 1
+        out.append(" " + raw[a:z].decode("utf-8"))
+        a = z - SHARED
+        while raw[a] & 0xC0 == 0x80:
+            a -= 1
+    return out
+
+
 def split_words(text: str) -> list[str]:
-    return text.lower().split()
+    words = text.lower().split()
+    if len(max(words, key=len, default="")) * 4 <= PIECE:
+        return words
+    return [p for w in words for p in (pieces(w) if len(w) * 4 > PIECE else (w,))]
 
 
 def bare(word: str) -> str:
-    return word.strip(_TRIM) or word[:1]
+    """The word without signs around it; a piece of a word, known by its space, whole."""
+    return word[1:] if word[:1] == " " else word.strip(_TRIM) or word[:1]
 
 
 def ngram_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of 3 to 5 bytes of the words between their ends, and where each word's rows begin.
 
-    A row for each byte, a column for each n; NGRAMS stands for none. Words of over 96 bytes by their first and last 48.
+    A row for each byte, a column for each n; NGRAMS stands for none.
     """
-    raw = [w.encode("utf-8", "replace") or b" " for w in words]
-    raw = [b"<" + (w if len(w) <= 96 else w[:48] + w[-48:]) + b">" for w in raw]
+    raw = [b"<" + (w.encode("utf-8", "replace") or b" ") + b">" for w in words]
     begins = np.cumsum([0, *map(len, raw)])
     data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
     left = np.repeat(begins[1:], np.diff(begins)) - np.arange(len(data))
