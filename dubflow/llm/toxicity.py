@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from dubflow.llm.common import prepare
 from dubflow.llm.quality import fold, training_sample
 
-#: Labelled rows, and evenly spaced windows of each, that the network is fitted on at most. Scoring has no such bounds.
-TRAIN_ROWS, TRAIN_WINDOWS = 4_000, 8
+#: Labelled rows that the network is fitted on at most, all windows of each. Scoring has no such bound.
+TRAIN_ROWS = 4_000
+#: Windows that pass through the network at once.
+TOGETHER = 4096
 THRESHOLD = 0.5
 #: Steps of training at least, however few the rows.
 LEAST_STEPS = 160
@@ -200,24 +202,19 @@ def _windows_of(docs: list[np.ndarray], spans: list[list[tuple[int, int]]]) -> t
 
 def train(texts: list[str], y: np.ndarray, epochs: int = 4, batch: int = 128, rate: float = 0.01, seed: int = 7) -> Network:
     """Adam on the logistic loss of each document's largest window. Without both classes the network gives a low score to all."""
-    words = [split_words(t) for t in texts]
     seen: dict[str, int] = {}
-    for ws in words:
+    index: dict[str, int] = {}
+    docs = []
+    for t in texts:
+        ws = split_words(t)
         for w in set(map(bare, ws)):
             seen[w] = seen.get(w, 0) + 1
+        docs.append(np.array([index.setdefault(w, len(index)) for w in ws], np.int32))
     frequent = sorted((w for w, n in seen.items() if n >= 3), key=lambda w: (-seen[w], w))[: WORDS - 1]
     net = Network({w: k + 1 for k, w in enumerate(frequent)}, seed)
     if len(y) == 0 or y.min() == y.max():
         net.p["o"][:] = 0
         return net
-    all_spans = []
-    for ws in words:
-        spans = windows(len(ws))
-        if len(spans) > TRAIN_WINDOWS:
-            spans = [spans[i] for i in np.linspace(0, len(spans) - 1, TRAIN_WINDOWS).round().astype(int)]
-        all_spans.append(spans)
-    index: dict[str, int] = {}
-    docs = [np.array([index.setdefault(w, len(index)) for w in ws], np.int64) for ws in words]
     rows, grams, begins = net.lookup(list(index))
     ends = np.append(begins[1:], len(grams))
 
@@ -234,12 +231,20 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 4, batch: int = 128, ra
         order = rng.permutation(len(docs))
         for i in range(0, len(order), batch):
             mine = order[i : i + batch]
-            at, real, owner = _windows_of([docs[k] for k in mine], [all_spans[k] for k in mine])
+            spans = [windows(len(docs[k])) for k in mine]
+            flat = [(k, span) for k, each in enumerate(spans) for span in each]
+            top, best = np.full(len(mine), -np.inf), [None] * len(mine)
+            for j in range(0, len(flat), TOGETHER):
+                now = flat[j : j + TOGETHER]
+                at, real, _ = _windows_of([docs[mine[k]] for k, _ in now], [[span] for _, span in now])
+                used, inverse = np.unique(at, return_inverse=True)
+                logit = net.forward(net.vectors(some(used)), inverse.reshape(real.shape), real)
+                for (k, span), v in zip(now, logit.tolist(), strict=True):
+                    if best[k] is None or v > top[k]:
+                        top[k], best[k] = v, span
+            at, real, _ = _windows_of([docs[k] for k in mine], [[span] for span in best])
             used, inverse = np.unique(at, return_inverse=True)
-            logit = net.forward(net.vectors(some(used)), inverse.reshape(real.shape), real)
-            best = np.array([np.flatnonzero(owner == k)[logit[owner == k].argmax()] for k in range(len(mine))])
-            used, inverse = np.unique(at[best], return_inverse=True)
-            part, inverse, real = some(used), inverse.reshape(-1, WINDOW), real[best]
+            part, inverse = some(used), inverse.reshape(-1, WINDOW)
             x = net.vectors(part)
             logit, kept = net.forward(x, inverse, real, keep=True)
             g = ((_sigmoid(logit) - y[mine]) / len(mine)).astype(np.float32)
@@ -298,23 +303,9 @@ class Scorer:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Network:
-    """The network, fitted on the driver on at most `limit` labelled rows, of which only the training windows are sent."""
+    """The network, fitted on the driver on at most `limit` labelled rows, sent whole."""
     prepare(docs.sparkSession)
-    wide = (TRAIN_WINDOWS * WINDOW) * 2
-
-    def run(batches):
-        for b in batches:
-            short = []
-            for t in b.column(1).to_pylist():
-                ws = split_words(t)
-                spans = windows(len(ws))
-                if len(ws) > wide:  # the training windows' words, one window after the other
-                    some = [spans[i] for i in np.linspace(0, len(spans) - 1, TRAIN_WINDOWS).round().astype(int)]
-                    ws = [w for a, e in some for w in ws[a:e]]
-                short.append(" ".join(ws))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(short, pa.string())], names=["id", "y", "text"])
-
-    rows = sorted(map(tuple, training_sample(docs, labels, "toxic", limit).mapInArrow(run, "id long, y int, text string").collect()))  # at most `limit`
+    rows = sorted(map(tuple, training_sample(docs, labels, "toxic", limit).select("__id", "y", "text").collect()))  # at most `limit`
     return train([r[2] for r in rows], np.array([r[1] for r in rows], np.float32))
 
 
