@@ -84,18 +84,24 @@ def utf8(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")
 
 
-def join_classes(rows: DataFrame, classes: DataFrame, key: str, size: str, total: int, spread: Column) -> DataFrame:
-    """rows left join classes on key, where one key may hold a third of the rows.
+def join_classes(rows: DataFrame, classes: DataFrame, key: str | list[str], size: str, total: int, spread: Column) -> DataFrame:
+    """rows left join classes on key (a column or several), where one key may hold a third of the rows.
 
-    classes has one row a key with the key's number of rows in `size`. Keys with over 1/2000 of all rows - 2000 of them
-    at most, whatever the input - go by broadcast, and their rows are dealt by `spread` in the join of the others.
+    `size` of classes is a key's number of rows. Keys with over 1/2000 of all rows - 2000 of them at most, whatever the
+    input - go by broadcast, and their rows are dealt by `spread` in the join of the others. A key with several rows in
+    classes, all of one size, gives as many.
     """
+    keys = [key] if isinstance(key, str) else key
     hot_at = max(200, total // 2000)
-    values = [c for c in classes.columns if c != key]
-    hot = classes.where(F.col(size) >= hot_at).select(F.col(key), *[F.col(c).alias(f"__h_{c}") for c in values])
-    cold = classes.where(F.col(size) < hot_at).select(F.col(key).alias("__k"), *values)
-    out = rows.join(F.broadcast(hot), key, "left")
+    values = [c for c in classes.columns if c not in keys]
+    renamed = [F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)]
+    hot = classes.where(F.col(size) >= hot_at).select(*[r.alias(f"__b{i}") for i, r in enumerate(map(F.col, keys))], *[F.col(c).alias(f"__h_{c}") for c in values])
+    cold = classes.where(F.col(size) < hot_at).select(*renamed, *[F.col(c).alias(f"__c_{c}") for c in values])
+    both = lambda side: [F.col(c) == F.col(f"__{side}{i}") for i, c in enumerate(keys)]
+    out = rows.join(F.broadcast(hot), both("b"), "left")
     found = F.col(f"__h_{size}").isNotNull()
-    out = out.withColumn("__j", F.when(found, spread.cast("string").cast("binary")).otherwise(F.col(key)))
-    out = out.join(cold, F.col("__j") == F.col("__k"), "left")
-    return out.select(*rows.columns, *[F.when(found, F.col(f"__h_{c}")).otherwise(F.col(c)).alias(c) for c in values])
+    kind = rows.schema[keys[0]].dataType
+    dealt = spread.cast("string").cast("binary") if kind.typeName() == "binary" else spread.cast(kind)
+    out = out.withColumn("__j", F.when(found, dealt).otherwise(F.col(keys[0])))
+    out = out.join(cold, [F.col("__j") == F.col("__k0"), ~found, *both("k")[1:]], "left")
+    return out.select(*rows.columns, *[F.when(found, F.col(f"__h_{c}")).otherwise(F.col(f"__c_{c}")).alias(c) for c in values])

@@ -1,11 +1,11 @@
 """Long repeats by a run-length compressed Burrows-Wheeler index.
 
 Every window of `least` bytes belongs to the segment of consecutive windows that have the same smallest k-gram hash, so
-equal windows lie in segments with one hash f. Segments whose f occurs once have no repeat and go. Segments of one f that
-are all equal are repeats throughout. The distinct segments of every other f are indexed: their suffixes are sorted, the
-BWT is kept as runs, the matching statistics (longest match with any other place) are computed at the sampled ends of
-runs only and streamed to all other positions, where they grow by one a step to the left. A statistic of `least` marks
-a window that starts anywhere else too.
+equal windows lie in segments with one hash f. Segments whose f occurs once have no repeat and go. The distinct segments
+of every other f are indexed, each with its number of copies as a weight: their suffixes are sorted, the BWT is kept as
+runs that weights lengthen, the matching statistics (longest match with any other place, a copy's included) are computed
+at the sampled ends of runs only and streamed to all other positions, where they grow by one a step to the left. A
+statistic of `least` marks a window that starts anywhere else too; every document with that segment gets its marks.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dubflow.llm.common import materialize, prepare, utf8
+from dubflow.llm.common import join_classes, materialize, prepare, utf8
 
 #: Bytes of the repeats to find; of the k-grams (a multiple of 32); of a piece of text hashed, and of segments indexed, at a time.
 LEAST, KGRAM, PIECE_BYTES, INDEX_BYTES = 400, 96, 256 << 10, 1 << 20
@@ -121,20 +121,26 @@ def segments(texts: list[bytes], demote: Demotion, least: int = LEAST, k: int =
 
 
 class RunLengthIndex:
-    """Index of segments (byte strings): runs of the BWT, their sampled ends, matching statistics against every other place."""
+    """Run-compressed BWT of weighted byte strings with sampled run ends and matching statistics against every other place.
 
-    def __init__(self, strings: list[bytes], cap: int) -> None:
+    A weight is the number of copies of a string: its rows of the matrix count that often, so copies only lengthen runs.
+    Kept are, besides the strings, the runs (byte, weighted length) and at the sampled ends of runs the place in the
+    strings and the matching statistic; the suffix order and its ranks go when the index is built.
+    """
+
+    def __init__(self, strings: list[bytes], cap: int, weights: list[int] | None = None) -> None:
         self.data, self.cap = np.frombuffer(b"".join(strings), np.uint8), cap
         lengths = np.array([len(s) for s in strings], np.int64)
+        self.weights = np.ones(len(strings), np.int64) if weights is None else np.array(weights, np.int64)
         self.ends = np.cumsum(lengths)
         self.begins = self.ends - lengths
-        self.end_of = np.repeat(self.ends, lengths)
-        self._sort()
-        self._runs()
+        end_of, weight_of = np.repeat(self.ends, lengths), np.repeat(self.weights, lengths)
+        order, levels = self._sorted(end_of)
+        self._runs(order, levels, end_of, weight_of)
 
-    def _sort(self) -> None:
-        """Suffixes, cut at their segment's end and at `cap` bytes at least, in order; ranks of all prefix doublings."""
-        n, data, end = len(self.data), self.data, self.end_of
+    def _sorted(self, end: np.ndarray) -> tuple[np.ndarray, list]:
+        """Suffixes, cut at their string's end and at `cap` bytes at least, in order; ranks of all prefix doublings."""
+        n, data = len(self.data), self.data
         every = np.arange(n)
         key = np.zeros(n, np.int64)
         for j in range(7):
@@ -146,7 +152,7 @@ class RunLengthIndex:
         heads[1:] = key[order][1:] != key[order][:-1]
         rank = np.empty(n, np.int32)
         rank[order] = np.maximum.accumulate(np.where(heads, every, 0))
-        self.levels, h = [(7, rank)], 7
+        levels, h = [(7, rank)], 7
         while h < self.cap:
             tied = ~heads
             tied[:-1] |= ~heads[1:]
@@ -155,7 +161,7 @@ class RunLengthIndex:
             if len(idx):
                 pos = order[idx]
                 at = pos + h
-                second = np.where(at < end[pos], self.levels[-1][1][np.minimum(at, n - 1)].astype(np.int64) + 1, 0)
+                second = np.where(at < end[pos], levels[-1][1][np.minimum(at, n - 1)].astype(np.int64) + 1, 0)
                 k = rank[pos].astype(np.int64) * (n + 2) + second
                 o = np.argsort(k, kind="stable")
                 pos, k = pos[o], k[o]
@@ -165,33 +171,37 @@ class RunLengthIndex:
                 heads[idx] = head
                 rank[pos] = np.maximum.accumulate(np.where(head, idx, 0))
             h *= 2
-            self.levels.append((h, rank))
-        self.order = order
+            levels.append((h, rank))
+        return order, levels
 
-    def _runs(self) -> None:
-        n, order = len(self.data), self.order
+    def _runs(self, order: np.ndarray, levels: list, end: np.ndarray, weight: np.ndarray) -> None:
+        n = len(self.data)
         before = np.zeros(n, np.int16)
         before[1:] = self.data[:-1].astype(np.int16) + 1
         before[self.begins] = 0  # no byte before: equal to nothing
-        bwt = before[order]
-        head = np.ones(n, bool)
+        # the empty suffixes of the strings come first
+        bwt = np.concatenate([self.data[self.ends - 1].astype(np.int16) + 1, before[order]])
+        head = np.ones(len(bwt), bool)
         head[1:] = (bwt[1:] != bwt[:-1]) | (bwt[1:] == 0)
-        self.run_at = np.flatnonzero(head)
-        self.run_byte = bwt[self.run_at]
-        self.run_length = np.diff(np.append(self.run_at, n))
-        tail = np.append(head[1:], True)
-        q = order[(head | tail) & (bwt != 0)]
+        at = np.flatnonzero(head)
+        self.run_byte = bwt[at] - 1
+        self.run_length = np.add.reduceat(np.concatenate([self.weights, weight[order]]), at)
+        s = len(self.ends)
+        edge = (head | np.append(head[1:], True))[s:]
+        q = order[edge & (bwt[s:] != 0)]
         self.samples = np.unique(np.concatenate([q - 1, self.ends - 1]))
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
-        p = place[self.samples]
-        self.sampled = np.maximum(self._common(self.samples, order[np.maximum(p - 1, 0)], p > 0), self._common(self.samples, order[np.minimum(p + 1, n - 1)], p < n - 1))
+        i, p = self.samples, place[self.samples]
+        near = [self._common(levels, end, i, order[np.maximum(p - 1, 0)], p > 0), self._common(levels, end, i, order[np.minimum(p + 1, n - 1)], p < n - 1)]
+        own = np.where(weight[i] > 1, np.minimum(end[i] - i, self.cap), 0)  # a copy of the same string
+        self.sampled = np.maximum(np.maximum(*near), own)
 
-    def _common(self, i: np.ndarray, j: np.ndarray, real: np.ndarray) -> np.ndarray:
+    def _common(self, levels: list, end: np.ndarray, i: np.ndarray, j: np.ndarray, real: np.ndarray) -> np.ndarray:
         """Length of the common prefix of suffixes, up to cap."""
-        n, most = len(self.data), np.minimum(self.end_of[i] - i, self.end_of[j] - j)
+        n, most = len(self.data), np.minimum(end[i] - i, end[j] - j)
         done = np.zeros(len(i), np.int64)
-        for h, rank in reversed(self.levels):
+        for h, rank in reversed(levels):
             a, b = i + done, j + done
             same = (done < most) & (rank[np.minimum(a, n - 1)] == rank[np.minimum(b, n - 1)])
             done = np.minimum(done + h * same, most)
@@ -200,6 +210,27 @@ class RunLengthIndex:
             done = done + ((done < most) & (self.data[a] == self.data[b]))
         return np.where(real, np.minimum(done, self.cap), 0)
 
+    def count(self, patterns: np.ndarray) -> np.ndarray:
+        """Occurrences of each row of bytes (at most `cap` of them), copies included: backward search over the runs."""
+        start = np.cumsum(self.run_length) - self.run_length
+        o = np.argsort(self.run_byte, kind="stable")
+        key, length = (self.run_byte[o].astype(np.int64) + 1 << 48) | start[o], self.run_length[o]
+        earlier = np.cumsum(length) - length  # rows of smaller bytes and of earlier runs of this byte
+        first = np.searchsorted(key, np.arange(258, dtype=np.int64) << 48)
+        # the matrix begins with the rows of empty suffixes, each string's weight; rows without a byte before come first here
+        smaller = np.append(earlier, length.sum())[first] - np.append(earlier, length.sum())[first[1]] + self.weights.sum()
+
+        def occurrences(c, i):
+            j = np.searchsorted(key, (c + 1 << 48) | i) - 1
+            inside = j >= first[c + 1]
+            j = np.maximum(j, 0)
+            return np.where(inside, earlier[j] - earlier[np.minimum(first[c + 1], len(key) - 1)] + np.minimum(i - (key[j] & (1 << 48) - 1), length[j]), 0)
+
+        low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.run_length.sum())
+        for c in patterns.T[::-1].astype(np.int64):
+            low, high = smaller[c + 1] + occurrences(c, low), smaller[c + 1] + occurrences(c, high)
+        return np.maximum(high - low, 0)
+
     def statistics(self) -> np.ndarray:
         """For every position the longest match with any other, up to cap: from the next sample on, one more a step back."""
         every = np.arange(len(self.data))
@@ -207,13 +238,13 @@ class RunLengthIndex:
         return np.minimum(self.sampled[k] + self.samples[k] - every, self.cap)
 
     def repeated(self) -> Iterator[tuple[int, int, int]]:
-        """(segment, first, last) of the stretches of starts whose cap bytes occur elsewhere."""
+        """(string, first, last) of the stretches of starts whose cap bytes occur elsewhere."""
         hit = np.zeros(len(self.data) + 2, np.int8)
         hit[1:-1] = self.statistics() >= self.cap
         edge = np.flatnonzero(np.diff(hit))
         for a, b in zip(edge[::2], edge[1::2] - 1, strict=True):
             s = int(np.searchsorted(self.ends, a, "right"))
-            while a <= b:  # segments follow each other without a gap
+            while a <= b:  # strings follow each other without a gap
                 last = min(int(b), int(self.ends[s]) - 1)
                 yield s, int(a - self.begins[s]), int(last - self.begins[s])
                 a, s = last + 1, s + 1
@@ -224,10 +255,12 @@ def _batch(rows: list, types: dict) -> pa.RecordBatch:
 
 
 LONG = pa.int64()
+TAKEN = {"f": LONG, "sub": LONG, "seg": LONG, "base": LONG, "c": LONG, "bytes": pa.binary()}
+MARKS = {"f": LONG, "seg": LONG, "c": LONG, "starts": pa.list_(LONG), "ends": pa.list_(LONG)}
 SEGMENT = {"f": LONG, "seg": LONG, "doc": LONG, "rk": LONG, "s1": LONG, "s2": LONG, "inner": pa.bool_()}
 
 
-def repeated_spans(docs: DataFrame, least: int = LEAST, k: int = KGRAM, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, least: int = LEAST, k: int = KGRAM, id_col: str = "doc_id", text_col: str = "text", index_bytes: int = INDEX_BYTES) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): docs' rows as (doc, rk, doc_id, text) and the windows' stretches (doc, rk, start, end), end exclusive."""
     spark = docs.sparkSession
     prepare(spark)
@@ -261,41 +294,63 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, k: int = KGRAM, id_col:
 
     ddl = "f long, seg long, doc long, rk long, s1 long, s2 long, inner boolean"
     found = materialize(long.mapInArrow(cut, ddl), "segments")
-    again = found.groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.min("seg").alias("a"), F.max("seg").alias("b"), F.max("inner").alias("i")).where("n > 1 or i").select(F.col("f").alias("g"), F.expr("a <> b or n = 1").alias("mixed"))
-    close = materialize(found.join(again, F.col("f") == F.col("g")).drop("g"), "close-segments")
-    equal = close.where("not mixed").select("doc", "rk", F.col("s1").alias("start"), (F.col("s2") + least).alias("end"))
-    mixed = close.where("mixed")
-    distinct = mixed.groupBy("f", "seg").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "rk", "s1", "s2")).alias("x"))
+    again = found.groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.max("inner").alias("i")).where("n > 1 or i").select("f", "n")
+    again = materialize(again, "repeated-keys")
+    total = again.agg(F.sum("n")).first()[0] or 0
+    close = join_classes(found.drop("inner"), again, ["f"], "n", total, F.xxhash64("rk", "s1"))
+    close = materialize(close.where("n is not null").drop("n"), "close-segments")
+    distinct = close.groupBy("f", "seg").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "rk", "s1", "s2")).alias("x"))
     distinct = materialize(distinct.select("f", "seg", "c", "x.*"), "distinct-segments")
-    copies = distinct.where("c > 1").select(F.col("f").alias("g"), F.col("seg").alias("h"))
-    copied = mixed.join(copies, (F.col("f") == F.col("g")) & (F.col("seg") == F.col("h")), "left_semi").select("doc", "rk", F.col("s1").alias("start"), (F.col("s2") + least).alias("end"))
 
-    wanted = distinct.groupBy(F.col("doc").alias("d"), F.col("rk").alias("r")).agg(F.collect_list(F.struct("f", "c", "s1", "s2")).alias("l")).hint("shuffle_hash")  # a document's own segments
-    taken = long.join(wanted, (F.col("doc") == F.col("d")) & (F.col("rk") == F.col("r"))).select("doc", "rk", F.explode("l").alias("x"), "text")
-    taken = taken.select("x.f", "x.c", "doc", "rk", "x.s1", F.expr(f"substring(text, int(x.s1) + 1, int(x.s2 - x.s1) + {least})").alias("bytes"))
-    taken = taken.repartition("f").sortWithinPartitions("f", "doc", "rk", "s1")
+    # the bytes of each distinct segment, from the whole text of one document that has it
+    large = distinct.groupBy("f").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("s2") - F.col("s1") + least).alias("size")).where(F.col("size") > index_bytes).select("f", "k")
+    flagged = join_classes(distinct, large, ["f"], "k", distinct.count(), F.xxhash64("rk", "s1")).withColumn("wide", F.col("k").isNotNull())
+    wanted = flagged.groupBy(F.col("doc").alias("d"), F.col("rk").alias("r")).agg(F.collect_list(F.struct("f", "seg", "c", "wide", "s1", "s2")).alias("l")).hint("shuffle_hash")  # a document's own segments
+    taken = long.join(wanted, (F.col("doc") == F.col("d")) & (F.col("rk") == F.col("r"))).select(F.explode("l").alias("x"), "text")
+    taken = taken.select("x.f", "x.seg", "x.c", "x.wide", F.expr(f"substring(text, int(x.s1) + 1, int(x.s2 - x.s1) + {least})").alias("bytes"))
+
+    def dealt(batches):
+        """Segments of an f with more than a block of bytes are cut anew, by the smallest of longer k-grams: equal windows stay together."""
+        none, deep = Demotion(np.zeros(0, np.uint64)), min(least, 2 * k)
+        for b in batches:
+            rows = []
+            for f, seg, c, wide, data in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if wide:
+                    for _, g, s1, s2, _ in segments([data], none, least, deep):
+                        rows += [(f, x, seg, a, c, data[a : z + least]) for x, a, z in zip(g.tolist(), s1.tolist(), s2.tolist(), strict=True)]
+                else:
+                    rows.append((f, 0, seg, 0, c, data))
+            if rows:
+                yield _batch(rows, TAKEN)
+
+    taken = taken.mapInArrow(dealt, "f long, sub long, seg long, base long, c long, bytes binary")
+    taken = taken.repartition("f", "sub").sortWithinPartitions("f", "sub", "seg", "base")
 
     def index(batches):
         held, size, last = [], 0, None
         for b in batches:
             for row in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                if held and row[:1] + row[2:5] == held[-1][:1] + held[-1][2:5]:
+                if held and row[:4] == held[-1][:4]:
                     continue  # a repeated row of documents brought the same segment
-                if size > INDEX_BYTES and row[0] != last:
+                if size > index_bytes and row[:2] != last:
                     yield from mark(held)
                     held, size = [], 0
                 held.append(row)
-                last, size = row[0], size + len(row[5])
+                last, size = row[:2], size + len(row[5])
         if held:
             yield from mark(held)
 
     def mark(held):
-        out = [(held[s][2], held[s][3], held[s][4] + a, held[s][4] + z + least) for s, a, z in RunLengthIndex([r[5] for r in held], least).repeated()]
+        out: dict[int, list] = {}
+        for s, a, z in RunLengthIndex([r[5] for r in held], least, [r[4] for r in held]).repeated():
+            out.setdefault(s, []).append((held[s][3] + a, held[s][3] + z + least))
         if out:
-            yield _batch(out, {"doc": LONG, "rk": LONG, "start": LONG, "end": LONG})
+            yield _batch([(held[s][0], held[s][2], held[s][4], [a for a, _ in v], [z for _, z in v]) for s, v in out.items()], MARKS)
 
-    partial = taken.mapInArrow(index, "doc long, rk long, start long, end long")
-    return rows, equal.unionByName(copied).unionByName(partial)
+    marks = materialize(taken.mapInArrow(index, "f long, seg long, c long, starts array<long>, ends array<long>"), "marks")
+    whole = join_classes(close, marks, ["f", "seg"], "c", total, F.xxhash64("rk", "s1")).where("c is not null")
+    spans = whole.select("doc", "rk", "s1", F.explode(F.arrays_zip("starts", "ends")).alias("x"))
+    return rows, spans.select("doc", "rk", (F.col("s1") + F.col("x.starts")).alias("start"), (F.col("s1") + F.col("x.ends")).alias("end"))
 
 
 def remove_repeats(docs: DataFrame, least: int = LEAST, k: int = KGRAM, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False) -> DataFrame:

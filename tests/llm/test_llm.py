@@ -110,28 +110,58 @@ def brute_repeats(texts: list[bytes], least: int) -> list[np.ndarray]:
 def test_index(seed):
     rng = random.Random(seed)
     parts = ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 60))) for _ in range(6)]
-    strings = [("".join(rng.choice(parts) for _ in range(rng.randrange(1, 5)))).encode() for _ in range(6)]
-    index = repeats.RunLengthIndex(strings, 12)
+    strings = list(dict.fromkeys(("".join(rng.choice(parts) for _ in range(rng.randrange(1, 5)))).encode() for _ in range(6)))
+    weights = [rng.choice((1, 1, 2, 5)) for _ in strings]
+    index = repeats.RunLengthIndex(strings, 12, weights)
     hit = {(s, i) for s, a, z in index.repeated() for i in range(a, z + 1)}
     seen: dict[bytes, list] = {}
     for s, t in enumerate(strings):
         for i in range(len(t) - 11):
             seen.setdefault(t[i : i + 12], []).append((s, i))
-    assert hit == {p for v in seen.values() if len(v) > 1 for p in v}
-    assert index.run_length.sum() == sum(map(len, strings)) and len(index.run_byte) == len(index.run_at)
+    assert hit == {p for v in seen.values() if sum(weights[s] for s, _ in v) > 1 for p in v}
+    assert index.run_length.sum() == sum(w * (len(s) + 1) for s, w in zip(strings, weights, strict=True))
+    for m in (1, 3, 12):
+        patterns = [*{t[i : i + m] for t in strings for i in range(len(t) - m + 1)}, b"c" * m, (b"ab" * 6)[:m]]
+        want = [sum(w * sum(t[i : i + m] == p for i in range(len(t) - m + 1)) for t, w in zip(strings, weights, strict=True)) for p in patterns]
+        assert index.count(np.array([list(p) for p in patterns], np.uint8)).tolist() == want
 
 
-def test_repeats(spark, docs, empty):
-    got = sorted(map(tuple, repeats.remove_repeats(docs.where("n <> 34 or text is null")).drop("spans").collect()), key=repr)
-    rows = [(r[0], (r[1] or "").encode()) for r in corpus() if r[3] != 34 or r[1] is None]
+def removed(rows: list[tuple]) -> list[tuple]:
     want = []
     for (i, t), hit in zip(rows, brute_repeats([t for _, t in rows], 400), strict=True):
         kept = bytes(b for b, h in zip(t, hit, strict=True) if not h)
         want.append((i, len(t), int(hit.sum()), int((np.diff(np.concatenate([[0], hit.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()))
-    assert got == sorted(want, key=repr)
+    return sorted(want, key=repr)
+
+
+def test_repeats(spark, docs, empty):
+    want = removed([(r[0], (r[1] or "").encode()) for r in corpus()])
+    assert sorted(map(tuple, repeats.remove_repeats(docs).drop("spans").collect()), key=repr) == want
     assert repeats.remove_repeats(empty).count() == 0
 
 
+def test_repeats_of_one_key_in_many_blocks(spark):
+    """Many texts share one 96-byte string and parts of what follows: its segments are more than a block and are cut anew."""
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    core, tails = letters(96), [letters(900) for _ in range(3)]
+    texts = [letters(rng.randrange(0, 400)) + core + rng.choice(tails)[rng.choice((0, 0, 200)) : rng.randrange(300, 900)] + letters(300) for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    _, spans = repeats.repeated_spans(rows, index_bytes=5_000)
+    got = {d: np.zeros(len(t), bool) for d, t in enumerate(texts)}
+    for r in spans.collect():
+        got[r.doc][r.start : r.end] = True
+    for hit, want in zip(got.values(), brute_repeats([t.encode() for t in texts], 400), strict=True):
+        assert (hit == want).all()
+
+
+def test_repeats_whole_table(spark):
+    """Every row of sf0.01 against brute force."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, (r.text or "").encode()) for r in table.collect()]
+    assert sorted(map(tuple, repeats.remove_repeats(table).drop("spans").collect()), key=repr) == removed(rows)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 10, 97, 1000])
 def test_feistel_is_a_permutation(spark, n):
     got = sharding.place(spark.range(n).withColumnRenamed("id", "row"), "row", n, 3, "p")
