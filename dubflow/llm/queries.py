@@ -79,7 +79,43 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_grace_dedup, op2_warc_chunks, op3_run_length_index, op4_feistel_shards, op5_pigeonhole_edits, op6_boosted_quality, op7_recurrent_toxicity, op8_best_two_fit, op9_prefix_tree_join, op10_chat_format)}
 
+#: Words of a text as op9 has them, and CRC-32 by its table, which is made here.
+WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+CRC = """tab AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+                lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS tab),
+            crc AS (SELECT doc_id, len(l) + 1 AS size, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, l),
+                lambda a, c: xor(a // 256, tab[xor(a, c) % 256 + 1]))) AS text_crc32
+                FROM (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS l FROM documents), tab)"""
+_ROUND = "(({x} % 2147483647 * 48271 + c) % 2147483647 * (({x} % 2147483647 * 48271 + c) % 2147483647) % 2147483647 * 69621 + c) % 2147483647"
+
 ORACLES = {
+    "op2_warc_chunks": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keep FROM pages)
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes, array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform([32768, 1024, 32, 1],
+                lambda d: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(h, 5 * g + 1, 5))::BIGINT // d % 32 + 1), 1)), '')), '') AS payload_digest,
+            CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keep THEN keep END AS refers_to
+        FROM p""",
+    "op4_feistel_shards": f"""
+        WITH RECURSIVE {CRC},
+            n AS (SELECT count(*) AS n, floor(sqrt(greatest(0, count(*) - 1)))::BIGINT + 1 AS a FROM documents),
+            numbered AS (SELECT doc_id, size, text_crc32, n, a, (n + a - 1) // a AS b, row_number() OVER (ORDER BY
+                    (((coalesce(doc_id, -1) % 2147483647 + 2147483647) % 2147483647 * 48271 % 2147483647 + size % 2147483647) % 2147483647 * 69621 % 2147483647 + text_crc32) % 2147483647 % greatest(1, n // 20000),
+                    doc_id NULLS FIRST, size, text_crc32) - 1 AS number FROM crc, n),
+            walk AS (SELECT doc_id, size, text_crc32, n, a, b, number % a AS l, number // a AS r, 0 AS k FROM numbered
+                UNION ALL SELECT doc_id, size, text_crc32, n, a, b, CASE WHEN k % 2 = 0 THEN (l + {_ROUND.format(x="r")}) % a ELSE l END, CASE WHEN k % 2 = 1 THEN (r + {_ROUND.format(x="l")}) % b ELSE r END, k + 1
+                FROM (SELECT *, (20240229 * 31 + 7919 * (k % 6 + 1)) % 2147483647 AS c FROM walk WHERE k % 6 > 0 OR k = 0 OR l + r * a >= n))
+        SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, ((l + r * a) % 8)::INT AS shard, ((l + r * a) // 8)::BIGINT AS slot, NULL::INT AS grown_shard
+        FROM walk WHERE k > 0 AND k % 6 = 0 AND l + r * a < n""",
+    "op9_prefix_tree_join": f"""
+        WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, {WORDS} AS w FROM documents),
+            s AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+            c AS MATERIALIZED (SELECT min(doc_id) AS c, list(doc_id) AS members, any_value(s) AS s, len(any_value(s)) AS n FROM (SELECT doc_id, s, list_sort(s) AS k FROM s WHERE len(s) > 0) GROUP BY k),
+            e AS MATERIALIZED (SELECT c, n, unnest(s) AS g FROM c),
+            links AS MATERIALIZED (SELECT x.c AS a, y.c AS b FROM e x JOIN e y ON x.g = y.g AND x.c <> y.c AND 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n) GROUP BY x.c, y.c, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+            reach AS (SELECT c AS a, c AS b FROM c UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+            least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id
+        FROM s LEFT JOIN (SELECT unnest(members) AS doc_id, component_id FROM c JOIN least ON c.c = least.a) USING (doc_id)""",
     "op1_grace_dedup": """
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size

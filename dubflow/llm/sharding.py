@@ -1,9 +1,10 @@
 """Reproducible shuffle and sharding by a Feistel permutation of global row numbers, with native expressions only.
 
-A row's number comes from its id alone: ids are dealt to buckets by a fixed function, buckets have offsets, and inside a
-bucket rows are numbered by id. No partition layout, task order or retry plays a part. The permutation takes number to
-place; shard = place mod shards and slot = place div shards, so counts differ by one at most and either can be computed
-from the other without a look at the data.
+A row's number comes from its id, size and checksum alone: rows are counted by these, dealt to buckets by a fixed function,
+buckets have offsets, and inside a bucket the counted rows follow each other in order. No partition layout, task order or
+retry plays a part. The permutation takes number to place; shard = place mod shards and slot = place div shards, so counts
+differ by one at most and either can be computed from the other without a look at the data. The rounds are integer
+arithmetic modulo a prime, which any SQL engine can repeat.
 """
 
 from __future__ import annotations
@@ -14,10 +15,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PRIME = 2147483647
+#: Multipliers of the bucket and round functions.
+FIRST, SECOND = 48271, 69621
 ROUNDS = 6
 BUCKET_ROWS = 20_000
 
 
+def round_constant(seed: int, k: int) -> int:
+    return (seed * 31 + 7919 * (k + 1)) % PRIME
+
+
+def mixed(x: Column, seed: int, k: int) -> Column:
+    """The round function: no product leaves 63 bits."""
+    c = F.lit(round_constant(seed, k))
+    u = (x % PRIME * FIRST + c) % PRIME
+    return (u * u % PRIME * SECOND + c) % PRIME
+
+
 def sides(n: int) -> tuple[int, int]:
     """The domain is a x b >= n, as square as it can be."""
     a = max(1, math.isqrt(max(0, n - 1)) + 1)
@@ -27,13 +41,13 @@ def sides(n: int) -> tuple[int, int]:
 def permute(x: Column, n: int, seed: int) -> Column:
     """One pass of the alternating Feistel network over [0, a*b)."""
     a, b = sides(n)
-    left = F.pmod(x, F.lit(a))
+    left = F.pmod(x, F.lit(a)).cast("long")
     right = ((x - left) / a).cast("long")
     for k in range(ROUNDS):
         if k % 2 == 0:
-            left = (left + F.pmod(F.xxhash64(right, F.lit(seed), F.lit(k)), F.lit(a))) % a
+            left = (left + mixed(right, seed, k)) % a
         else:
-            right = (right + F.pmod(F.xxhash64(left, F.lit(seed), F.lit(k)), F.lit(b))) % b
+            right = (right + mixed(left, seed, k)) % b
     return left + right * a
 
 
@@ -59,25 +73,27 @@ def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 20240229, id_c
     """Per row of docs: doc_id, size (UTF-8 bytes of the text + 1), text_crc32, law, shard, slot, grown_shard.
 
     The law is `rows`: the shards' counts differ by one at most, and slots are gapless from 0. Null text counts as empty.
-    Rows with equal or null ids are told apart by size and checksum; rows equal in these are interchangeable. An empty
-    table gives no rows. Equal texts are dealt like any others, so no group of copies loads one shard.
+    Rows with equal or null ids are told apart by size and checksum; rows equal in these are interchangeable and are one
+    counted row until they get their numbers. An empty table gives no rows. Equal texts are dealt like any others, so no
+    group of copies loads one shard or one task.
     """
     from dubflow.llm.common import materialize, utf8
 
     content = utf8(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(content) + 1).cast("long").alias("size"), F.crc32(content).alias("text_crc32"))
-    rows = materialize(rows, "shard-rows")
-    n = rows.count()
+    rows = materialize(rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies")), "shard-rows")
+    n = rows.agg(F.sum("copies")).first()[0] or 0
+    out = lambda p: [F.lit("rows").alias("law"), (p % shards).cast("int").alias("shard"), F.floor(p / shards).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")]
     if not n:
-        return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        return rows.select("doc_id", "size", "text_crc32", *out(F.col("copies")))
     buckets = max(1, n // BUCKET_ROWS)
     key = F.coalesce(F.col("doc_id"), F.lit(-1))
-    spread = F.pmod(F.pmod(key, F.lit(PRIME)) * F.lit(1103515245) % PRIME + F.pmod(F.floor(key / PRIME).cast("long"), F.lit(PRIME)), F.lit(buckets))
-    rows = rows.withColumn("__b", spread.cast("long"))
-    counts = rows.groupBy("__b").agg(F.count(F.lit(1)).alias("__c"))
+    spread = F.pmod(F.pmod(key, F.lit(PRIME)) * FIRST % PRIME + F.col("size") % PRIME, F.lit(PRIME)) * SECOND % PRIME + F.col("text_crc32")
+    rows = rows.withColumn("__b", (spread % PRIME % buckets).cast("long"))
+    counts = rows.groupBy("__b").agg(F.sum("copies").alias("__c"))
     # a row for every BUCKET_ROWS rows of input
     before = counts.withColumn("__off", F.sum("__c").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))).select(F.col("__b").alias("__bb"), F.coalesce("__off", F.lit(0)).alias("__off"))
-    inside = F.row_number().over(Window.partitionBy("__b").orderBy("doc_id", "size", "text_crc32"))
-    numbered = rows.withColumn("__i", inside).join(before, F.col("__b") == F.col("__bb")).withColumn("__row", (F.col("__off") + F.col("__i") - 1).cast("long"))
-    placed = place(numbered.select("doc_id", "size", "text_crc32", "__row"), "__row", n, seed, "__p")
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), (F.col("__p") % shards).cast("int").alias("shard"), F.floor(F.col("__p") / shards).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    inside = F.sum("copies").over(Window.partitionBy("__b").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    numbered = rows.withColumn("__i", inside).join(before, F.col("__b") == F.col("__bb")).withColumn("__first", (F.col("__off") + F.col("__i") - F.col("copies")).cast("long"))
+    numbered = numbered.select("doc_id", "size", "text_crc32", F.explode(F.sequence(F.col("__first"), F.col("__first") + F.col("copies") - 1)).alias("__row"))
+    return place(numbered, "__row", n, seed, "__p").select("doc_id", "size", "text_crc32", *out(F.col("__p")))

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from dubflow.llm.common import join_classes, materialize, new_path, prepare, utf8
 
 CHUNK_BYTES, SEGMENT_BYTES = 256 << 10, 32 << 20
+#: Tasks that read a segment each; beyond, a task reads up to eight.
+MOST_TASKS = 20_000
 MANIFEST_DDL = "path string, start long, length long, records long"
 CHUNK_DDL = (
     "record_id string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, "
@@ -212,7 +214,8 @@ def read_chunks(manifest: DataFrame, root: str | None = None, chunk: int = CHUNK
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return manifest.repartition("path", "start").mapInArrow(read, CHUNK_DDL)
+    n = manifest.count()  # about a task a segment, up to a number that the driver can plan
+    return manifest.repartition(max(1, min(n, max(MOST_TASKS, n // 8)))).mapInArrow(read, CHUNK_DDL)
 
 
 def warc_round_trip(pages: DataFrame, min_bytes: int = 0, chunk: int = CHUNK_BYTES, segment: int = SEGMENT_BYTES) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 
 pytest.importorskip("dubflow.llm")
 
-from dubflow.llm import chat, decontaminate, exact_dedup, jaccard, packing, quality, repeats, sharding, toxicity, warc  # noqa: E402
+from dubflow.llm import chat, decontaminate, exact_dedup, jaccard, packing, quality, queries, repeats, sharding, toxicity, warc  # noqa: E402
 from dubflow.llm.queries import tokenizer_path  # noqa: E402
 
 #: Extra columns whose names the operators use inside.
@@ -86,6 +86,12 @@ def test_warc(spark):
         keep = max((a for a, _, x in rows if (x or "") == (h or "") and a is not None), default=None)
         want.append((i, len(p), warc.b32(hashlib.sha1(p).digest()), "response" if i == keep else "revisit", None if i == keep else keep))
     assert got == sorted(want, key=repr)
+    many = spark.range(3000).selectExpr("id as page_id", "'u' as url", "if(id % 3 = 0, 'copied page', concat('page ', id)) as html")
+    got = warc.warc_round_trip(many, segment=5000).collect()
+    assert {(r.page_id, r.refers_to) for r in got} == {(k, 2997 if k % 3 == 0 and k != 2997 else None) for k in range(3000)}
+    manifest = warc.write_archives(many, segment=5000)
+    read = warc.read_chunks(manifest, payload=False).selectExpr("spark_partition_id() as p").distinct().count()
+    assert read > manifest.count() / 2 > 8  # some two segments a task at most
     chunks = warc.read_chunks(warc.write_archives(pages.where("page_id = 6"), chunk=1000), chunk=1000).orderBy("chunk_no").collect()
     assert b"".join(bytes(c.chunk) for c in chunks) == big.encode() and len(chunks) == 600
     assert warc.warc_round_trip(pages.limit(0)).count() == 0
@@ -180,6 +186,48 @@ def test_shards(spark, docs, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def brute_place(x: int, n: int, seed: int) -> int:
+    """The permutation again, in Python's integers."""
+    a, b = sharding.sides(n)
+    prime = sharding.PRIME
+    while True:
+        left, right = x % a, x // a
+        for k in range(sharding.ROUNDS):
+            c = sharding.round_constant(seed, k)
+            y = right if k % 2 == 0 else left
+            y = pow((y * sharding.FIRST + c) % prime, 2, prime) * sharding.SECOND + c
+            if k % 2 == 0:
+                left = (left + y % prime) % a
+            else:
+                right = (right + y % prime) % b
+        x = left + right * a
+        if x < n:
+            return x
+
+
+def test_places_and_copies(spark):
+    got = sharding.place(spark.range(3000).withColumnRenamed("id", "row"), "row", 3000, 5, "p").orderBy("row").collect()
+    places = [r.p for r in got]
+    assert places == [brute_place(k, 3000, 5) for k in range(3000)]
+    assert abs(np.corrcoef(np.arange(3000), places)[0, 1]) < 0.08 and abs(np.corrcoef(places[:-1], places[1:])[0, 1]) < 0.08
+    # a third of the rows are equal, without id
+    rows = spark.createDataFrame([(None, "same")] * 500 + [(k, f"t{k}") for k in range(1000)], "doc_id long, text string")
+    got = sharding.shard_documents(rows).collect()
+    assert sorted(r.slot * 8 + r.shard for r in got) == list(range(1500)) and sum(r.doc_id is None for r in got) == 500
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql(spark, name):
+    import duckdb
+
+    from tests.test_oracles import DATA, TABLES, plain
+
+    db = duckdb.connect()
+    for t in TABLES:
+        db.sql(f"create view {t} as from '{DATA}/{t}.parquet'")
+    assert plain(queries.QUERIES[name](spark, DATA).toPandas()) == plain(db.sql(queries.ORACLES[name]).df())
+
+
 def brute_distance(p: str, t: str) -> int:
     row = [0] * (len(t) + 1)
     for i, a in enumerate(p, 1):
