@@ -1,13 +1,14 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over words and their characters, in numpy.
 
 A word enters as its own vector (frequent words of the training sample; the others share one) plus the mean of vectors of
-its character n-grams. A long word counts as several, its overlapping pieces. A document is cut into overlapping windows, all of them are scored, and the largest counts; in
+its character n-grams plus learnt directions times its evidence: how much more often toxic documents of the sample have
+the word, or twice one of its n-grams, than others. In training a document's words have the evidence of the other folds'
+documents, so the network learns what evidence is worth on documents it was not counted on, also from few labels. A long word counts as several, its overlapping pieces. A document is cut into overlapping windows, all of them are scored, and the largest counts; in
 training too, where the gradient flows through the largest window of each document.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,9 +23,14 @@ TRAIN_ROWS = 4_000
 TOGETHER = 4096
 THRESHOLD = 0.5
 #: Steps of training at least, however few the rows.
-LEAST_STEPS = 160
+LEAST_STEPS = 320
 WINDOW, STRIDE = 64, 48
 WORDS, NGRAMS, DIM, HIDDEN = 4096, 8192, 16, 8
+#: Words with evidence at most, hashed n-grams with evidence, folds of the training rows that it is counted by, and
+#: pseudo-documents behind each word.
+EVIDENCE_WORDS, EVIDENCE_GRAMS, FOLDS, PSEUDO = 16_384, 1 << 20, 5, 4.0
+#: Standard errors from which on evidence counts.
+SURE = 2.0
 CACHE_WORDS = 200_000
 #: Bytes of a word at most, and bytes that neighbouring pieces of a longer one share.
 PIECE, SHARED = 96, 16
@@ -60,23 +66,25 @@ def bare(word: str) -> str:
     return word[1:] if word[:1] == " " else word.strip(_TRIM) or word[:1]
 
 
-def ngram_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams of 3 to 5 bytes of the words between their ends, and where each word's rows begin.
+def ngram_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed n-grams of the words between their ends, where each word's rows begin, and longer n-grams hashed more finely.
 
-    A row for each byte, a column for each n; NGRAMS stands for none.
+    A row for each byte, a column for each n (3 to 5 bytes, 4 to 6); NGRAMS and EVIDENCE_GRAMS stand for none.
     """
     raw = [b"<" + (w.encode("utf-8", "replace") or b" ") + b">" for w in words]
     begins = np.cumsum([0, *map(len, raw)])
     data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
     left = np.repeat(begins[1:], np.diff(begins)) - np.arange(len(data))
-    out = np.full((len(data), 3), NGRAMS, np.int64)
+    out, fine = np.full((len(data), 3), NGRAMS, np.int64), np.full((len(data), 3), EVIDENCE_GRAMS, np.int64)
     h = data * np.uint32(2654435761)
-    for n in (2, 3, 4, 5):
-        shifted = np.concatenate([data[n - 1 :], np.zeros(n - 1, np.uint32)])
+    for n in (2, 3, 4, 5, 6):
+        shifted = np.concatenate([data[n - 1 :], np.zeros(n - 1, np.uint32)])[: len(data)]
         h = (h ^ shifted) * np.uint32(16777619) + np.uint32(n)
-        if n > 2:
+        if 2 < n < 6:
             out[:, n - 3] = np.where(left >= n, (h >> np.uint32(9)) % np.uint32(NGRAMS), NGRAMS)
-    return out, begins[:-1]
+        if n > 3:
+            fine[:, n - 4] = np.where(left >= n, (h ^ h >> np.uint32(15)) % np.uint32(EVIDENCE_GRAMS), EVIDENCE_GRAMS)
+    return out, begins[:-1], fine
 
 
 def windows(n: int) -> list[tuple[int, int]]:
@@ -95,14 +103,30 @@ def _tanh(x):
     return 2 / (1 + np.exp(-2 * x)) - 1
 
 
+def evidence(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """From 0 to 1, of what so many documents of each class have: by the log odds over the classes' own, shrunk, as far as
+    they are sure and large."""
+    if not n_toxic or not n_clean:
+        return np.zeros(len(toxic), np.float32)
+    share = n_toxic / (n_toxic + n_clean)
+    a, b = toxic + PSEUDO * share, clean + PSEUDO * (1 - share)
+    odds = np.maximum(np.log(a / b) - np.log(share / (1 - share)), 0)
+    return (np.tanh(np.maximum(odds / np.sqrt(1 / a + 1 / b) - SURE, 0) / 2) * np.tanh(odds / 2)).astype(np.float32)
+
+
+def largest(table: np.ndarray, fine: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The largest value among each word's n-grams."""
+    return np.maximum.reduceat(table.take(fine).max(1), begins) if len(begins) else np.zeros(0, np.float32)
+
+
 class Network:
-    """Parameters p: word and n-gram vectors; for each direction W (inputs), U (state), b of update, reset and candidate; attention; output."""
+    """Parameters p: the directions of evidence E; word and n-gram vectors; for each direction W (inputs), U (state), b of update, reset and candidate; attention; output."""
 
     def __init__(self, vocabulary: dict[str, int], seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
-        self.vocabulary = vocabulary
+        self.vocabulary, self.evidence, self.gram_evidence = vocabulary, {}, np.zeros(EVIDENCE_GRAMS + 1, np.float32)
         new = lambda *s, k=0.3: (rng.standard_normal(s) * k).astype(np.float32)
-        self.p = {"words": new(WORDS, DIM, k=0.1), "ngrams": new(NGRAMS, DIM, k=0.3)}
+        self.p = {"words": new(WORDS, DIM, k=0.1), "ngrams": new(NGRAMS, DIM, k=0.1), "E": new(2, DIM, k=1.0)}
         for d in "fb":
             self.p |= {f"W{d}": new(DIM, 3 * HIDDEN), f"U{d}": new(HIDDEN, 3 * HIDDEN), f"b{d}": np.zeros(3 * HIDDEN, np.float32)}
         self.p |= {"A": new(2 * HIDDEN, HIDDEN), "a": new(HIDDEN), "o": new(2 * HIDDEN), "o0": np.array([-2.0], np.float32)}
@@ -110,17 +134,19 @@ class Network:
     # words to vectors
 
     def lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word rows, and the words' n-grams in one array with where each word's begin."""
+        """Word rows, the words' n-grams in one array with where each word's begin, and their evidence."""
         bares = [bare(w) for w in words]
-        return np.array([self.vocabulary.get(w, 0) for w in bares], np.int64), *ngram_ids(bares)
+        grams, begins, fine = ngram_ids(bares)
+        known = np.stack([np.array([self.evidence.get(w, 0) for w in bares], np.float32), largest(self.gram_evidence, fine, begins)], 1)
+        return np.array([self.vocabulary.get(w, 0) for w in bares], np.int64), grams, begins, known
 
     def vectors(self, looked: tuple) -> np.ndarray:
-        rows, grams, begins = looked
+        rows, grams, begins, known = looked
         table = np.concatenate([self.p["ngrams"], np.zeros((1, DIM), np.float32)])
         each = table.take(grams[:, 0], 0)
         each += table.take(grams[:, 1], 0)
         each += table.take(grams[:, 2], 0)
-        return self.p["words"][rows] + np.add.reduceat(each, begins, axis=0) / self.sizes(looked)[:, None]
+        return self.p["words"][rows] + known @ self.p["E"] + np.add.reduceat(each, begins, axis=0) / self.sizes(looked)[:, None]
 
     @staticmethod
     def sizes(looked: tuple) -> np.ndarray:
@@ -200,28 +226,53 @@ def _windows_of(docs: list[np.ndarray], spans: list[list[tuple[int, int]]]) -> t
     return at, real, owner
 
 
-def train(texts: list[str], y: np.ndarray, epochs: int = 4, batch: int = 128, rate: float = 0.01, seed: int = 7) -> Network:
+def train(texts: list[str], y: np.ndarray, epochs: int = 4, batch: int = 128, rate: float = 0.02, seed: int = 7) -> Network:
     """Adam on the logistic loss of each document's largest window. Without both classes the network gives a low score to all."""
-    seen: dict[str, int] = {}
     index: dict[str, int] = {}
-    docs = []
-    for t in texts:
-        ws = split_words(t)
-        for w in set(map(bare, ws)):
-            seen[w] = seen.get(w, 0) + 1
-        docs.append(np.array([index.setdefault(w, len(index)) for w in ws], np.int32))
-    frequent = sorted((w for w, n in seen.items() if n >= 3), key=lambda w: (-seen[w], w))[: WORDS - 1]
-    net = Network({w: k + 1 for k, w in enumerate(frequent)}, seed)
+    docs = [np.array([index.setdefault(w, len(index)) for w in split_words(t)], np.int32) for t in texts]
+    bares: dict[str, int] = {}
+    names = np.array([bares.setdefault(bare(w), len(bares)) for w in index], np.int64)  # words differ by signs around them
+    listed = list(bares)
+    _, starts, fine = ngram_ids(listed)
+    stops = np.append(starts[1:], len(fine))
+    fold_of = np.random.default_rng(seed).permutation(len(docs)) % FOLDS
+    have = np.zeros((FOLDS, 2, len(listed)), np.int32)
+    have_grams = np.zeros((FOLDS, 2, EVIDENCE_GRAMS + 1), np.int32)  # documents that have one twice
+    for ids, k, label in zip(docs, fold_of, y, strict=True):
+        mine, times = np.unique(names[ids], return_counts=True)
+        have[k, int(label), mine] += 1
+        n = stops[mine] - starts[mine]
+        at = np.repeat(starts[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        grams, where = np.unique(fine[at], return_inverse=True)
+        have_grams[k, int(label), grams[np.bincount(where.ravel(), np.repeat(np.repeat(times, n), 3), len(grams)) > 1]] += 1
+    seen = have.sum((0, 1))
+    frequent = sorted(np.flatnonzero(seen >= 3).tolist(), key=lambda i: (-seen[i], listed[i]))[: WORDS - 1]
+    net = Network({listed[i]: k + 1 for k, i in enumerate(frequent)}, seed)
     if len(y) == 0 or y.min() == y.max():
         net.p["o"][:] = 0
         return net
-    rows, grams, begins = net.lookup(list(index))
+
+    def known(folds: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        mine = np.isin(fold_of, folds)
+        sizes = int(y[mine].sum()), int((1 - y[mine]).sum())
+        table = evidence(have_grams[folds, 1].sum(0), have_grams[folds, 0].sum(0), *sizes)
+        table[EVIDENCE_GRAMS] = 0
+        return evidence(have[folds, 1].sum(0), have[folds, 0].sum(0), *sizes), table
+
+    every, net.gram_evidence = known(list(range(FOLDS)))
+    strongest = np.argsort(-every, kind="stable")[:EVIDENCE_WORDS]
+    net.evidence = {listed[i]: float(every[i]) for i in strongest if every[i]}
+    elsewhere = []
+    for k in range(FOLDS):
+        words, table = known([j for j in range(FOLDS) if j != k])
+        elsewhere.append(np.stack([words, largest(table, fine, starts)], 1)[names])
+    rows, grams, begins, _ = net.lookup(list(index))
     ends = np.append(begins[1:], len(grams))
 
-    def some(used: np.ndarray) -> tuple:
+    def some(used: np.ndarray, k: int) -> tuple:
         n = ends[used] - begins[used]
         first = np.cumsum(n) - n
-        return rows[used], grams[np.repeat(begins[used] - first, n) + np.arange(n.sum())], first
+        return rows[used], grams[np.repeat(begins[used] - first, n) + np.arange(n.sum())], first, elsewhere[k][used]
 
     state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     rng, step = np.random.default_rng(seed), 0
@@ -229,8 +280,9 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 4, batch: int = 128, ra
     epochs = max(epochs, -(-LEAST_STEPS * batch // len(docs)))
     for epoch in range(epochs):
         order = rng.permutation(len(docs))
-        for i in range(0, len(order), batch):
-            mine = order[i : i + batch]
+        parts = [(k, mine[i : i + batch]) for k in range(FOLDS) for mine in [order[fold_of[order] == k]] for i in range(0, len(mine), batch)]
+        for j in rng.permutation(len(parts)):
+            fold_now, mine = parts[j]
             spans = [windows(len(docs[k])) for k in mine]
             flat = [(k, span) for k, each in enumerate(spans) for span in each]
             top, best = np.full(len(mine), -np.inf), [None] * len(mine)
@@ -238,19 +290,20 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 4, batch: int = 128, ra
                 now = flat[j : j + TOGETHER]
                 at, real, _ = _windows_of([docs[mine[k]] for k, _ in now], [[span] for _, span in now])
                 used, inverse = np.unique(at, return_inverse=True)
-                logit = net.forward(net.vectors(some(used)), inverse.reshape(real.shape), real)
+                logit = net.forward(net.vectors(some(used, fold_now)), inverse.reshape(real.shape), real)
                 for (k, span), v in zip(now, logit.tolist(), strict=True):
                     if best[k] is None or v > top[k]:
                         top[k], best[k] = v, span
             at, real, _ = _windows_of([docs[k] for k in mine], [[span] for span in best])
             used, inverse = np.unique(at, return_inverse=True)
-            part, inverse = some(used), inverse.reshape(-1, WINDOW)
+            part, inverse = some(used, fold_now), inverse.reshape(-1, WINDOW)
             x = net.vectors(part)
             logit, kept = net.forward(x, inverse, real, keep=True)
             g = ((_sigmoid(logit) - y[mine]) / len(mine)).astype(np.float32)
             grad, gx = net.backward(x, inverse, real, kept, g)
             each = np.repeat(gx / net.sizes(part)[:, None], np.diff(np.append(part[2], len(part[1]))), axis=0)
             at_rows, at_grams = part[0], part[1].T.ravel()
+            grad["E"] = part[3].T @ gx
             grad["words"] = np.stack([np.bincount(at_rows, gx[:, j], WORDS) for j in range(DIM)], 1)
             grad["ngrams"] = np.stack([np.bincount(at_grams, np.tile(each[:, j], 3), NGRAMS + 1)[:NGRAMS] for j in range(DIM)], 1)
             step += 1
@@ -300,8 +353,6 @@ class Scorer:
         return _sigmoid(out.astype(np.float64))
 
 
-
-
 def fit_toxicity(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Network:
     """The network, fitted on the driver on at most `limit` labelled rows, sent whole."""
     prepare(docs.sparkSession)

@@ -299,6 +299,51 @@ def test_quality(spark):
     assert quality.keep_quality(docs, labels).columns == docs.columns
 
 
+def test_forward_word_by_word():
+    """Gates, states and attention of windows, one word and one unit at a time."""
+    net = toxicity.Network({"a": 1}, 5)
+    p, rng = net.p, np.random.default_rng(3)
+    x = rng.standard_normal((6, toxicity.DIM)).astype(np.float32)
+    at = rng.integers(0, 6, (3, 5))
+    real = np.arange(5) < np.array([5, 3, 1])[:, None]
+    n, sig = toxicity.HIDDEN, lambda v: 1 / (1 + np.exp(-v))
+    want = []
+    for ids, live in zip(at, real, strict=True):
+        ids = ids[live]
+        sides = {}
+        for d, order in (("f", range(len(ids))), ("b", reversed(range(len(ids))))):
+            h, sides[d] = np.zeros(n), [None] * len(ids)
+            for s in order:
+                i = x[ids[s]] @ p[f"W{d}"] + p[f"b{d}"]
+                u = p[f"U{d}"]
+                z, r = (sig(i[k * n : k * n + n] + h @ u[:, k * n : k * n + n]) for k in (0, 1))
+                c = np.tanh(i[2 * n :] + (r * h) @ u[:, 2 * n :])
+                h = (1 - z) * h + z * c
+                sides[d][s] = h
+        states = [np.concatenate([f, b]) for f, b in zip(sides["f"], sides["b"], strict=True)]
+        e = np.array([np.exp(np.tanh(s @ p["A"]) @ p["a"]) for s in states])
+        want.append(sum(w * s for w, s in zip(e / e.sum(), states, strict=True)) @ p["o"] + p["o0"][0])
+    assert np.allclose(net.forward(x, at, real), want, atol=1e-4)
+
+
+def test_evidence():
+    got = toxicity.evidence(np.array([0, 3, 20, 20, 2, 30]), np.array([9, 200, 0, 200, 0, 30]), 40, 360)
+    assert got[0] == got[1] == 0 and got[2] > 0.9 > got[5] > got[3] and got[4] < 0.3 and not toxicity.evidence(np.ones(3), np.ones(3), 0, 9).any()
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_toxicity_from_few_labels(seed):
+    """Some 330 labels of sf0.1, some 40 of them toxic: the ranking of its held-out documents."""
+    import duckdb
+
+    rows = duckdb.sql("select doc_id, toxic, text from '/root/testdata/sf0.1/labels.parquet' join '/root/testdata/sf0.1/documents.parquet' using (doc_id) order by hash(doc_id)").fetchall()
+    held = [r for r in rows if quality.crc_fold(r[0]) == 0]
+    some = [r for r in rows if quality.crc_fold(r[0])][seed * 330 : seed * 330 + 330]
+    net = toxicity.train([r[2] for r in some], np.array([r[1] for r in some], np.float32), seed=seed)
+    score, y = toxicity.Scorer(net).scores([r[2] for r in held]), np.array([r[1] for r in held], bool)
+    assert (score[y][:, None] > score[~y]).mean() > 0.8
+
+
 def test_gradients():
     net = toxicity.Network({"a": 1, "b": 2}, 3)
     rng = np.random.default_rng(0)
