@@ -156,12 +156,18 @@ PARSED = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sh
 PARSED_DDL = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
 
 
-def read_back(segments: DataFrame, template: Template | None = None) -> DataFrame:
-    """Per conversation, from the formatted segments alone (as format_conversations orders them): counts and digests."""
+def read_back(segments: DataFrame, template: Template | None = None, ordered: bool = False) -> DataFrame:
+    """Per conversation, from the formatted segments alone: counts and digests.
+
+    Segments are put in order first, as those of a stored table need; `ordered` says that they come straight from
+    format_conversations. No segments: no rows.
+    """
     t = template or Template()
+    if not ordered:
+        segments = segments.repartition("conv_id").sortWithinPartitions("conv_id", "seg_no")
 
     def run(batches):
         rows = (x for b in batches for x in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True))
         yield from _batches(parse_segments(rows, t), PARSED)
 
-    return segments.mapInArrow(run, PARSED_DDL)
+    return segments.select(*SEGMENTS.names).mapInArrow(run, PARSED_DDL)

@@ -17,9 +17,17 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bounds the batches that go to Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """Bounds the batches that go to Python, for as long as the session lasts: plans read the setting when they run.
+    Smaller bounds of the session's own stay."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name)
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, most)
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns, by names that may have dots."""
+    return [F.col(f"`{c}`") for c in df.columns]
 
 
 def trim() -> None:
@@ -46,10 +54,13 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or (only where that is unset, as in tests) a new one."""
+    """The folder that all executors see: spark.checkpoint.dir, or (only where that is unset and all runs in one process, as
+    in tests) a new one."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="dubflow-")
         sc.setCheckpointDir(named)
     return f"{named.rstrip('/')}/dubflow-{sc.applicationId}"

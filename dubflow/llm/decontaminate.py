@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dubflow.llm.common import lean, prepare
+from dubflow.llm.common import columns, lean, materialize, prepare
 
 #: Edits allowed, as a share of the item's characters; bytes of items that one broadcast may have.
 EDIT_SHARE, BLOCK_BYTES = 0.08, 8 << 20
@@ -109,19 +109,15 @@ class Matcher:
                 yield item_id, best[0], best[1] - (back[1] if back else m), best[1]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, item_id, distance, match_start, match_end) for each document and item with an occurrence in its budget.
-
-    The budget is int(share * characters of the normalised item); offsets are in the normalised text. Items are
-    broadcast a block of bounded bytes at a time, each block against all documents, so a benchmark of any size is whole.
-    Null or blank texts and items match nothing; equal items match each; a repeated row gives its rows again.
-    """
+def _leaks(docs: DataFrame, benchmark: DataFrame, share: float, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
+    """The columns of find_leaks and text_hash, which with doc_id tells rows apart that share an id."""
     spark = docs.sparkSession
     prepare(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).where("text is not null")
     out = None
     for k in range(blocks):
         part = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
@@ -130,19 +126,32 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE,
         def run(batches, send=send):
             matcher = Matcher(send.value, share)
             for b in batches:
-                rows = [(doc, *found) for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for found in matcher.search(text)]
+                rows = [(h, doc, *found) for doc, text, h in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True) for found in matcher.search(text)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), MATCH, strict=True)], schema=MATCH)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), *MATCH.types], strict=True)], names=["text_hash", *MATCH.names])
 
-        found = texts.mapInArrow(lean(run), MATCH_DDL)
+        found = texts.mapInArrow(lean(run), "text_hash long, " + MATCH_DDL)
+        if blocks > 1:  # a block's items leave memory before the next block's come
+            found = materialize(found, "leaks")
+            send.unpersist(blocking=True)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
-    """docs without those in which an item occurs; all columns stay, rows without doc_id too unless another such row matches."""
-    from dubflow.llm.common import materialize
+def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, item_id, distance, match_start, match_end) for each document and item with an occurrence in its budget.
+
+    The budget is int(share * characters of the normalised item); offsets are in the normalised text. Items are
+    broadcast a block of bounded bytes at a time, each block against all documents, so a benchmark of any size is whole.
+    Null or blank texts and items match nothing; equal items match each; a repeated row gives its rows again.
+    """
+    return _leaks(docs, benchmark, share, id_col, text_col, block_bytes).drop("text_hash")
 
-    leaks = materialize(find_leaks(docs, benchmark, share).select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
-    tagged = docs.withColumn("__id_of", F.col("doc_id").cast("long"))
-    return tagged.join(leaks, F.col("__id_of").eqNullSafe(F.col("__leak")), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
+    """docs without the rows in whose text an item occurs, whatever other rows share their id; all columns stay."""
+    leaks = _leaks(docs, benchmark, share, "doc_id", "text", BLOCK_BYTES).select(F.col("doc_id").alias("leak"), "text_hash")
+    leaks = materialize(leaks.distinct(), "leaks")
+    rows = docs.select(F.struct(*columns(docs)).alias("row"))
+    hit = F.col("row.doc_id").cast("long").eqNullSafe(F.col("leak")) & (F.xxhash64(F.col("row.text").cast("string")) == F.col("text_hash"))
+    return rows.join(leaks, hit, "left_anti").select("row.*")

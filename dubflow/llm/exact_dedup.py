@@ -12,10 +12,10 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dubflow.llm.common import join_classes, materialize, new_path, prepare, utf8
+from dubflow.llm.common import columns, join_classes, materialize, new_path, prepare, utf8
 
 #: Bytes of content a table holds before the bucket is split; files that one level splits a bucket into.
 TABLE_BYTES, FAN_OUT, ENTRY_BYTES = 96 << 20, 16, 200
@@ -182,12 +182,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text a row with a larger id has; of rows that repeat id and text, one stays. All columns stay."""
+    """docs without the rows whose text a row with a larger id has; all columns, whatever their names, stay.
+
+    Of rows that repeat id and text one stays, the first by its columns' JSON.
+    """
     kept = materialize(exact_groups(docs, id_col, text_col).where("kept").groupBy("doc_id", "text_sha256").count(), "kept")
     repeated = not kept.where("count > 1").isEmpty()
-    kept = kept.select(F.col("doc_id").alias("__keep"), F.unhex("text_sha256").alias("__sha"))
-    tagged = docs.withColumns({"__sha_of": F.unhex(F.sha2(utf8(text_col), 256)), "__id_of": F.col(id_col).cast("long")})
-    out = tagged.join(kept, F.col("__id_of").eqNullSafe(F.col("__keep")) & (F.col("__sha_of") == F.col("__sha")), "left_semi")
+    kept = kept.select(F.col("doc_id").alias("keep"), F.unhex("text_sha256").alias("sha"))
+    rows = docs.select(F.struct(*columns(docs)).alias("row"), F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(utf8(text_col), 256)).alias("sha_of"))
+    out = rows.join(kept, F.col("id").eqNullSafe(F.col("keep")) & (F.col("sha_of") == F.col("sha")), "left_semi")
     if repeated:
-        out = out.withColumn("__nth", F.row_number().over(Window.partitionBy("__id_of", "__sha_of").orderBy(F.lit(1)))).where("__nth = 1")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        out = out.groupBy("id", "sha_of").agg(F.min_by("row", F.to_json("row")).alias("row"))  # combined before the shuffle
+    return out.select("row.*")

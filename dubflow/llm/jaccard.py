@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dubflow.llm.common import join_classes, lean, materialize, prepare
+from dubflow.llm.common import columns, join_classes, lean, materialize, prepare, utf8
 
 #: Sets in one block; larger ones are dealt to cells.
 BLOCK_SETS = 2_000
@@ -61,24 +61,30 @@ def _batch(columns: dict, types: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[k], t) for k, t in types.items()], names=list(types))
 
 
-SETS = {"doc_id": pa.int64(), "n": pa.int64(), "digest": pa.binary(), "cls": pa.int64(), "e": pa.list_(pa.int64())}
+SETS = {"doc_id": pa.int64(), "text_hash": pa.int64(), "n": pa.int64(), "digest": pa.binary(), "cls": pa.int64(), "e": pa.list_(pa.int64())}
+#: Sets whose prefix a task remembers to have sent.
+SEEN_SETS = 1_000_000
 
 
-def set_rows(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
+def set_digest(tokens: bytes) -> tuple[bytes, int]:
+    digest = hashlib.blake2b(tokens, digest_size=16).digest()
+    return digest, int.from_bytes(digest[:8], "little", signed=True)
+
+
+def set_rows(batches: Iterator[pa.RecordBatch], words: int, percent: int, remembered: int = SEEN_SETS) -> Iterator[pa.RecordBatch]:
     """Per document: size and digest of its set; the prefix once a task and set."""
     seen: set[int] = set()
     for b in batches:
         out = {k: [] for k in SETS}
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for doc, text, text_hash in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             s = shingles(text, words)
-            digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-            cls = int.from_bytes(digest[:8], "little", signed=True)
+            digest, cls = set_digest(s.tobytes())
             new = len(s) > 0 and cls not in seen
             if new:
-                if len(seen) > 1_000_000:
+                if len(seen) > remembered:
                     seen.clear()
                 seen.add(cls)
-            for k, v in zip(SETS, (doc, len(s), digest, cls, s[: prefix_length(len(s), percent)] if new else None), strict=True):
+            for k, v in zip(SETS, (doc, text_hash, len(s), digest, cls, s[: prefix_length(len(s), percent)] if new else None), strict=True):
                 out[k].append(v)
         yield _batch(out, SETS)
 
@@ -207,7 +213,7 @@ def _joined(narrow: DataFrame, full: DataFrame, percent: int, exact: bool) -> Da
     else:
         cells = F.transform(F.when(F.col("id") == F.col("pivot"), every).otherwise(F.array(part)), lambda j: F.struct(j.alias("k2"), j.alias("k3")))
     rows = rows.select("key", "id", "comp", F.explode(cells).alias("cell")).select("key", "cell.k2", "cell.k3", "id", "comp")
-    rows = rows.join(full.select(F.col("rep").alias("id"), "n", "tokens"), "id").select("key", "k2", "k3", "comp", "tokens", "n")
+    rows = rows.join(full.select(F.col("node").alias("id"), "n", "tokens"), "id").select("key", "k2", "k3", "comp", "tokens", "n")
     rows = rows.repartition("key", "k2", "k3").sortWithinPartitions("key", "k2", "k3", "n", "comp").drop("n")
     return materialize(rows.mapInArrow(lean(lambda it: block_links(it, percent)), "a long, b long"), "edges")
 
@@ -263,7 +269,12 @@ def shared_tokens(rows: DataFrame, total: int) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id.
+    """doc_id, n_shingles, component_id per row of docs. What holds there holds here."""
+    return _groups(docs, words, percent, id_col, text_col).drop("text_hash", "group_no")
+
+
+def _groups(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Per row of docs: doc_id, text_hash, n_shingles, component_id and group_no, which tells groups apart that share an id.
 
     Sets of distinct word n-grams (with fewer words: the whole sequence); two link when 100 * intersection >= percent *
     union; component_id is the smallest doc_id that links reach, itself included. Null or blank texts have no shingles
@@ -272,29 +283,35 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     """
     spark = docs.sparkSession
     prepare(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    sets = materialize(texts.mapInArrow(lean(lambda it: set_rows(it, words, percent)), "doc_id long, n long, digest binary, cls long, e array<long>"), "sets")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"), F.xxhash64(utf8(text_col)).alias("text_hash"))
+    sets = materialize(texts.mapInArrow(lean(lambda it: set_rows(it, words, percent)), "doc_id long, text_hash long, n long, digest binary, cls long, e array<long>"), "sets")
     classes = materialize(sets.where("n > 0 and doc_id is not null").groupBy("digest", "cls", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "set-classes")
     total = classes.agg(F.sum("copies")).first()[0] or 0
+    # a class is known by its smallest doc_id; of classes that share that, all but one by a number of their own
+    repeated = not classes.groupBy("rep").count().where("count > 1").isEmpty()
+    node = F.when(F.row_number().over(Window.partitionBy("rep").orderBy("digest")) == 1, F.col("rep")).otherwise(F.xxhash64("digest") % (1 << 61) - (1 << 62)) if repeated else F.col("rep")
+    classes = classes.withColumn("node", node)
 
     rows = sets.where("e is not null").select(F.explode("e").alias("token"), F.col("cls").alias("id"), F.col("cls").alias("who"))
     tokens = materialize(shared_tokens(rows, total), "shared-tokens")
 
     least = F.ceil(F.col("n") * percent / 100).cast("long")
     need = F.greatest(F.lit(1), F.floor(least * 6 / 100).cast("int"))
-    close = tokens.groupBy(F.col("id").alias("cls")).agg(F.count(F.lit(1)).alias("have")).join(classes.select("cls", "rep", "n"), "cls").where(F.col("have") >= need)
-    close = materialize(close.select("cls", "rep", "n", need.alias("need")), "close-sets")
+    close = tokens.groupBy(F.col("id").alias("cls")).agg(F.count(F.lit(1)).alias("have")).join(classes.select("cls", "rep", "node", "n"), "cls").where(F.col("have") >= need)
+    close = materialize(close.select("cls", "rep", "node", "n", need.alias("need")), "close-sets")
 
     def whole(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), pa.array([shingles(t, words).tobytes() for t in b.column(0).to_pylist()], pa.binary())], names=["rep", "cls", "n", "tokens"])
+            tokens = [shingles(t, words).tobytes() for t in b.column(0).to_pylist()]
+            # a repeated id may bring another text: only the set of the class counts
+            same = pa.array([set_digest(t)[1] == c for t, c in zip(tokens, b.column(1).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), pa.array(tokens, pa.binary())], names=["node", "n", "tokens"]).filter(same)
 
-    wanted = close.select("rep", "cls", "n").hint("shuffle_hash")
-    found = texts.join(wanted, F.col("doc_id") == F.col("rep")).select("text", "rep", "cls", "n").mapInArrow(lean(whole), "rep long, cls long, n long, tokens binary")
-    # a repeated id may bring another text: only the set of the class counts
-    full = materialize(found.where(F.octet_length("tokens") == 8 * F.col("n")).dropDuplicates(["rep", "cls"]), "full-sets")
+    wanted = close.select("rep", "cls", "node", "n").hint("shuffle_hash")
+    found = texts.join(wanted, F.col("doc_id") == F.col("rep")).select("text", "cls", "node", "n").mapInArrow(lean(whole), "node long, n long, tokens binary")
+    full = materialize(found.dropDuplicates(["node"]), "full-sets")
 
-    mine = tokens.join(close.select("cls", "rep", "need"), F.col("id") == F.col("cls")).select("token", "hot", F.col("rep").alias("id"), "need")
+    mine = tokens.join(close.select("cls", "node", "need"), F.col("id") == F.col("cls")).select("token", "hot", F.col("node").alias("id"), "need")
     mine = materialize(mine, "close-tokens")
     keys = [mine.where("not hot").groupBy("id").agg(F.min_by("token", F.xxhash64("token", F.lit(k))).alias("key")) for k in range(2)]
     first = _joined(keys[0].unionByName(keys[1]).distinct().withColumn("comp", F.col("id")), full, percent, exact=False)
@@ -305,19 +322,19 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     known = mine.join(label, "id", "left").withColumn("comp", F.coalesce("component", "id"))
     mixed = known.where("not hot").groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select(F.col("token").alias("t"))
     active = known.where("not hot").join(mixed, F.col("token") == F.col("t"), "left_semi").unionByName(known.where("hot"))
-    active = active.groupBy("id", "comp", "need").agg(F.count(F.lit(1)).alias("have")).where("have >= need").select(F.col("id").alias("rep"), "comp")
-    active = full.join(active, "rep").select("rep", "comp", "tokens")
+    active = active.groupBy("id", "comp", "need").agg(F.count(F.lit(1)).alias("have")).where("have >= need").select(F.col("id").alias("node"), "comp")
+    active = full.join(active, "node").select("node", "comp", "tokens")
 
     def exploded(batches):
         for b in batches:
-            for rep, comp, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for node, comp, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 token = np.frombuffer(raw, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.full(len(token), rep)), pa.array(np.full(len(token), comp))], names=["token", "id", "who"])
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.full(len(token), node)), pa.array(np.full(len(token), comp))], names=["token", "id", "who"])
 
     wide = shared_tokens(active.mapInArrow(lean(exploded), "token long, id long, who long"), total)
     wide = materialize(wide.join(label, "id", "left").select("token", "id", F.coalesce("component", "id").alias("comp")), "mixed-tokens")
     bound = F.ceil(F.col("n") * percent / 100)
-    have = wide.groupBy("id").agg(F.count(F.lit(1)).alias("have")).join(close.select(F.col("rep").alias("id"), "n"), "id").where(F.col("have") >= bound)
+    have = wide.groupBy("id").agg(F.count(F.lit(1)).alias("have")).join(close.select(F.col("node").alias("id"), "n"), "id").where(F.col("have") >= bound)
     have = materialize(have.select("id", (F.col("have") - bound + 1).cast("int").alias("most")), "active-sets")
     wide = wide.join(have, "id")
     freq = wide.groupBy("token").agg(F.count(F.lit(1)).alias("f")).select(F.col("token").alias("t"), "f")
@@ -330,13 +347,32 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     second = _joined(narrow, full, percent, exact=True)
     final = components(first.unionByName(second))
 
-    named = materialize(classes.join(final, F.col("rep") == F.col("node"), "left").select("digest", "copies", F.coalesce("component", "rep").alias("component_id")), "set-components")
-    out = join_classes(sets.select("doc_id", "n", "digest"), named, "digest", "copies", total, F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    final = final.withColumnRenamed("node", "linked")
+    named = classes.join(final, F.col("node") == F.col("linked"), "left").select("digest", "copies", "rep", F.coalesce("component", "node").alias("component"))
+    if repeated:
+        least_id = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+        named = named.join(least_id, "component")
+    else:
+        named = named.withColumn("component_id", F.col("component"))
+    named = materialize(named.select("digest", "copies", "component_id", F.col("component").alias("group_no")), "set-components")
+    out = join_classes(sets.select("doc_id", "text_hash", "n", "digest"), named, "digest", "copies", total, F.col("doc_id"))
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("group_no")).alias("group_no"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group of similar ones: that with the smallest doc_id. All columns stay; rows without id do."""
-    kept = materialize(similar_groups(docs, words, percent).where("doc_id <=> component_id").select(F.col("doc_id").alias("__keep")).distinct(), "kept")
-    tagged = docs.withColumn("__id_of", F.col("doc_id").cast("long"))
-    return tagged.join(kept, F.col("__id_of").eqNullSafe(F.col("__keep")), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs with one document of each group of similar ones: that with the smallest doc_id, of several the smallest hash of
+    the text, of rows equal in both the first by its columns' JSON. All columns, whatever their names, stay; so
+    do rows without words, and rows without id whose set of shingles no row with an id has."""
+    groups = _groups(docs, words, percent, "doc_id", "text")
+    groups = materialize(groups.where("group_no is null or doc_id = component_id"), "candidates")
+    alone = groups.where("group_no is null").select("doc_id", "text_hash").distinct().withColumn("one", F.lit(False))
+    first = groups.where("group_no is not null").groupBy("group_no").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"), F.count(F.lit(1)).alias("rows"))
+    first = materialize(first, "kept")
+    repeated = not first.where("rows > 1").isEmpty()
+    kept = alone.unionByName(first.select("doc_id", "text_hash", F.lit(True).alias("one"))).withColumnRenamed("doc_id", "keep")
+    rows = docs.select(F.struct(*columns(docs)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(utf8("text")).alias("hash"))
+    out = rows.join(kept, F.col("id").eqNullSafe(F.col("keep")) & (F.col("hash") == F.col("text_hash")))
+    if repeated:
+        once = out.where("one").groupBy("id", "hash").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        return out.where("not one").select("row.*").unionByName(once.select("row.*"))
+    return out.select("row.*")

@@ -173,19 +173,20 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
             least = items[-1]
             used[least] -= 1
             room = gap + least
-            first = free[free < room]
-            first = first[left[first] > np.array([used[int(a)] for a in first])] if len(used) and len(first) else first
-            second = below[room - first]
+            # every pair of unpacked lengths: to each first one the largest second one that fits
+            unpacked = left.copy()
+            for k, n in used.items():
+                unpacked[k] -= n
+            first = np.flatnonzero(unpacked[:room])
+            largest = np.maximum.accumulate(np.where(unpacked > 0, every, 0))
+            second = largest[room - first]
+            alone = (second == first) & (unpacked[first] < 2)
+            second[alone] = largest[first[alone] - 1]
+            sums = np.where(second > 0, first + second, 0)
             best, pair = least, None
-            for i in np.argsort(-(first + second), kind="stable")[:64]:
-                a = int(first[i])
-                used[a] += 1
-                b = fitting(room - a)
-                used[a] -= 1
-                if b and a + b > best:
-                    best, pair = a + b, (a, b)
-                if int(first[i] + second[i]) <= best:
-                    break
+            if len(sums) and sums.max() > least:
+                i = int(sums.argmax())
+                best, pair = int(sums[i]), (int(first[i]), int(second[i]))
             if pair is None:
                 used[least] += 1
                 break

@@ -182,9 +182,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, limit: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of docs that score at least the threshold; all columns stay."""
+    """The rows of docs that score at least the threshold; all columns, whatever their names, stay as they are."""
     model = scorer(fit_quality(docs, labels, limit))
-    return docs.withColumn("__score", model(F.col("text").cast("string"))).where(F.col("__score") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.where(model(F.col("text").cast("string")) >= threshold)
 
 
 def crc_fold(doc_id: int) -> int:

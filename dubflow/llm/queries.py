@@ -74,7 +74,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     extra = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return read_back(format_conversations(rows))
+    return read_back(format_conversations(rows), ordered=True)
 
 
 QUERIES = {f.__name__: f for f in (op1_grace_dedup, op2_warc_chunks, op3_run_length_index, op4_feistel_shards, op5_pigeonhole_edits, op6_boosted_quality, op7_recurrent_toxicity, op8_best_two_fit, op9_prefix_tree_join, op10_chat_format)}

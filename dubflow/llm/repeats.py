@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from dubflow.llm.common import join_classes, materialize, prepare, utf8
 
 #: Bytes of the repeats to find; of the k-grams (a multiple of 32); of a piece of text hashed, and of segments indexed, at a time.
-LEAST, KGRAM, PIECE_BYTES, INDEX_BYTES = 400, 96, 256 << 10, 1 << 20
+LEAST, KGRAM, PIECE_BYTES, INDEX_BYTES = 400, 96, 256 << 10, 256 << 10
 #: Windows of one segment at most.
 SEGMENT_STARTS = 16_384
 MAX_HASH = np.uint64((1 << 64) - 1)
@@ -120,6 +120,13 @@ def segments(texts: list[bytes], demote: Demotion, least: int = LEAST, k: int =
         yield from work(group)
 
 
+def _order(key: np.ndarray, bits: int) -> np.ndarray:
+    """Where the sorted keys were; keys that leave `bits` bits are sorted together with their places."""
+    if len(key) and int(key.max()).bit_length() + bits < 64:
+        return np.sort((key << bits) | np.arange(len(key))) & (1 << bits) - 1
+    return np.argsort(key, kind="stable")
+
+
 class RunLengthIndex:
     """Run-compressed BWT of weighted byte strings with sampled run ends and matching statistics against every other place.
 
@@ -142,28 +149,33 @@ class RunLengthIndex:
         """Suffixes, cut at their string's end and at `cap` bytes at least, in order; ranks of all prefix doublings."""
         n, data = len(self.data), self.data
         every = np.arange(n)
+        present = np.zeros(256, bool)
+        present[data] = True
+        codes = np.cumsum(present)[data]
+        bits, width = n.bit_length(), int(present.sum()).bit_length()
+        first = max(1, min(16, (62 - bits) // width))
         key = np.zeros(n, np.int64)
-        for j in range(7):
-            shifted = np.zeros(n, np.int64)
-            shifted[: n - j] = data[j:].astype(np.int64) + 1
-            key = (key << 9) | np.where(every + j < end, shifted, 0)
-        order = np.argsort(key, kind="stable")
+        for j in range(first):
+            key <<= width
+            part = key[: n - j]
+            np.bitwise_or(part, codes[j:], out=part, where=every[: n - j] + j < end[: n - j])
+        order = _order(key, bits)
         heads = np.ones(n, bool)
         heads[1:] = key[order][1:] != key[order][:-1]
         rank = np.empty(n, np.int32)
         rank[order] = np.maximum.accumulate(np.where(heads, every, 0))
-        levels, h = [(7, rank)], 7
+        levels, h = [(first, rank)], first
         while h < self.cap:
             tied = ~heads
             tied[:-1] |= ~heads[1:]
             idx = np.flatnonzero(tied)
-            rank = rank.copy()
             if len(idx):
+                rank = rank.copy()
                 pos = order[idx]
                 at = pos + h
-                second = np.where(at < end[pos], levels[-1][1][np.minimum(at, n - 1)].astype(np.int64) + 1, 0)
-                k = rank[pos].astype(np.int64) * (n + 2) + second
-                o = np.argsort(k, kind="stable")
+                second = np.where(at < end[pos], levels[-1][1].take(at, mode="clip") + 1, 0)
+                k = (np.cumsum(heads[idx]) << bits) | second
+                o = _order(k, bits)
                 pos, k = pos[o], k[o]
                 order[idx] = pos
                 head = np.ones(len(k), bool)
@@ -189,26 +201,27 @@ class RunLengthIndex:
         s = len(self.ends)
         edge = (head | np.append(head[1:], True))[s:]
         q = order[edge & (bwt[s:] != 0)]
-        self.samples = np.unique(np.concatenate([q - 1, self.ends - 1]))
-        place = np.empty(n, np.int64)
-        place[order] = np.arange(n)
-        i, p = self.samples, place[self.samples]
-        near = [self._common(levels, end, i, order[np.maximum(p - 1, 0)], p > 0), self._common(levels, end, i, order[np.minimum(p + 1, n - 1)], p < n - 1)]
-        own = np.where(weight[i] > 1, np.minimum(end[i] - i, self.cap), 0)  # a copy of the same string
-        self.sampled = np.maximum(np.maximum(*near), own)
+        chosen = np.zeros(n, bool)
+        chosen[q - 1] = chosen[self.ends - 1] = True
+        self.samples = np.flatnonzero(chosen)
+        self.sampled = np.minimum(end[self.samples] - self.samples, self.cap)  # of a string with copies: a copy goes to its end
+        alone = np.flatnonzero(weight[self.samples] == 1)
+        place = np.empty(n, np.int32)
+        place[order] = np.arange(n, dtype=np.int32)
+        i = self.samples[alone]
+        p = place[i]
+        self.sampled[alone] = np.maximum(self._common(levels, end, i, order[np.maximum(p - 1, 0)], p > 0), self._common(levels, end, i, order[np.minimum(p + 1, n - 1)], p < n - 1))
 
     def _common(self, levels: list, end: np.ndarray, i: np.ndarray, j: np.ndarray, real: np.ndarray) -> np.ndarray:
         """Length of the common prefix of suffixes, up to cap."""
-        n, most = len(self.data), np.minimum(end[i] - i, end[j] - j)
+        most = np.where(real, np.minimum(np.minimum(end[i] - i, end[j] - j), self.cap), 0)
         done = np.zeros(len(i), np.int64)
         for h, rank in reversed(levels):
-            a, b = i + done, j + done
-            same = (done < most) & (rank[np.minimum(a, n - 1)] == rank[np.minimum(b, n - 1)])
+            same = (done < most) & (rank.take(i + done, mode="clip") == rank.take(j + done, mode="clip"))
             done = np.minimum(done + h * same, most)
-        for _ in range(6):
-            a, b = np.minimum(i + done, n - 1), np.minimum(j + done, n - 1)
-            done = done + ((done < most) & (self.data[a] == self.data[b]))
-        return np.where(real, np.minimum(done, self.cap), 0)
+        for _ in range(levels[0][0] - 1):
+            done += (done < most) & (self.data.take(i + done, mode="clip") == self.data.take(j + done, mode="clip"))
+        return done
 
     def count(self, patterns: np.ndarray) -> np.ndarray:
         """Occurrences of each row of bytes (at most `cap` of them), copies included: backward search over the runs."""
@@ -242,8 +255,7 @@ class RunLengthIndex:
         hit = np.zeros(len(self.data) + 2, np.int8)
         hit[1:-1] = self.statistics() >= self.cap
         edge = np.flatnonzero(np.diff(hit))
-        for a, b in zip(edge[::2], edge[1::2] - 1, strict=True):
-            s = int(np.searchsorted(self.ends, a, "right"))
+        for a, b, s in zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), np.searchsorted(self.ends, edge[::2], "right").tolist(), strict=True):
             while a <= b:  # strings follow each other without a gap
                 last = min(int(b), int(self.ends[s]) - 1)
                 yield s, int(a - self.begins[s]), int(last - self.begins[s])
@@ -303,14 +315,14 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, k: int = KGRAM, id_col:
     distinct = materialize(distinct.select("f", "seg", "c", "x.*"), "distinct-segments")
 
     # the bytes of each distinct segment, from the whole text of one document that has it
-    large = distinct.groupBy("f").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("s2") - F.col("s1") + least).alias("size")).where(F.col("size") > index_bytes).select("f", "k")
+    large = distinct.groupBy("f").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("s2") - F.col("s1") + least).alias("size")).where(F.col("size") > 4 * index_bytes).select("f", "k")
     flagged = join_classes(distinct, large, ["f"], "k", distinct.count(), F.xxhash64("rk", "s1")).withColumn("wide", F.col("k").isNotNull())
     wanted = flagged.groupBy(F.col("doc").alias("d"), F.col("rk").alias("r")).agg(F.collect_list(F.struct("f", "seg", "c", "wide", "s1", "s2")).alias("l")).hint("shuffle_hash")  # a document's own segments
     taken = long.join(wanted, (F.col("doc") == F.col("d")) & (F.col("rk") == F.col("r"))).select(F.explode("l").alias("x"), "text")
     taken = taken.select("x.f", "x.seg", "x.c", "x.wide", F.expr(f"substring(text, int(x.s1) + 1, int(x.s2 - x.s1) + {least})").alias("bytes"))
 
     def dealt(batches):
-        """Segments of an f with more than a block of bytes are cut anew, by the smallest of longer k-grams: equal windows stay together."""
+        """Segments of an f with more than four blocks of bytes are cut anew, by the smallest of longer k-grams: equal windows stay together."""
         none, deep = Demotion(np.zeros(0, np.uint64)), min(least, 2 * k)
         for b in batches:
             rows = []

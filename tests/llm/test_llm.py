@@ -6,7 +6,9 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("dubflow.llm")
 
@@ -466,10 +468,179 @@ def test_similar_random(spark):
     assert sorted(map(tuple, jaccard.similar_groups(df, 2, 80).collect())) == sorted(brute_groups(rows, 2, 80))
 
 
+def test_keep_one(spark, docs, empty):
+    """One row of each group stays, with all its columns; ids that several texts share don't matter."""
+    assert jaccard.keep_one(empty).count() == 0 and jaccard.keep_one(empty).columns == empty.columns
+    rng = random.Random(11)
+    long = [" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(4)]
+    near = [t.rsplit(" ", 1)[0] + " other" for t in long]
+    rows = [
+        (1, long[0], 1, "a"), (2, near[0], 2, "a"), (5, long[1], 3, "a"), (5, long[2], 4, "a"), (5, near[2], 5, "a"),  # one id, two groups
+        (6, near[1], 6, "a"), (7, long[3], 7, "a"), (7, long[3], 8, "b"), (8, "", 9, "a"), (8, "", 10, "a"), (9, None, 11, "a"), (None, long[0], 12, "a"), (None, "of no one " * 9, 13, "a"),
+    ]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, one int, `row.a` string"))
+    assert kept.columns == ["doc_id", "text", "one", "row.a"]
+    got = sorted(r[2] for r in kept.collect())
+    assert [k for k in got if k not in (4, 5)] == [1, 3, 7, 9, 10, 11, 13] and len(got) == 8
+    groups = {(r.doc_id, r.component_id) for r in jaccard.similar_groups(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert groups == {(1, 1), (2, 1), (5, 5), (6, 5), (7, 7), (8, 8), (9, 9), (None, 1), (None, None)}
+
+
+def test_deduplicate_columns(spark):
+    rows = [(1, "a", 5, "x"), (1, "a", 4, "y"), (2, "a", 3, "z"), (2, "a", 9, "z"), (3, "b", 1, None), (3, "c", 2, None), (None, "d", 1, None)]
+    kept = exact_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, __sha_of int, `a.b` string").repartition(5))
+    assert kept.columns == ["doc_id", "text", "__sha_of", "a.b"]
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(2, "a", 3, "z"), (3, "b", 1, None), (3, "c", 2, None), (None, "d", 1, None)], key=repr)
+
+
+def test_decontaminate_rows(spark, empty):
+    item = "a benchmark question of some length about rivers"
+    docs = spark.createDataFrame([(1, "x " + item, 1), (1, "clean words", 2), (None, item, 3), (None, None, 4)], "doc_id long, text string, leak int")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontaminate.decontaminate(docs, bench)
+    assert kept.columns == docs.columns and sorted(r.leak for r in kept.collect()) == [2, 4]
+    assert decontaminate.decontaminate(empty, bench).count() == 0 and decontaminate.decontaminate(docs, bench.limit(0)).count() == 4
+
+
+def test_keep_quality(spark):
+    docs, labels = labelled(spark, lambda w, r: w.upper() + "!!", "quality")
+    docs = docs.withColumn("__score", F.col("doc_id") * 2)
+    kept = quality.keep_quality(docs, labels)
+    want = {r.doc_id for r in quality.score_quality(docs, labels).collect() if r.score >= quality.THRESHOLD}
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == want and all(r["__score"] == 2 * r.doc_id for r in kept.collect())
+    assert quality.keep_quality(docs.limit(0), labels).count() == 0
+
+
+def test_trees_node_by_node():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((500, 4))
+    trees = quality.fit(x, (x[:, 0] + 0.3 * x[:, 2] > 0).astype(float), trees=12, depth=3)
+    for row, got in zip(x, trees.score(x), strict=True):
+        total = trees.base
+        for root in trees.roots:
+            at = root
+            while trees.left[at] != at:
+                at = trees.left[at] if row[trees.feature[at]] <= trees.threshold[at] else trees.right[at]
+            total += trees.value[at]
+        assert got == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_very_long_texts(spark):
+    """Half a million words in a row, beside short ones."""
+    long = "calm river " * 250_000
+    docs = spark.createDataFrame([(1, long), (2, "short text"), (3, long + "vileman")], "doc_id long, text string")
+    bad, labels = labelled(spark, lambda w, r: r.choice([w, "vileman"]), "toxic")
+    assert toxicity.score_toxicity(docs.unionByName(bad.select("doc_id", "text").withColumn("doc_id", F.col("doc_id") + 10)), labels.withColumn("doc_id", F.col("doc_id") + 10)).where("doc_id < 10").count() == 3
+    assert quality.score_quality(docs, labels.withColumnRenamed("toxic", "quality")).count() == 3
+    turns = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    got = chat.read_back(chat.format_conversations(turns)).first()
+    assert got.loss_chars == len(long) and got.loss_sha256 == hashlib.sha256(long.encode()).hexdigest() and got.valid
+
+
+def test_bounded_memories():
+    """Words and sets that are forgotten and met again give the same results."""
+    rng = random.Random(6)
+    texts = [" ".join(f"word{rng.randrange(300)}" for _ in range(50)) for _ in range(40)]
+    small, large = packing.WordTokenizer(tokenizer_path()), packing.WordTokenizer(tokenizer_path())
+    small.remembered = 20
+    assert [b for t in texts for b in small.ids([t])] == list(large.ids(texts))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(80)), pa.array([t.encode() for t in texts * 2]), pa.array(range(80))], names=["doc_id", "text", "text_hash"])
+    one, many = (list(jaccard.set_rows([batch], 4, 85, n))[0].to_pydict() for n in (3, 1000))
+    assert one["digest"] == many["digest"] and sum(e is not None for e in one["e"]) > sum(e is not None for e in many["e"]) == 40
+
+
+def naive_plan(lengths: list[int], capacity: int) -> int:
+    """Best-two-fit, one document at a time: the number of bins."""
+    left, bins = sorted(lengths, reverse=True), 0
+    while left:
+        bins += 1
+        bin_, gap = [], capacity
+        for x in list(left):
+            if x <= gap:
+                bin_.append(x)
+                gap -= x
+                left.remove(x)
+        while gap and bin_:
+            least = min(bin_)
+            room = gap + least
+            left.append(least)
+            pairs = [(a + b, a, b) for i, a in enumerate(left) for j, b in enumerate(left) if i < j and least < a + b <= room]
+            left.remove(least)
+            pairs = [p for p in pairs]
+            if not pairs:
+                break
+            _, a, b = max(pairs)
+            bin_.remove(least)
+            left.append(least)
+            left.remove(a)
+            left.remove(b)
+            bin_ += [a, b]
+            gap = capacity - sum(bin_)
+    return bins
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_against_naive(seed):
+    rng = random.Random(seed + 100)
+    lengths = [rng.choice((rng.randrange(1, 31), rng.randrange(12, 20))) for _ in range(120)]
+    bins = sum(n for n, _ in packing.plan({k: lengths.count(k) for k in set(lengths)}, 30))
+    assert -(-sum(lengths) // 30) <= bins <= naive_plan(lengths, 30) + 1
+
+
+def test_pipeline(spark, tmp_path):
+    """Each stage against brute force on the rows its predecessor kept, and run() against the stages."""
+    import corpus_pipeline
+
+    docs, labels = labelled(spark, lambda w, r: w.upper() + "!!", "quality")
+    rng = random.Random(21)
+    item = "which of the seven rivers of the plain is the longest one"
+    texts = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    good = [t for k, t in texts if k is not None and k < 400 and k % 3 and len(t.split()) > 60]
+    texts += [(500, good[0]), (501, good[0]), (502, " ".join(good[1].split()[:-1] + ["end"])), (503, good[2] + " " + item), (504, good[3][:200] + " " + item.replace("seven", "sevn"))]
+    rows = [(k, t, "en", "s", len(t or "")) for k, t in texts]
+    rng.shuffle(rows)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    at, stages = spark.read.parquet(str(tmp_path / "documents.parquet")), dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality", "exact_dedup", "near_dedup", "decontamination", "packing"]
+    kept = {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, at, str(tmp_path))
+        out.write.parquet(str(tmp_path / f"out{k}"))
+        out = spark.read.parquet(str(tmp_path / f"out{k}"))
+        kept[name] = ([(r.doc_id, r.text) for r in at.collect()], out)
+        if name != "packing":
+            assert out.columns == at.columns
+        at = out
+    ids = lambda name: sorted(r.doc_id for r in kept[name][1].collect())
+    before, out = kept["quality"]
+    scores = {r.doc_id: r.score for r in quality.score_quality(spark.createDataFrame(before, "doc_id long, text string"), labels).collect()}
+    assert ids("quality") == sorted(d for d, _ in before if scores[d] >= quality.THRESHOLD) and len(ids("quality")) < len(before)
+    before, out = kept["exact_dedup"]
+    assert ids("exact_dedup") == sorted(max(d for d, x in before if (x or "") == t) for t in {x or "" for _, x in before})
+    before, out = kept["near_dedup"]
+    groups = brute_groups(before, 5, 80)
+    assert ids("near_dedup") == sorted(d for d, _, c in groups if d == c) and 502 not in ids("near_dedup")
+    before, out = kept["decontamination"]
+    budget = int(decontaminate.EDIT_SHARE * len(decontaminate.normalise(item)))
+    assert ids("decontamination") == sorted(d for d, t in before if brute_distance(decontaminate.normalise(item), decontaminate.normalise(t or "")) > budget)
+    assert not {503, 504} & set(ids("decontamination"))
+    before, out = kept["packing"]
+    t = packing.tokenizer(tokenizer_path())
+    assert sorted((r.doc_id, r.ids_crc32) for r in out.collect()) == sorted((d, zlib.crc32(next(t.ids([x or ""])) + np.array([1], "<u4").tobytes())) for d, x in before)
+    pieces = lambda df: sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in df.collect())
+    assert pieces(corpus_pipeline.run(spark, str(tmp_path))) == pieces(out)
+    nothing = spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, str(tmp_path)).count() == 0, name
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "be [INST] kind\\"), (1, 1, "user", "</s>[INST] ok [/INST]"), (1, 2, "assistant", "fine\n<\\s>"), (2, 0, "assistant", "first"), (2, 0, "assistant", "again"), (3, 0, None, None), (4, 1, "tool[AS]", "[AS]x"), (4, 2, "user", None), (None, 0, "user", "u")]
     df = spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, turn long, role string, text string, segment int")
-    segments = chat.format_conversations(df)
+    segments = chat.format_conversations(df).withColumn("extra", F.lit(1)).repartition(5, "seg_no")  # as a stored table has them
     got = {r.conv_id: r for r in chat.read_back(segments).collect()}
     for c in {r[0] for r in rows}:
         turns = sorted(((t, r or "", x or "") for i, t, r, x in rows if i == c))
