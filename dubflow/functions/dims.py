@@ -79,3 +79,46 @@ def is_accelerator_error(message: Column, kind: Column) -> Column:
 
 def ocr_code(code: Column) -> Column:
     return F.coalesce(lookup(OCR_CODES, code), F.lit("en"))
+
+
+# The offline synthesis models by language.
+OFFLINE_VOICES = {"en": "en_US-lessac-high", "es": "es_ES-sharvard-medium", "fr": "fr_FR-siwis-medium", "de": "de_DE-thorsten-medium", "it": "it_IT-riccardo-x_low"}
+# What cloning backends offer, and the speakers of the long-form one.
+CLONING = "Cloning (Reference Audio)"
+LONG_FORM_SPEAKERS = ["Alice", "Bob", "Carol", "Dave", "Frank"]
+# Fonts, the first that can be loaded is taken.
+FONTS = ["arial.ttf", "segoeui.ttf", "tahoma.ttf", "msgothic.ttc"]
+LANGUAGE_FONTS = {"ja": ["msgothic.ttc", "meiryo.ttc", "yugothic.ttc"], "zh": ["simsun.ttc", "msyh.ttc", "simhei.ttf"], "ko": ["malgun.ttf", "gulim.ttc"]}
+
+
+def voices_of(model: Column, code: Column) -> Column:
+    """What a synthesis backend offers for a language; an empty array if nothing."""
+    none = F.array().cast("array<string>")
+    offline = lookup(OFFLINE_VOICES, code)
+    return (
+        F.when(model == "edge", available_voices(code)).when(model == "piper", F.when(offline.isNotNull(), F.array(offline)).otherwise(none))
+        .when(model.isin("xtts", "f5"), F.array(F.lit(CLONING))).when(model.contains("vibevoice"), F.array(*map(F.lit, LONG_FORM_SPEAKERS))).otherwise(none)
+    )
+
+
+def offline_voice(code: Column) -> Column:
+    """The offline model that speaks a language; other languages are spoken by the English one."""
+    return F.coalesce(lookup(OFFLINE_VOICES, code), F.lit(OFFLINE_VOICES["en"]))
+
+
+def chosen_voice(code: Column, gender: Column, speaker: Column, preferred: Column | None = None, selected: Column | None = None) -> Column:
+    """The voice of a segment: the preferred one unless that is Auto, else the selector's, else by the number at the end of
+    the speaker's name, else the first of its language and gender."""
+    voices = gender_voices(code, gender)
+    number = F.element_at(F.split(speaker, "_"), -1).try_cast("int")
+    by_number = F.coalesce(F.get(voices, F.pmod(number, F.size(voices))), F.get(voices, F.lit(0)))
+    if selected is not None:
+        by_number = F.when(speaker.isNotNull(), F.coalesce(selected, by_number)).otherwise(by_number)
+    return F.when((preferred != "") & (preferred != "Auto"), preferred).otherwise(by_number) if preferred is not None else by_number
+
+
+def font(code: Column, available: Column) -> Column:
+    """The first font of a language that is available, else the first of the common ones, else that they begin with."""
+    first = lambda names: F.get(F.filter(names, lambda f: F.array_contains(available, f)), F.lit(0))
+    own = F.create_map(*[x for c, names in LANGUAGE_FONTS.items() for x in (F.lit(c), F.array(*map(F.lit, names)))])[code]
+    return F.coalesce(first(own), first(F.array(*map(F.lit, FONTS))), F.lit(FONTS[0]))

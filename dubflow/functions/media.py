@@ -43,3 +43,19 @@ def voice_path(name: Column) -> Column:
 def denormalize(x: Column) -> Column:
     """The inverse of mel normalisation within its range."""
     return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)) * 100 - 100
+
+
+def seconds(frames: Column, rate: Column) -> Column:
+    """A clip's length, 0 where it can't be told."""
+    return F.coalesce(F.when(rate > 0, frames / rate), F.lit(0.0))
+
+
+def whole_file(length: Column, least: int = 100, strict: bool = False) -> Column:
+    """Whether a file is there (its length is known) and has at least `least` bytes, or more than that if strict."""
+    n = F.coalesce(length, F.lit(0))
+    return n > least if strict else n >= least
+
+
+def silence(frames: Column, channels: Column) -> Column:
+    """Zeros of a waveform's shape, channel after channel."""
+    return F.array_repeat(F.lit(0.0).cast("float"), (frames * channels).cast("int"))

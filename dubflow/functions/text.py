@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from dubflow.functions.dims import language_name
 
-SPACE = r"[ \t\n\x0B\f\r]"
+# White space as Python's str.strip() and regular expressions have it.
+SPACE_CLASS = "\\t-\\r\\x1c- \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+SPACE = f"[{SPACE_CLASS}]"
+# What the synthesis can speak.
 SPEAKABLE = r"[a-zA-Z0-9\x{4e00}-\x{9fff}\x{3040}-\x{309f}\x{30a0}-\x{30ff}\x{0400}-\x{04ff}\x{0600}-\x{06ff}\x{ac00}-\x{d7af}]"
 
 
@@ -43,7 +46,7 @@ def redact(value: Column) -> Column:
 
 
 def prompt(family: str, text: Column, source: Column, target: Column, previous: Column | None = None) -> Column:
-    """Translation prompts of the model families llama, alma and default."""
+    """Translation prompts of the model families llama, alma and default. Their wording is fixed values."""
     s, t = language_name(source), language_name(target)
     if family == "alma":
         return F.concat(F.lit("Translate this from "), s, F.lit(" to "), t, F.lit(":\n"), s, F.lit(": "), text, F.lit("\n"), t, F.lit(":"))
@@ -86,3 +89,47 @@ def clip_extension(model: Column) -> Column:
 def least_reference(model: Column) -> Column:
     """Seconds a voice reference needs."""
     return F.when(F.lower(model).contains("f5"), 1.0).otherwise(2.0)
+
+
+def confident(words: Column, whole: Column, least: float = 0.0) -> Column:
+    """(text, words) of words (word, probability, ...) that reach `least`, a missing probability counting as 1.
+
+    A bound of 0 filters nothing, and where no word is left the text is the whole one as it was.
+    """
+    kept = F.filter(words, lambda w: F.coalesce(w.probability, F.lit(1.0)) >= least) if least > 0 else words
+    joined = strip(F.array_join(F.transform(kept, lambda w: w.word), " "))
+    return F.struct((F.when(F.size(kept) > 0, joined).otherwise(whole) if least > 0 else whole).alias("text"), kept.alias("words"))
+
+
+def spoken(text: Column) -> Column:
+    """Whether a segment has a text at all; white space counts as one."""
+    return F.coalesce(text != "", F.lit(False))
+
+
+def preview(text: Column, n: int = 50) -> Column:
+    return F.substring(text, 1, n)
+
+
+def detectable(text: Column) -> Column:
+    """What a language detector gets: letters and white space only; null if there are under 3 characters."""
+    clean = F.regexp_replace(text, rf"[^\p{{L}}{SPACE_CLASS}]", "")
+    return F.when(F.length(strip(clean)) >= 3, clean)
+
+
+def on_screen(text: Column, detected: Column, target: Column, translated: Column) -> Column:
+    """A screen text's translation: texts under 2 characters, and those in the target language already, stay; so do those
+    whose translation is missing or empty."""
+    stays = F.coalesce(F.length(strip(text)) < 2, F.lit(True)) | F.coalesce(detected == target, F.lit(False))
+    return F.when(stays, text).otherwise(F.when(translated != "", translated).otherwise(text))
+
+
+def sentences(text: Column, least: int = 2) -> Column:
+    """The sentences of a text for synthesis: cut after closing signs, those under `least` characters left out."""
+    parts = F.split(text, rf"(?<=[.!?]){SPACE}+|(?<=[\x{{3002}}\x{{ff01}}\x{{ff1f}}]){SPACE}*")
+    return F.filter(F.transform(parts, strip), lambda x: F.length(x) >= least)
+
+
+def lip_sync_key(name: Column) -> Column:
+    """(engine, enhanced) of a lip-sync model's label."""
+    named = F.coalesce(name, F.lit(""))
+    return F.struct(F.when(named.contains("LivePortrait"), "live_portrait").otherwise("wav2lip").alias("engine"), named.contains("GFPGAN").alias("enhanced"))

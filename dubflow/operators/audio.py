@@ -162,7 +162,8 @@ def match_spectra(clips: DataFrame, references: DataFrame, strength: float = 0.5
 def run_command(files: DataFrame, attempts: list[list[str]]) -> DataFrame:
     """Media tools at their boundary: (source, target) to (source, target or null), by the first command that succeeds.
 
-    `{source}` and `{target}` stand for the row's paths, on storage that all executors mount. A retried task writes anew.
+    `{source}`, `{target}` and, if the rows have it, `{audio}` stand for the row's paths, on storage that all executors mount.
+    A retried task writes anew.
     """
 
     def run(batches):
@@ -170,11 +171,11 @@ def run_command(files: DataFrame, attempts: list[list[str]]) -> DataFrame:
 
         for b in batches:
             got = []
-            for s, t in zip(b["source"], b["target"]):
+            for s, t, u in zip(b["source"], b["target"], b["audio"]):
                 done = None
                 for a in attempts:
                     try:
-                        subprocess.run([x.format(source=s, target=t) for x in a], check=True, capture_output=True)
+                        subprocess.run([x.format(source=s, target=t, audio=u) for x in a], check=True, capture_output=True)
                         done = t if os.path.exists(t) else None
                     except (OSError, subprocess.CalledProcessError):
                         continue
@@ -183,7 +184,59 @@ def run_command(files: DataFrame, attempts: list[list[str]]) -> DataFrame:
                 got.append(done)
             yield pd.DataFrame({"source": b["source"], "target": got})
 
-    return files.select("source", "target").mapInPandas(run, "source string, target string")
+    audio = F.col("audio") if "audio" in files.columns else F.lit("")
+    return files.select("source", "target", audio.alias("audio")).mapInPandas(run, "source string, target string")
 
 
 EXTRACT_AUDIO = [["ffmpeg", "-y", "-i", "{source}", "-vn", "-ac", "1", "-ar", "24000", "{target}"]]
+# First the picture as it is, else encoded again.
+REPLACE_AUDIO = [
+    ["ffmpeg", "-y", "-i", "{source}", "-i", "{audio}", "-c:v", "copy", "-c:a", "aac", "-map", "0:v:0", "-map", "1:a:0", "-shortest", "{target}"],
+    ["ffmpeg", "-y", "-i", "{source}", "-i", "{audio}", "-c:v", "libx264", "-c:a", "aac", "-map", "0:v:0", "-map", "1:a:0", "-shortest", "{target}"],
+]
+
+
+def joined_clips(clips: list[np.ndarray], rate: int, overlap: float = 0.05) -> np.ndarray:
+    """Mono clips one after the other, linear ramps of `overlap` seconds over each other where two meet."""
+    out = np.zeros(0, np.float32)
+    for c in clips:
+        c = np.asarray(c, np.float32)
+        n = min(int(overlap * rate), len(out), len(c))
+        ramp = np.linspace(0, 1, n, dtype=np.float32)
+        met = out[len(out) - n :] * (1 - ramp) + c[:n] * ramp
+        out = np.concatenate([out[: len(out) - n], met, c[n:]])
+    return out
+
+
+def spoken_sentences(parts: DataFrame, rate: int, overlap: float = 0.05) -> DataFrame:
+    """Sentences' clips (media_id, seq, part, samples) to one clip a segment (media_id, seq, samples), in the order of part."""
+
+    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+        rows = frame.sort_values("part")
+        return pd.DataFrame([(*key, joined_clips(rows["samples"].tolist(), rate, overlap))], columns=["media_id", "seq", "samples"])
+
+    return parts.where("samples is not null").groupBy("media_id", "seq").applyInPandas(run, "media_id long, seq long, samples array<float>")
+
+
+def write_wav(waves: DataFrame, folder: str) -> DataFrame:
+    """Writes (name, sample_rate, channels, samples) as folder/name on a path that all executors see; (path, length) of the files.
+
+    A file appears whole under its name, so a task that runs again replaces it.
+    """
+
+    def run(batches):
+        from pyarrow import fs as pafs
+
+        files, root = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
+        files.create_dir(root, recursive=True)
+        for b in batches:
+            out = []
+            for name, content in zip(b["name"], b["content"]):
+                part = f"{root}/.{name}.{os.getpid()}"
+                with files.open_output_stream(part) as f:
+                    f.write(content)
+                files.move(part, f"{root}/{name}")
+                out.append((f"{folder}/{name}", len(content)))
+            yield pd.DataFrame(out, columns=["path", "length"])
+
+    return wav_bytes(waves).mapInPandas(run, "path string, length long")

@@ -1,91 +1,173 @@
-"""Path-dependent folds: a media item's rows in order through aggregate(), whose state holds earlier decisions."""
+"""Path-dependent folds: a media item's rows in order through a machine whose state holds earlier decisions."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dubflow.functions.text import join_texts
+from dubflow.functions.text import SPACE_CLASS
+from dubflow.operators.streams import fold
+
+_ENDS = re.compile(f"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+$")
 
 
-def ordered(df: DataFrame, *columns: str, key: str = "media_id") -> DataFrame:
-    return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("rows"))
+def _joined(a: str | None, b: str | None) -> str | None:
+    """join_texts() of two texts."""
+    if a is None or b is None:
+        return None
+    a, b = _ENDS.sub("", a), _ENDS.sub("", b)
+    return a + b if a.endswith("-") or b.startswith("-") else f"{a} {b}"
 
 
 def merge_short(df: DataFrame, least: float = 2.0, gap: float = 0.5) -> DataFrame:
-    """Joins a segment to the one before while that is short, near and of the same speaker."""
-    item = "struct<seq:bigint,start_s:double,end_s:double,text:string,speaker:string>"
-    rows = ordered(df.select("media_id", F.col("seq").cast("bigint").alias("seq"), "start_s", "end_s", "text", F.col("speaker").cast("string").alias("speaker")), "seq", "start_s", "end_s", "text", "speaker")
-    first = F.struct(F.array().cast(f"array<{item}>").alias("out"), F.col("rows")[0].cast(item).alias("cur"))
+    """Joins a segment to the one before while that is short, near and of the same speaker (or neither has one)."""
+
+    def machine():
+        held = None
 
-    def step(acc: Column, x: Column) -> Column:
-        c = acc.cur
-        joins = (c.end_s - c.start_s < least) & (x.start_s - c.end_s < gap) & c.speaker.eqNullSafe(x.speaker)
-        merged = F.struct(c.seq.alias("seq"), c.start_s.alias("start_s"), x.end_s.alias("end_s"), join_texts(c.text, x.text).alias("text"), c.speaker.alias("speaker")).cast(item)
-        return F.struct(F.when(joins, acc.out).otherwise(F.array_append(acc.out, c)).alias("out"), F.when(joins, merged).otherwise(x.cast(item)).alias("cur"))
+        def step(row):
+            nonlocal held
+            if row is None:
+                yield held
+                return
+            seq, start, end, text, speaker = row
+            if held is None:
+                held = row
+            elif held[2] - held[1] < least and start - held[2] < gap and held[4] == speaker:
+                held = (held[0], held[1], end, _joined(held[3], text), speaker)
+            else:
+                yield held
+                held = row
 
-    done = F.aggregate(F.slice("rows", 2, F.size("rows")), first, step, lambda acc: F.array_append(acc.out, acc.cur))
-    return rows.select("media_id", F.explode(done).alias("x")).select("media_id", "x.*")
+        return step
+
+    rows = df.select("media_id", F.col("seq").cast("long").alias("seq"), F.col("start_s").cast("double").alias("start_s"), F.col("end_s").cast("double").alias("end_s"), "text", F.col("speaker").cast("string").alias("speaker"))
+    kind = rows.schema["media_id"].dataType.simpleString()
+    return fold(rows, ["seq"], ["seq", "start_s", "end_s", "text", "speaker"], f"media_id {kind}, seq long, start_s double, end_s double, text string, speaker string", machine)
 
 
 def delay_schedule(df: DataFrame, total: float, stretch: bool = True, most: float = 1.5) -> DataFrame:
-    """Places clips (media_id, seq, start_s, actual_dur, valid) without overlap by a delay that grows up to `most`, never shrinks."""
-    from pyspark.sql import Window
+    """Places clips (media_id, seq, start_s, actual_dur, valid) without overlap by a delay that grows up to `most`, never shrinks.
+
+    Clips go by start, ties by seq. Invalid ones are not placed, but the room of the one before ends at their start.
+    """
 
-    rows = df.withColumn("next_s", F.lead("start_s").over(Window.partitionBy("media_id").orderBy("start_s", "seq"))).where("valid")
-    item = "struct<seq:bigint,new_start:double,final_dur:double,ratio:double>"
-    rows = ordered(rows, "start_s", "seq", "actual_dur", "next_s")
-    first = F.struct(F.lit(0.0).alias("delay"), F.lit(0.0).alias("prev"), F.array().cast(f"array<{item}>").alias("out"))
+    def machine():
+        delay = prev = 0.0
+        held = None  # waits for the next clip's start
 
-    def step(acc: Column, x: Column) -> Column:
-        wanted = x.start_s + acc.delay
-        delay = F.when(wanted < acc.prev, F.least(acc.delay + acc.prev - wanted, F.lit(most))).otherwise(acc.delay)
-        start = x.start_s + delay
-        room = F.greatest(F.coalesce(x.next_s + delay, F.lit(total)) - start, F.lit(0.5))
-        raw = x.actual_dur / room
-        ratio = F.when(F.lit(stretch) & (x.actual_dur > 0) & ~raw.between(0.9, 1.1), F.least(F.greatest(raw, F.lit(0.8)), F.lit(1.35))).otherwise(1.0)
-        dur = x.actual_dur / ratio
-        row = F.struct(x.seq.cast("bigint").alias("seq"), start.alias("new_start"), dur.alias("final_dur"), ratio.alias("ratio")).cast(item)
-        return F.struct(delay.alias("delay"), (start + dur).alias("prev"), F.array_append(acc.out, row).alias("out"))
+        def placed(clip, ahead):
+            nonlocal delay, prev
+            seq, start_s, actual, _ = clip
+            wanted = start_s + delay
+            if wanted < prev:
+                delay = min(delay + prev - wanted, most)
+            start = start_s + delay
+            room = max((total if ahead is None else ahead + delay) - start, 0.5)
+            raw = actual / room
+            ratio = min(max(raw, 0.8), 1.35) if stretch and actual > 0 and not 0.9 <= raw <= 1.1 else 1.0
+            prev = start + actual / ratio
+            return seq, start, actual / ratio, ratio
 
-    done = F.aggregate("rows", first, step, lambda acc: acc.out)
-    return rows.select("media_id", F.explode(done).alias("x")).select("media_id", "x.*")
+        def step(row):
+            nonlocal held
+            if held is not None:
+                yield placed(held, row and row[1])
+            held = row if row is not None and row[3] else None
+
+        return step
+
+    rows = df.select("media_id", F.col("seq").cast("long").alias("seq"), F.col("start_s").cast("double").alias("start_s"), F.col("actual_dur").cast("double").alias("actual_dur"), "valid")
+    kind = rows.schema["media_id"].dataType.simpleString()
+    return fold(rows, ["start_s", "seq"], ["seq", "start_s", "actual_dur", "valid"], f"media_id {kind}, seq long, new_start double, final_dur double, ratio double", machine)
 
 
 def assign_voices(df: DataFrame, voices: list[str]) -> DataFrame:
     """Each speaker's first use takes the first voice not used in the item; when all are, by the number of speakers known,
     and that choice is not remembered."""
-    rows = ordered(df.select("media_id", F.col("seq").cast("bigint").alias("seq"), "speaker"), "seq", "speaker")
-    item = "struct<seq:bigint,speaker:string,voice:string>"
-    first = F.struct(F.array().cast("array<string>").alias("known"), F.array().cast(f"array<{item}>").alias("out"))
-    every = F.array(*map(F.lit, voices))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = F.array_position(acc.known, x.speaker).cast("int")
-        size = F.size(acc.known)
-        new = (at == 0) & (size < len(voices))
-        voice = F.when(at > 0, F.get(every, at - 1)).otherwise(F.get(every, size % len(voices)))
-        row = F.struct(x.seq.alias("seq"), x.speaker.alias("speaker"), voice.alias("voice")).cast(item)
-        return F.struct(F.when(new, F.array_append(acc.known, x.speaker)).otherwise(acc.known).alias("known"), F.array_append(acc.out, row).alias("out"))
+    def machine():
+        known: dict = {}
+
+        def step(row):
+            if row is None:
+                return
+            seq, speaker = row
+            if speaker not in known and len(known) < len(voices):
+                known[speaker] = voices[len(known)]
+            yield seq, speaker, known.get(speaker, voices[len(known) % len(voices)])
 
-    done = F.aggregate("rows", first, step, lambda acc: acc.out)
-    return rows.select("media_id", F.explode(done).alias("x")).select("media_id", "x.*")
+        return step
+
+    rows = df.select("media_id", F.col("seq").cast("long").alias("seq"), "speaker")
+    kind = rows.schema["media_id"].dataType.simpleString()
+    return fold(rows, ["seq"], ["seq", "speaker"], f"media_id {kind}, seq long, speaker string, voice string", machine)
 
 
 def reference_fallback(df: DataFrame, clip: Column) -> DataFrame:
     """Voice references (media_id, seq, speaker, ref: null if invalid): a valid one is remembered for the item and the speaker;
     else the speaker's last, or the item's without a speaker, else the item's clip, remembered as both."""
-    rows = ordered(df.select("media_id", F.col("seq").cast("bigint").alias("seq"), "speaker", "ref", clip.alias("clip")), "seq", "speaker", "ref", "clip")
-    item = "struct<seq:bigint,speaker:string,used:string>"
-    first = F.struct(F.lit(None).cast("string").alias("last"), F.create_map().cast("map<string,string>").alias("by"), F.array().cast(f"array<{item}>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        used = F.coalesce(x.ref, F.when(x.speaker.isNotNull(), acc.by[x.speaker]).otherwise(acc.last), x.clip)
-        kept = F.map_filter(acc.by, lambda k, _: k != x.speaker)
-        by = F.when(x.speaker.isNotNull() & used.isNotNull(), F.map_concat(kept, F.map_from_arrays(F.array(x.speaker), F.array(used)))).otherwise(acc.by)
-        row = F.struct(x.seq.alias("seq"), x.speaker.alias("speaker"), used.alias("used")).cast(item)
-        remembered = F.when(x.ref.isNotNull() | x.speaker.isNull() | ~F.coalesce(F.array_contains(F.map_keys(acc.by), x.speaker), F.lit(False)), F.coalesce(used, acc.last)).otherwise(acc.last)
-        return F.struct(remembered.alias("last"), by.cast("map<string,string>").alias("by"), F.array_append(acc.out, row).alias("out"))
-
-    done = F.aggregate("rows", first, step, lambda acc: acc.out)
-    return rows.select("media_id", F.explode(done).alias("x")).select("media_id", "x.*")
+
+    def machine():
+        last, by = None, {}
+
+        def step(row):
+            nonlocal last
+            if row is None:
+                return
+            seq, speaker, ref, spare = row
+            used = ref
+            if used is None:
+                used = by.get(speaker) if speaker is not None else last
+            if used is None:
+                used = spare
+            if used is not None and (ref is not None or speaker is None or speaker not in by):
+                last = used
+            if speaker is not None and used is not None:
+                by[speaker] = used
+            yield seq, speaker, used
+
+        return step
+
+    rows = df.select("media_id", F.col("seq").cast("long").alias("seq"), "speaker", "ref", clip.alias("spare"))
+    kind = rows.schema["media_id"].dataType.simpleString()
+    return fold(rows, ["seq"], ["seq", "speaker", "ref", "spare"], f"media_id {kind}, seq long, speaker string, used string", machine)
+
+
+def translate_in_context(df: DataFrame, model, out: str = "translated") -> DataFrame:
+    """Segments (media_id, seq, text, and `cached` if known) translated in order, each with the translation of the one before.
+
+    model() loads, on the executor, a function of (text, previous translation or null); where it fails the text stays and
+    `translated_ok` is false. Cached rows go to no model and their translation is no one's context, as no context is one's
+    own before the first. Null or blank texts stay as they are.
+    """
+
+    def machine():
+        previous, ask = None, model()
+
+        def step(row):
+            nonlocal previous
+            if row is None:
+                return
+            seq, text, cached = row
+            if cached is not None:
+                yield seq, cached, True
+                return
+            if text is None or not _ENDS.sub("", text):
+                yield seq, text, True
+                return
+            try:
+                previous = ask(text, previous)
+                yield seq, previous, True
+            except Exception:  # the row says so
+                previous = text
+                yield seq, text, False
+
+        return step
+
+    cached = F.col("cached") if "cached" in df.columns else F.lit(None).cast("string")
+    rows = df.select("media_id", F.col("seq").cast("long").alias("seq"), "text", cached.alias("cached"))
+    kind = rows.schema["media_id"].dataType.simpleString()
+    return fold(rows, ["seq"], ["seq", "text", "cached"], f"media_id {kind}, seq long, `{out}` string, translated_ok boolean", machine)

@@ -66,3 +66,84 @@ def zip_frames(source: DataFrame, driving: DataFrame) -> DataFrame:
     last = driving.groupBy("media_id").agg(F.max("frame").alias("__last"))
     rows = source.join(last, "media_id").withColumn("__at", F.least("frame", "__last"))
     return rows.join(driving.withColumnRenamed("frame", "__at"), ["media_id", "__at"]).drop("__at", "__last")
+
+
+def readable(confidence: Column, least: float = 0.4, strict: bool = False) -> Column:
+    """Whether a detection counts: at least `least`, or above it; a missing confidence counts as 1."""
+    c = F.coalesce(confidence, F.lit(1.0))
+    return c > least if strict else c >= least
+
+
+def ocr_line(line: Column) -> Column:
+    """(box, text, conf) of a detected line's JSON in any of its shapes, null if it has none of them:
+    {"text_region", "text", "confidence"}, [box, [text, confidence]], [box, text]. A missing confidence is 1."""
+    get = lambda path: F.get_json_object(line, path)
+    point = "array<array<double>>"
+    as_dict = F.when(get("$.text_region").isNotNull() & get("$.text").isNotNull(), F.struct(F.from_json(get("$.text_region"), point).alias("box"), get("$.text").alias("text"), F.coalesce(get("$.confidence").cast("double"), F.lit(1.0)).alias("conf")))
+    pair = get("$[1]").startswith("[")
+    as_list = F.when(get("$[0]").isNotNull() & get("$[1]").isNotNull(), F.struct(F.from_json(get("$[0]"), point).alias("box"), F.when(pair, get("$[1][0]")).otherwise(get("$[1]")).alias("text"), F.when(pair, F.coalesce(get("$[1][1]").try_cast("double"), F.lit(1.0))).otherwise(1.0).alias("conf")))
+    found = F.coalesce(as_dict, as_list)
+    return F.when(found.box.isNotNull() & found.text.isNotNull(), found)
+
+
+def square_crop(box: Column, width: Column, height: Column, scale: float = 2.3, size: int = 256) -> Column:
+    """The square round a face (x1, y1, x2, y2), clamped to the frame: x1, y1, x2, y2 and the inverse map's scales, pixels
+    of the frame to one of the crop resized to `size`."""
+    side = (F.greatest(box.x2 - box.x1, box.y2 - box.y1) * scale).cast("int")
+    x1 = F.greatest(F.lit(0), ((box.x1 + box.x2) / 2 - side / 2).cast("int"))
+    y1 = F.greatest(F.lit(0), ((box.y1 + box.y2) / 2 - side / 2).cast("int"))
+    x2, y2 = F.least(width, x1 + side), F.least(height, y1 + side)
+    return F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"), ((x2 - x1) / size).alias("scale_x"), ((y2 - y1) / size).alias("scale_y"))
+
+
+def expanded(box: Column, width: Column, height: Column, factor: float = 1.6) -> Column:
+    """A face box grown round its centre and clamped to the frame."""
+    w, h = box.x2 - box.x1, box.y2 - box.y1
+    cx, cy = box.x1 + w / 2, box.y1 + h / 2
+    return F.struct(
+        F.greatest(F.lit(0), (cx - w * factor / 2).cast("int")).alias("x1"), F.greatest(F.lit(0), (cy - h * factor / 2).cast("int")).alias("y1"),
+        F.least(width, (cx + w * factor / 2).cast("int")).alias("x2"), F.least(height, (cy + h * factor / 2).cast("int")).alias("y2"),
+    )
+
+
+def fitted_font(text: Column, width: Column, height: Column, em: float = 0.6, least: int = 8) -> Column:
+    """The size a text is drawn in: two more than its box's height, two less at a time until it fits the width or is `least`.
+
+    em: a character's mean width in a size of 1; a font's own measure may stand in its place.
+    """
+    first = F.greatest(F.lit(least), (height + 2).cast("int"))
+    steps = F.greatest(F.lit(0), F.ceil((first - F.lit(least)) / 2)).cast("int")
+    needed = F.greatest(F.lit(0), F.ceil((first - width / (F.greatest(F.lit(1), F.length(text)) * em)) / 2)).cast("int")
+    return (first - 2 * F.least(steps, needed)).cast("int")
+
+
+def retargeted(source: Column, driving: Column, delta: Column) -> Column:
+    """Keypoints moved by a model's deltas (their coordinates in one array); without deltas the lips are moved by a share."""
+    moved = F.transform(source, lambda p, i: F.transform(p, lambda v, j: v + F.get(delta, i * 3 + j)))
+    return F.when(delta.isNotNull() & (F.size(delta) >= 3 * F.size(source)), moved).otherwise(lip_transfer(source, driving))
+
+
+def stitched(driving: Column, delta: Column, share: float = 0.5) -> Column:
+    """Driving keypoints with half a model's deltas, of which those beyond the keypoints' coordinates are left out; without
+    deltas as they are."""
+    moved = F.transform(driving, lambda p, i: F.transform(p, lambda v, j: v + share * F.get(delta, i * 3 + j)))
+    return F.when(delta.isNotNull() & (F.size(delta) >= 3 * F.size(driving)), moved).otherwise(driving)
+
+
+def mel_windows(mel: DataFrame, steps: int = 16) -> DataFrame:
+    """(media_id, step, values) to (media_id, step, window): the values of `steps` steps from each on, zeros past the end."""
+    ahead = Window.partitionBy("media_id").orderBy("step").rowsBetween(0, steps - 1)
+    got = mel.select("media_id", "step", F.collect_list("values").over(ahead).alias("w"), F.size("values").alias("n"))
+    zeros = F.array_repeat(F.array_repeat(F.lit(0.0), F.col("n")), F.lit(steps) - F.size("w"))
+    return got.select("media_id", "step", F.concat("w", zeros).alias("window"))
+
+
+def audio_windows(rows: DataFrame, mel: DataFrame, fps: float, offset: int = 0, steps: int = 16, around: int = 2) -> DataFrame:
+    """Frames (media_id, frame) with `window`, the spectrum at the frame's time, and `context`, those of the frames around it,
+    the first frame's before the start. Windows that begin past the end are null."""
+    windows = mel_windows(mel, steps)
+    at = lambda f: (f * 80.0 / fps).cast("long")
+    wanted = F.concat(F.array(F.struct(F.lit(-1).alias("i"), (at(F.col("frame")) + offset).alias("step"))), *[F.array(F.struct(F.lit(i + around).alias("i"), at(F.greatest(F.lit(0), F.col("frame") + i)).alias("step"))) for i in range(-around, around + 1)])
+    each = rows.select("media_id", "frame", F.explode(wanted).alias("x")).select("media_id", "frame", "x.i", "x.step")
+    each = each.join(windows, ["media_id", "step"], "left").groupBy("media_id", "frame").agg(F.array_sort(F.collect_list(F.struct("i", "window"))).alias("l"))
+    return each.select("media_id", "frame", F.get("l", F.lit(0)).window.alias("window"), F.transform(F.slice("l", 2, 2 * around + 1), lambda x: x.window).alias("context"))

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame
 Loader = Callable[[], Callable[[list], list]]
 
 
+def _null(x) -> bool:
+    return x is None or x is pd.NA or isinstance(x, float) and x != x
+
+
 def predict(df: DataFrame, column: str, out: str, kind: str, backends: list[tuple[str, Loader]], last: Callable | None = None, size: int = 8) -> DataFrame:
     """df with `out` and `backend`: each batch of `size` rows is answered by the first backend that does so without an error.
 
@@ -40,7 +44,7 @@ def predict(df: DataFrame, column: str, out: str, kind: str, backends: list[tupl
 
         for b in batches:
             answers = [(None, None)] * len(b)
-            some = [i for i, x in enumerate(b[column]) if not (x is None or x is pd.NA or x != x)]
+            some = [i for i, x in enumerate(b[column]) if not _null(x)]
             for k in range(0, len(some), size):
                 part = some[k : k + size]
                 for i, a in zip(part, ask([b[column].iloc[i] for i in part])):

@@ -20,7 +20,9 @@ def peak_normalize(df: DataFrame, most: float = 0.95) -> DataFrame:
     return df.join(peak, "media_id").select("media_id", "idx", F.when(F.col("peak") > most, F.col("val") * (most / F.col("peak"))).otherwise(F.col("val")).alias("val"))
 
 
-def mix(voice: DataFrame, background: DataFrame, voice_volume: float = 1.0, background_volume: float = 0.8) -> DataFrame:
+def mix(voice: DataFrame, background: DataFrame, voice_volume: float = 1.0, background_volume: float = 0.8, rate: int = 1, background_rate: int | None = None) -> DataFrame:
+    """Both tracks added, the background at the voice's rate, the shorter one silent at its end; peaks are scaled down."""
+    background = resampled(background, background_rate or rate, rate)
     b = background.select("media_id", "idx", F.col("val").alias("b"))
     both = voice.join(b, ["media_id", "idx"], "full_outer")
     return peak_normalize(both.select("media_id", "idx", (F.coalesce("val", F.lit(0.0)) * voice_volume + F.coalesce("b", F.lit(0.0)) * background_volume).alias("val")))
@@ -35,13 +37,12 @@ def preemphasis(df: DataFrame, k: float = 0.97) -> DataFrame:
     return df.select("media_id", "idx", (F.col("val") - F.coalesce(F.lit(k) * F.lag("val").over(by_sample()), F.lit(0.0))).alias("val"))
 
 
-def crossfade(n: int, kind: str = "linear") -> Column:
-    """Weights from 0 to 1; cosine and exponential (a square root) besides linear."""
-    if n <= 0:
-        return F.array().cast("array<double>")
-    t = lambda i: i / F.lit(float(max(1, n - 1)))
+def crossfade(n: int | Column, kind: str = "linear") -> Column:
+    """n weights from 0 to 1; cosine and exponential (a square root) besides linear. None for n of 0 or less."""
+    n = F.lit(n) if isinstance(n, int) else n.cast("int")
+    t = lambda i: i / F.greatest(F.lit(1.0), n - F.lit(1.0))
     shape = {"linear": t, "cosine": lambda i: (1 - F.cos(t(i) * math.pi)) / 2, "exponential": lambda i: F.sqrt(t(i))}[kind]
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), shape)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), n - 1)), shape)).otherwise(F.array().cast("array<double>"))
 
 
 def overlap_add(df: DataFrame, size: int, stride: int, ramp: int) -> DataFrame:
@@ -59,30 +60,184 @@ def rms_valid(df: DataFrame, least_rms: float = 0.02, least_variance: float = 1e
     return got.withColumn("ok", (F.col("rms") >= least_rms) & (F.col("variance") >= least_variance))
 
 
+def reference_valid(df: DataFrame, rate: int, least_seconds: float = 2.0, heard: float = 10.0) -> DataFrame:
+    """(media_id, seconds, rms, variance, ok) of voice references: long enough, and loud and varied in their first seconds."""
+    first = F.col("idx") < int(heard * rate)
+    x = F.when(first, F.col("val"))
+    got = df.groupBy("media_id").agg((F.count(F.lit(1)) / rate).alias("seconds"), F.sqrt(F.avg(x * x)).alias("rms"), F.var_pop(x).alias("variance"))
+    return got.withColumn("ok", (F.col("seconds") >= least_seconds) & (F.col("rms") >= 0.02) & (F.col("variance") >= 1e-5))
+
+
+def fallback_reference(df: DataFrame, rate: int, most: float = 30.0) -> DataFrame:
+    """(media_id, idx, val): each item's first seconds where they make a valid reference; other items have none."""
+    clip = df.where(F.col("idx") < int(most * rate))
+    good = reference_valid(clip, rate).where("ok").select(F.col("media_id").alias("m"))
+    return clip.join(good, F.col("media_id") == F.col("m"), "left_semi")
+
+
+def profile_clips(clips: DataFrame, least: float = 0.5, quiet: float = 0.01, most: float = 15.0, least_total: float = 1.0) -> DataFrame:
+    """The clips (media_id, speaker, seq, dur, rms) that make each speaker's profile: the longest first, until they are
+    `most` seconds together (the clip that crosses it included), if they are `least_total` at all."""
+    rows = clips.where((F.col("dur") >= least) & (F.col("rms") >= quiet))
+    order = Window.partitionBy("media_id", "speaker").orderBy(F.desc("dur"), "seq")
+    rows = rows.withColumn("before", F.coalesce(F.sum("dur").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).where(F.col("before") < most)
+    total = F.sum("dur").over(Window.partitionBy("media_id", "speaker"))
+    return rows.withColumn("total", total).where(F.col("total") >= least_total).drop("total")
+
+
+def profile_wave(df: DataFrame, rate: int, most: float = 15.0, fade: float = 0.01) -> DataFrame:
+    """Samples (media_id, idx, val) of profiles: cut at `most` seconds, peak at -3 dB, linear fades at both ends if there is
+    room for them."""
+    cut = df.where(F.col("idx") < int(most * rate))
+    peak = cut.groupBy("media_id").agg(F.max(F.abs("val")).alias("peak"), F.count(F.lit(1)).alias("n"))
+    n, f = F.col("n"), int(fade * rate)
+    ramp = F.when(n > 2 * f, F.least(F.lit(1.0), F.col("idx") / max(1, f - 1), (n - 1 - F.col("idx")) / max(1, f - 1))).otherwise(1.0) if f else F.lit(1.0)
+    gain = F.when(F.col("peak") > 0, F.lit(10 ** (-3 / 20)) / F.col("peak")).otherwise(1.0)
+    return cut.join(peak, "media_id").select("media_id", "idx", (F.col("val") * gain * ramp).alias("val"))
+
+
+def genders(clips: DataFrame, most: float = 20.0, bound: float = 160.0) -> DataFrame:
+    """(media_id, speaker, gender) of clips (media_id, speaker, seq, dur: null if out of bounds, f0): by the mean voiced
+    pitch of the first clips up to `most` seconds, the one that crosses it included; Male where there is none."""
+    order = Window.partitionBy("media_id", "speaker").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = clips.withColumn("before", F.coalesce(F.sum("dur").over(order), F.lit(0.0)))
+    pitch = F.avg(F.when((F.col("before") <= most) & F.col("dur").isNotNull() & F.col("f0").between(65, 300), F.col("f0")))
+    return rows.groupBy("media_id", "speaker").agg(F.when(F.coalesce(pitch, F.lit(0.0)) > bound, "Female").otherwise("Male").alias("gender"))
+
+
+def with_gender(segments: DataFrame, found: DataFrame) -> DataFrame:
+    """segments with their speaker's gender, Female where none was found."""
+    known = found.select(F.col("media_id").alias("m"), F.col("speaker").alias("s"), "gender")
+    rows = segments.join(known, (F.col("media_id") == F.col("m")) & (F.col("speaker") == F.col("s")), "left")
+    return rows.select(*segments.columns, F.coalesce("gender", F.lit("Female")).alias("gender"))
+
+
+def resampled(df: DataFrame, rate: int, target: int) -> DataFrame:
+    """Samples (media_id, idx, val) at another rate, linear between neighbours; the last is held."""
+    if rate == target:
+        return df.select("media_id", "idx", "val")
+    count = df.groupBy("media_id").agg((F.max("idx") + 1).alias("n"))
+    after = F.lead("val").over(by_sample())
+    rows = df.withColumn("next", F.coalesce(after, F.col("val"))).join(count, "media_id")
+    # the new samples that lie at or after this one and before the next; beyond the last one, up to the new length
+    length = F.greatest(F.lit(1), F.round(F.col("n") * target / rate)).cast("long")
+    first = F.ceil(F.col("idx") * target / F.lit(float(rate)))
+    last = F.when(F.col("idx") == F.col("n") - 1, length - 1).otherwise(F.least(F.ceil((F.col("idx") + 1) * target / F.lit(float(rate))), length) - 1)
+    made = rows.where(last >= first).withColumn("at", F.explode(F.sequence(first, last)))
+    share = F.least(F.lit(1.0), F.col("at") * rate / F.lit(float(target)) - F.col("idx"))
+    return made.select("media_id", F.col("at").alias("idx"), (F.col("val") + (F.col("next") - F.col("val")) * share).alias("val"))
+
+
 def mel_normalize(s: Column) -> Column:
     return F.least(F.greatest((s + 100) / 100, F.lit(0.0)), F.lit(1.0))
 
 
+def average_linkage(x: np.ndarray, cut: float) -> np.ndarray:
+    """Clusters of rows, numbered by first member, whose merges lie below `cut`: nearest-neighbour chains, quadratic time."""
+    n = len(x)
+    d = np.sqrt(np.maximum(0, ((x[:, None] - x) ** 2).sum(2))) if n < 500 else np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (x * x).sum(1) - 2 * x @ x.T))
+    np.fill_diagonal(d, np.inf)
+    size, live, merges, chain = np.ones(n), np.ones(n, bool), [], []
+    for _ in range(n - 1):
+        if not chain:
+            chain = [int(np.flatnonzero(live)[0])]
+        while True:
+            a = chain[-1]
+            b = int(d[a].argmin())
+            if len(chain) > 1 and d[a, chain[-2]] <= d[a, b]:
+                b = chain[-2]
+                break
+            chain.append(b)
+        chain = chain[:-2]
+        i, j = min(a, b), max(a, b)
+        merges.append((d[a, b], i, j))
+        d[i] = (d[i] * size[i] + d[j] * size[j]) / (size[i] + size[j])
+        d[:, i], size[i] = d[i], size[i] + size[j]
+        d[i, i], live[j] = np.inf, False
+        d[j], d[:, j] = np.inf, np.inf
+    root = np.arange(n)
+    for far, i, j in sorted(merges, key=lambda m: m[0]):
+        if far < cut:
+            root[root == root[j]] = root[i]
+    return numbered(root)
+
+
+def numbered(labels: np.ndarray) -> np.ndarray:
+    """Labels by first appearance, from 0."""
+    names: dict = {}
+    return np.array([names.setdefault(v, len(names)) for v in labels.tolist()])
+
+
+def k_means(x: np.ndarray, k: int, seed: int = 42, tries: int = 10) -> np.ndarray:
+    """Seeded k-means with spread first centres; the best of some tries."""
+    rng, best, found = np.random.default_rng(seed), np.inf, None
+    for _ in range(tries):
+        centres = x[[int(rng.integers(len(x)))]]
+        while len(centres) < k:
+            away = ((x[:, None] - centres) ** 2).sum(2).min(1)
+            centres = np.vstack([centres, x[int(rng.choice(len(x), p=away / away.sum() if away.sum() else None))]])
+        for _ in range(100):
+            label = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
+            moved = np.stack([x[label == c].mean(0) if (label == c).any() else centres[c] for c in range(k)])
+            if np.allclose(moved, centres):
+                break
+            centres = moved
+        cost = ((x - centres[label]) ** 2).sum()
+        if cost < best - 1e-12:
+            best, found = cost, label
+    return numbered(found)
+
+
+def spectral(x: np.ndarray, k: int, near: int = 10, seed: int = 42) -> np.ndarray:
+    """k-means in the first eigenvectors of the normalised graph of nearest neighbours."""
+    d = ((x[:, None] - x) ** 2).sum(2)
+    graph = np.zeros_like(d)
+    np.put_along_axis(graph, np.argsort(d, axis=1, kind="stable")[:, : min(near, len(x))], 1.0, 1)
+    graph = (graph + graph.T) / 2
+    np.fill_diagonal(graph, 0)
+    root = 1 / np.sqrt(np.maximum(graph.sum(1), 1e-12))
+    _, vectors = np.linalg.eigh(np.eye(len(x)) - root[:, None] * graph * root)
+    return k_means(vectors[:, :k] * root[:, None], k, seed)
+
+
+def silhouette(x: np.ndarray, label: np.ndarray) -> float:
+    """Mean silhouette; a cluster of one counts 0."""
+    d = np.sqrt(np.maximum(0, ((x[:, None] - x) ** 2).sum(2)))
+    sums = np.stack([d[:, label == c].sum(1) for c in range(label.max() + 1)], 1)
+    count = np.bincount(label)
+    own = sums[np.arange(len(x)), label] / np.maximum(count[label] - 1, 1)
+    other = sums / count
+    other[np.arange(len(x)), label] = np.inf
+    nearest = other.min(1)
+    return float(np.where(count[label] > 1, (nearest - own) / np.maximum(np.maximum(own, nearest), 1e-12), 0).mean())
+
+
+def speakers(x: np.ndarray, most: int = 10, cut: float = 0.5) -> np.ndarray:
+    """Speaker numbers of embeddings: average linkage if it gives 2 to `most` speakers and fewer than rows, else the spectral
+    clustering with the best silhouette, else k-means."""
+    n = len(x)
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    if n < 2:
+        return np.zeros(n, int)
+    label = average_linkage(x, cut)
+    if 2 <= label.max() + 1 <= most and label.max() + 1 < n:
+        return label
+    best, found = -1.0, None
+    for k in range(2, min(most, n) + 1):
+        label = spectral(x, k)
+        if label.max() > 0 and (score := silhouette(x, label)) > best:
+            best, found = score, label
+    return found if found is not None else k_means(x, max(2, min(most, n)))
+
+
 def cluster_embeddings(df: DataFrame, most: int = 10, cut: float = 0.5) -> DataFrame:
-    """(media_id, seq, vector) to (media_id, seq, speaker): average linkage on cosine distance, clusters numbered by first member."""
+    """(media_id, seq, vector) to (media_id, seq, speaker), numbered by first member. One item's segments are clustered by one
+    task, in memory that grows with their square: an item is one recording, its segments are phrases."""
     import pandas as pd
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("seq")
-        x = np.array(part["vector"].tolist(), float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        d, size, group = 1 - x @ x.T, np.ones(len(x)), np.arange(len(x))
-        np.fill_diagonal(d, np.inf)
-        left = len(x)
-        while left > 1 and (d.min() < cut or left > most):
-            i, j = sorted(np.unravel_index(d.argmin(), d.shape))
-            d[i] = (d[i] * size[i] + d[j] * size[j]) / (size[i] + size[j])
-            d[:, i] = d[i]
-            d[i, i], size[i] = np.inf, size[i] + size[j]
-            d[j], d[:, j] = np.inf, np.inf
-            group[group == j] = i
-            left -= 1
-        names = {g: k for k, g in enumerate(dict.fromkeys(group))}
-        return pd.DataFrame({"media_id": part["media_id"], "seq": part["seq"], "speaker": [f"SPEAKER_{names[g]:02d}" for g in group]})
+        label = speakers(np.array(part["vector"].tolist(), float), most, cut)
+        return pd.DataFrame({"media_id": part["media_id"], "seq": part["seq"], "speaker": [f"SPEAKER_{k:02d}" for k in label]})
 
     return df.select("media_id", "seq", "vector").groupBy("media_id").applyInPandas(run, "media_id long, seq long, speaker string")

@@ -6,22 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dubflow.functions import dims, media, text
-from dubflow.operators import folds, frames, intervals, islands, signal
+from dubflow.operators import cache, folds, frames, intervals, islands, signal
+from dubflow.plans.registry import ORACLES, QUERIES, SPACE_SQL, query, stripped
 from dubflow.sources.fixtures import CS, EV, conversation_segments, event_segments, table
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
 
 R = lambda c, alias=None: F.round(c, 6).alias(alias or c)
 TEXT_EV = lambda s, d: event_segments(s, d).withColumn("text", F.col("speaker"))
@@ -39,7 +27,7 @@ def clean_segments(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {CS}, n AS (SELECT *, (seq // 3)::VARCHAR AS who FROM cs),
     r AS (SELECT media_id, seq, seq AS grp, start_s, end_s, text, who FROM n WHERE seq = 0
         UNION ALL SELECT n.media_id, n.seq, CASE WHEN m THEN r.grp ELSE n.seq END, CASE WHEN m THEN r.start_s ELSE n.start_s END, n.end_s,
-            CASE WHEN m THEN CASE WHEN trim(r.text, E' \\n') LIKE '%-' OR trim(n.text, E' \\n') LIKE '-%' THEN trim(r.text, E' \\n') || trim(n.text, E' \\n') ELSE trim(r.text, E' \\n') || ' ' || trim(n.text, E' \\n') END ELSE n.text END, n.who
+            CASE WHEN m THEN CASE WHEN {stripped('r.text')} LIKE '%-' OR {stripped('n.text')} LIKE '-%' THEN {stripped('r.text')} || {stripped('n.text')} ELSE {stripped('r.text')} || ' ' || {stripped('n.text')} END ELSE n.text END, n.who
         FROM r JOIN n ON n.media_id = r.media_id AND n.seq = r.seq + 1, LATERAL (SELECT r.end_s - r.start_s < 40 AND n.start_s - r.end_s < 0.5 AND r.who = n.who AS m))
     SELECT media_id, grp AS seq, arg_max(start_s, seq) AS start_s, arg_max(end_s, seq) AS end_s, arg_max(text, seq) AS text FROM r GROUP BY media_id, grp""")
 def merge_short_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +48,7 @@ def srt_timestamp(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {CS}, n AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY seq) AS no FROM cs)
-    SELECT media_id, string_agg(no || E'\\n' || {_stamp('start_s')} || ' --> ' || {_stamp('end_s')} || E'\\n' || text || E'\\n\\n', '' ORDER BY seq) AS srt FROM n WHERE trim(text) <> '' GROUP BY media_id""")
+    SELECT media_id, string_agg(no || E'\\n' || {_stamp('start_s')} || ' --> ' || {_stamp('end_s')} || E'\\n' || text || E'\\n\\n', '' ORDER BY seq) AS srt FROM n WHERE {stripped('text')} <> '' GROUP BY media_id""")
 def srt_blocks(spark: SparkSession, d: str) -> DataFrame:
     rows = conversation_segments(spark, d).withColumn("no", F.row_number().over(islands.in_order())).where(text.strip(F.col("text")) != "")
     block = text.srt_block(F.col("no"), F.col("start_s"), F.col("end_s"), F.col("text"))
@@ -100,7 +88,7 @@ def word_speaker_nearest(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {EV}, c AS (SELECT *, CASE WHEN coalesce(speaker = lag(speaker) OVER w, false) THEN 0 ELSE 1 END AS new FROM ev WINDOW w AS (PARTITION BY media_id ORDER BY seq)),
     i AS (SELECT *, sum(new) OVER (PARTITION BY media_id ORDER BY seq) AS island FROM c)
-    SELECT media_id, island, min(speaker) AS speaker, round(arg_min(start_s, seq), 6) AS start_s, round(arg_max(end_s, seq), 6) AS end_s, trim(string_agg(' ' || speaker, '' ORDER BY seq)) AS text FROM i GROUP BY media_id, island""")
+    SELECT media_id, island, min(speaker) AS speaker, round(arg_min(start_s, seq), 6) AS start_s, round(arg_max(end_s, seq), 6) AS end_s, {stripped("string_agg(' ' || speaker, '' ORDER BY seq)")} AS text FROM i GROUP BY media_id, island""")
 def speaker_runs(spark: SparkSession, d: str) -> DataFrame:
     rows = event_segments(spark, d).withColumn("text", F.concat(F.lit(" "), "speaker"))
     return islands.speaker_runs(rows).select("media_id", "island", "speaker", R("start_s"), R("end_s"), "text")
@@ -133,27 +121,24 @@ def delay_schedule(spark: SparkSession, d: str) -> DataFrame:
     return folds.delay_schedule(clips, 1000.0).select("media_id", "seq", R("new_start"), R("final_dur"), R("ratio"))
 
 
-def _cutoff(rows: DataFrame, most: float, *order) -> DataFrame:
-    before = F.sum("dur").over(Window.partitionBy("media_id", "speaker").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("before", F.coalesce(before, F.lit(0.0)))
-
-
 @query(f"""WITH {EV}, e AS (SELECT *, round(val / 10, 3) AS dur FROM ev WHERE round(val / 10, 3) >= 0.5 AND k >= 1),
     b AS (SELECT *, coalesce(sum(dur) OVER (PARTITION BY media_id, speaker ORDER BY dur DESC, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e)
     SELECT media_id, speaker, count(*) AS clips, round(sum(dur), 6) AS total FROM b WHERE before < 15 GROUP BY 1, 2 HAVING sum(dur) >= 1""")
 def speaker_profiles_topk(spark: SparkSession, d: str) -> DataFrame:
     """k / 100 stands for a clip's RMS."""
-    rows = event_segments(spark, d).withColumn("dur", F.round(F.col("val") / 10, 3)).where("dur >= 0.5 and k >= 1")
-    got = _cutoff(rows, 15.0, F.desc("dur"), "seq").where("before < 15").groupBy("media_id", "speaker").agg(F.count(F.lit(1)).alias("clips"), F.sum("dur").alias("total"))
-    return got.where("total >= 1").select("media_id", "speaker", "clips", R("total"))
+    rows = event_segments(spark, d).select("media_id", "speaker", "seq", F.round(F.col("val") / 10, 3).alias("dur"), (F.col("k") / 100).alias("rms"))
+    got = signal.profile_clips(rows).groupBy("media_id", "speaker").agg(F.count(F.lit(1)).alias("clips"), F.sum("dur").alias("total"))
+    return got.select("media_id", "speaker", "clips", R("total"))
 
 
-@query(f"""WITH {EV}, e AS (SELECT *, round(val / 10, 3) AS dur, 65 + k * 2.35 AS f0 FROM ev),
-    b AS (SELECT *, coalesce(sum(dur) OVER (PARTITION BY media_id, speaker ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e)
-    SELECT media_id, speaker, CASE WHEN avg(f0) > 160 THEN 'Female' ELSE 'Male' END AS gender FROM b WHERE before <= 20 GROUP BY 1, 2""")
+@query(f"""WITH {EV}, e AS (SELECT *, round(val / 10, 3) AS dur, 65 + k * 2.45 AS f0 FROM ev WHERE k % 13 <> 0),
+    b AS (SELECT *, coalesce(sum(dur) OVER (PARTITION BY media_id, speaker ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e),
+    g AS (SELECT media_id, speaker, CASE WHEN avg(f0) FILTER (f0 BETWEEN 65 AND 300) > 160 THEN 'Female' ELSE 'Male' END AS gender FROM b WHERE before <= 20 GROUP BY 1, 2)
+    SELECT media_id, speaker, coalesce(gender, 'Male') AS gender FROM (SELECT DISTINCT media_id, speaker FROM ev) LEFT JOIN g USING (media_id, speaker)""")
 def gender_cutoff(spark: SparkSession, d: str) -> DataFrame:
-    rows = event_segments(spark, d).withColumn("dur", F.round(F.col("val") / 10, 3)).withColumn("f0", 65 + F.col("k") * 2.35)
-    return _cutoff(rows, 20.0, "seq").where("before <= 20").groupBy("media_id", "speaker").agg(F.when(F.avg("f0") > 160, "Female").otherwise("Male").alias("gender"))
+    """k makes a clip's pitch; every thirteenth clip lies outside its media."""
+    rows = event_segments(spark, d).select("media_id", "speaker", "seq", F.expr("if(k % 13 <> 0, round(val / 10, 3), null)").alias("dur"), (65 + F.col("k") * 2.45).alias("f0"))
+    return signal.genders(rows)
 
 
 @query(f"WITH {EV} SELECT media_id, round(sqrt(avg(val * val)), 6) AS rms, round(var_pop(val), 6) AS variance, sqrt(avg(val * val)) >= 0.02 AND var_pop(val) >= 1e-5 AS ok FROM ev WHERE seq <= 40 GROUP BY 1")
@@ -185,25 +170,45 @@ def reference_fallback(spark: SparkSession, d: str) -> DataFrame:
     return folds.reference_fallback(rows, F.concat(F.lit("clip"), "media_id"))
 
 
-CACHE = "cache AS (SELECT DISTINCT lang, trim(text, E' \\n') AS text, '<' || left(trim(text, E' \\n'), 20) || '>' AS translated FROM documents WHERE doc_id % 2 = 0)"
+CACHE = f"""cache AS (SELECT DISTINCT lang AS src, 'de' AS tgt, {stripped('text')} AS key, 'stub' AS model, 'known ' || md5({stripped('text')}) AS translated FROM documents WHERE doc_id % 2 = 0),
+    s AS (SELECT doc_id, CASE lang WHEN 'es' THEN 'en' ELSE lang END AS src, {stripped('text')} AS key, text FROM documents)"""
 
 
 def _cache(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, d, "documents").withColumn("key", F.regexp_replace("text", "^[ \n]+|[ \n]+$", ""))
-    hit = docs.where("doc_id % 2 = 0").select(F.col("lang").alias("l"), F.col("key").alias("t"), F.concat(F.lit("<"), F.substring("key", 1, 20), F.lit(">")).alias("translated")).distinct()
-    return docs, hit
+    """Segments whose Spanish counts as detected automatically, and a cache of every other document."""
+    docs = table(spark, d, "documents")
+    key = text.strip(F.col("text"))
+    known = docs.where("doc_id % 2 = 0").select(F.col("lang").alias("src"), F.lit("de").alias("tgt"), key.alias("key"), F.lit("stub").alias("model"), F.concat(F.lit("known "), F.md5(key)).alias("translated")).distinct()
+    return docs.select("doc_id", F.expr("if(lang = 'es', 'auto', lang)").alias("src"), F.lit("de").alias("tgt"), "text", F.lit("stub").alias("model")), known
 
 
-@query(f"WITH {CACHE} SELECT doc_id, coalesce(translated, 'model:' || d.lang) AS translated FROM documents d LEFT JOIN cache c ON c.lang = d.lang AND c.text = trim(d.text, E' \\n')")
+@query(f"WITH {CACHE} SELECT doc_id, translated FROM s LEFT JOIN cache USING (src, key)")
 def translation_cache_join(spark: SparkSession, d: str) -> DataFrame:
-    docs, hit = _cache(spark, d)
-    return docs.join(hit, (F.col("lang") == F.col("l")) & (F.col("key") == F.col("t")), "left").select("doc_id", F.coalesce("translated", F.concat(F.lit("model:"), "lang")).alias("translated"))
+    return cache.probe(*_cache(spark, d)).select("doc_id", "translated")
 
 
-@query(f"WITH {CACHE} SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM cache c WHERE c.lang = d.lang AND c.text = trim(d.text, E' \\n'))")
+@query(f"WITH {CACHE} SELECT DISTINCT src, tgt, key, model FROM (SELECT s.src, 'de' AS tgt, s.key, 'stub' AS model FROM s LEFT JOIN cache USING (src, key) WHERE translated IS NULL)")
 def cache_misses(spark: SparkSession, d: str) -> DataFrame:
-    docs, hit = _cache(spark, d)
-    return docs.join(hit, (F.col("lang") == F.col("l")) & (F.col("key") == F.col("t")), "left_anti").select("doc_id")
+    return cache.misses(*_cache(spark, d))
+
+
+@query(f"""WITH {CACHE}, t AS (SELECT doc_id, s.text, translated, contains(s.key, 'Qu') AS fails, CASE WHEN contains(s.key, 'Qu') THEN NULL ELSE '[de] ' || s.key END AS fresh FROM s LEFT JOIN cache USING (src, key))
+    SELECT doc_id, coalesce(translated, fresh, text) AS translated, translated IS NOT NULL AS hit, translated IS NOT NULL OR NOT fails AS ok FROM t""")
+def cached_translation(spark: SparkSession, d: str) -> DataFrame:
+    """Misses go to a stub that fails on texts with Qu; these stay as they are."""
+    return cache.translate(*_cache(spark, d), _picky)[0].select("doc_id", "translated", "hit", "ok")
+
+
+@query(f"""WITH {CACHE}, n AS (SELECT DISTINCT s.src, s.key FROM s LEFT JOIN cache USING (src, key) WHERE translated IS NULL AND NOT contains(s.key, 'Qu'))
+    SELECT src || '|de|' || key || '|stub' AS entry, translated FROM cache UNION ALL SELECT src || '|de|' || key || '|stub', '[de] ' || key FROM n""")
+def cache_after(spark: SparkSession, d: str) -> DataFrame:
+    """The cache with what was translated, failures left out, under its keys of one string."""
+    after = cache.translate(*_cache(spark, d), _picky)[1]
+    return after.select(cache.export_key("src", "tgt", "key", "model").alias("entry"), "translated")
+
+
+def _picky(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("translated", F.when(~F.col("key").contains("Qu"), F.concat(F.lit("[de] "), "key")))
 
 
 LANGS = "langs(name, code, pos) AS (VALUES " + ", ".join(f"('{n}', '{c}', {k})" for k, (n, c) in enumerate(dims.LANGUAGES)) + ")"
@@ -246,25 +251,19 @@ def prompt_default(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.prompt("default", F.col("text"), F.col("lang"), F.lit("fr")).alias("prompt"))
 
 
-@query("""WITH c AS (SELECT doc_id, text, trim(regexp_replace(regexp_replace(text, '[\\x00-\\x1f\\x7f-\\x{9f}]', '', 'g'), ' +', ' ', 'g')) AS t FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN ' ! ' ELSE left(text, 400) END AS text FROM documents))
-    SELECT doc_id, CASE WHEN length(trim(text)) >= 2 AND t <> '' AND regexp_matches(text, '[a-zA-Z0-9]') THEN t END AS clean FROM c""")
+@query(rf"""WITH c AS (SELECT doc_id, text, {stripped(rf"regexp_replace(regexp_replace(text, '[\x00-\x1f\x7f-\x{{9f}}]', '', 'g'), '{SPACE_SQL}+', ' ', 'g')")} AS t FROM documents)
+    SELECT doc_id, CASE WHEN length({stripped('text')}) >= 2 AND t <> ''
+        AND regexp_matches(text, '[a-zA-Z0-9\x{{4e00}}-\x{{9fff}}\x{{3040}}-\x{{309f}}\x{{30a0}}-\x{{30ff}}\x{{0400}}-\x{{04ff}}\x{{0600}}-\x{{06ff}}\x{{ac00}}-\x{{d7af}}]') THEN t END AS clean FROM c""")
 def sanitize_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.sanitize(F.expr("if(doc_id % 10 = 0, ' ! ', left(text, 400))")).alias("clean"))
-
-
-@query(r"""WITH c AS (SELECT doc_id, text, trim(regexp_replace(regexp_replace(text, '[\x00-\x1f\x7f-\x{9f}]', '', 'g'), ' +', ' ', 'g'), ' ') AS t FROM documents)
-    SELECT doc_id, CASE WHEN length(regexp_replace(text, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')) >= 2 AND t <> ''
-        AND regexp_matches(text, '[a-zA-Z0-9\x{4e00}-\x{9fff}\x{3040}-\x{309f}\x{30a0}-\x{30ff}\x{0400}-\x{04ff}\x{0600}-\x{06ff}\x{ac00}-\x{d7af}]') THEN t END AS clean FROM c""")
-def sanitize_whole_text(spark: SparkSession, d: str) -> DataFrame:
-    """The whole text of every row; sanitize_text and its SQL see 400 characters."""
+    """The whole text of every row."""
     return table(spark, d, "documents").select("doc_id", text.sanitize(F.col("text")).alias("clean"))
 
 
 @query(f"WITH {EV} SELECT media_id, coalesce(string_agg(speaker, ' ' ORDER BY seq) FILTER (k / 100.0 >= 0.6), 'kept ' || media_id) AS text, count(*) FILTER (k / 100.0 >= 0.6) AS words FROM ev GROUP BY 1")
 def confidence_filter(spark: SparkSession, d: str) -> DataFrame:
-    words = event_segments(spark, d).groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("speaker").alias("word"), (F.col("k") / 100).alias("p")))).alias("words"))
-    kept = F.filter("words", lambda w: F.coalesce(w.p, F.lit(1.0)) >= 0.6)
-    return words.select("media_id", F.when(F.size(kept) > 0, text.strip(F.array_join(F.transform(kept, lambda w: w.word), " "))).otherwise(F.concat(F.lit("kept "), "media_id")).alias("text"), F.size(kept).cast("long").alias("words"))
+    words = event_segments(spark, d).groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("speaker").alias("word"), (F.col("k") / 100).alias("probability")))).alias("words"))
+    sure = text.confident(F.col("words"), F.concat(F.lit("kept "), "media_id"), 0.6)
+    return words.select("media_id", sure.text.alias("text"), F.size(sure.words).cast("long").alias("words"))
 
 
 @query(f"""WITH {EV}, f AS (SELECT media_id, seq - 1 AS frame, speaker, k FROM ev), d AS (SELECT media_id, frame, CASE WHEN k % 9 = 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN k % 4 = 0 THEN NULL ELSE speaker END AS text FROM f WHERE frame % 5 = 0),
@@ -276,9 +275,10 @@ def ocr_hold(spark: SparkSession, d: str) -> DataFrame:
     return frames.held_detection(f.select("media_id", "frame"), found, 5)
 
 
-@query(f"WITH {EV} SELECT media_id, seq, k / 100.0::DOUBLE AS conf FROM ev WHERE coalesce(k / 100.0::DOUBLE, 1.0) >= 0.4")
+@query(f"WITH {EV} SELECT media_id, seq, k / 100.0::DOUBLE AS conf, coalesce(k / 100.0::DOUBLE, 1.0) > 0.4 AS strict FROM ev WHERE coalesce(k / 100.0::DOUBLE, 1.0) >= 0.4")
 def ocr_confidence(spark: SparkSession, d: str) -> DataFrame:
-    return event_segments(spark, d).withColumn("conf", F.col("k") / 100).where(F.coalesce("conf", F.lit(1.0)) >= 0.4).select("media_id", "seq", "conf")
+    rows = event_segments(spark, d).withColumn("conf", F.col("k") / 100)
+    return rows.where(frames.readable(F.col("conf"))).select("media_id", "seq", "conf", frames.readable(F.col("conf"), strict=True).alias("strict"))
 
 
 FILLED = """b AS (SELECT media_id, seq - 1 AS frame, CASE WHEN k % 3 <> 0 THEN k END AS x1 FROM ev), f AS (SELECT media_id, frame, coalesce(last_value(x1 IGNORE NULLS) OVER (PARTITION BY media_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
@@ -330,11 +330,11 @@ def overlap_add(spark: SparkSession, d: str) -> DataFrame:
     return signal.overlap_add(_samples(spark, d), 10, 9, 2).select("media_id", "idx", R("val"))
 
 
-@query("SELECT n_nationkey AS n, i::INT AS i, round(i / greatest(1, n_nationkey - 1)::DOUBLE, 6) AS w FROM (SELECT n_nationkey, unnest(range(n_nationkey)) AS i FROM nation)")
+@query("""SELECT n_nationkey AS n, kind, i::INT AS i, round(CASE kind WHEN 'linear' THEN t WHEN 'cosine' THEN (1 - cos(t * pi())) / 2 ELSE sqrt(t) END, 6) AS w
+    FROM (SELECT n_nationkey, kind, i, i / greatest(1, n_nationkey - 1)::DOUBLE AS t FROM (SELECT n_nationkey, unnest(range(n_nationkey)) AS i FROM nation), (VALUES ('linear'), ('cosine'), ('exponential')) k(kind))""")
 def crossfade_window(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("n_nationkey")
-    weights = F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: i / F.greatest(F.lit(1), n - 1))
-    return table(spark, d, "nation").where("n_nationkey > 0").select(n.alias("n"), F.posexplode(weights).alias("i", "w")).select("n", "i", R("w"))
+    rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("n"), F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), signal.crossfade(F.col("n_nationkey"), k).alias("w")) for k in ("linear", "cosine", "exponential")])).alias("x"))
+    return rows.select("n", "x.kind", F.posexplode("x.w").alias("i", "w")).select("n", "kind", "i", R("w"))
 
 
 @query(f"""WITH {EV}, a AS (SELECT media_id, seq - 1 AS idx, val / 100 AS v FROM ev WHERE speaker <> 'error'), b AS (SELECT media_id, seq + 1 AS idx, val / 200 AS b FROM ev WHERE k % 2 = 0),
@@ -435,11 +435,11 @@ def cluster_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return signal.cluster_embeddings(rows)
 
 
-@query()
+@query("SELECT strftime(time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def streamed_chunks(spark: SparkSession, d: str) -> DataFrame:
     from dubflow.streaming.chunks import stream_chunk_counts
 
-    return stream_chunk_counts(spark, f"{d}/events.parquet")
+    return stream_chunk_counts(spark, f"{d}/events.parquet").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
 
 
 @query(f"""WITH {EV}, s AS (SELECT media_id, seq, val, k / 2.0::DOUBLE AS target FROM ev), p AS (SELECT *, CASE WHEN val > 0 AND target > 0 THEN val / target END AS speed FROM s)
@@ -468,11 +468,12 @@ def profile_join(spark: SparkSession, d: str) -> DataFrame:
     return segments.join(profiles, ["media_id", "speaker"], "left").select("media_id", "seq", F.when(F.col("speaker").isNull(), "vocals").when(F.col("valid"), F.col("path")).alias("reference"))
 
 
-@query(f"""WITH {EV}, d AS (SELECT media_id, seq - 1 AS frame, k, count(*) OVER (PARTITION BY media_id) AS n FROM ev WHERE seq <= 15)
+@query(f"""WITH {EV}, d AS (SELECT media_id + 1 AS media_id, seq - 1 AS frame, k, count(*) OVER (PARTITION BY media_id) AS n FROM ev)
     SELECT e.media_id, (e.seq - 1)::INT AS frame, d.k AS driving FROM ev e JOIN d ON d.media_id = e.media_id AND d.frame = least(e.seq - 1, d.n - 1)""")
 def frame_zip(spark: SparkSession, d: str) -> DataFrame:
+    """Driven by the whole track of the item before, which may be shorter or longer."""
     source = event_segments(spark, d).select("media_id", (F.col("seq") - 1).alias("frame"), "k")
-    return frames.zip_frames(source.select("media_id", "frame"), source.where("frame < 15").select("media_id", "frame", F.col("k").alias("driving")))
+    return frames.zip_frames(source.select("media_id", "frame"), source.select((F.col("media_id") + 1).alias("media_id"), "frame", F.col("k").alias("driving")))
 
 
 @query(f"WITH {EV} SELECT media_id, seq, round(greatest(start_s - 100, 0), 6) AS start_s, round(least(end_s - 100, 400), 6) AS end_s FROM ev WHERE least(end_s - 100, 400) - greatest(start_s - 100, 0) >= 0.3")
@@ -531,11 +532,18 @@ def model_translate(spark: SparkSession, d: str) -> DataFrame:
     return predict(rows, "text", "translated", "string", [("large", missing), ("stub", stub_translator("de"))]).drop("text")
 
 
-@query(f"""WITH {EV}, f AS (SELECT media_id, seq, k, lag(start_s) OVER (PARTITION BY k ORDER BY start_s, media_id, seq) AS before, start_s FROM ev)
-    SELECT media_id, seq, k, coalesce(start_s - before <= 4, false) AS fresh FROM f""")
+@query(f"""WITH RECURSIVE {EV}, q AS (SELECT media_id, seq, k % 7 AS key, start_s AS t, k % 11 = 0 AS fails FROM ev),
+    r AS (SELECT media_id, 0 AS seq, false AS hit, []::STRUCT(k INT, z DOUBLE)[] AS held FROM (SELECT DISTINCT media_id FROM q)
+        UNION ALL SELECT q.media_id, q.seq, found, CASE
+                WHEN found THEN list_append(others, list_filter(alive, lambda x: x.k = q.key)[1]) WHEN q.fails THEN r.held
+                ELSE list_append(CASE WHEN len(others) >= 3 THEN others[len(others) - 1 :] ELSE others END, {{'k': q.key, 'z': q.t + 100}}) END
+        FROM r JOIN q ON q.media_id = r.media_id AND q.seq = r.seq + 1, LATERAL (SELECT list_filter(r.held, lambda x: q.t < x.z) AS alive),
+            LATERAL (SELECT len(list_filter(alive, lambda x: x.k = q.key)) > 0 AS found, list_filter(alive, lambda x: x.k <> q.key) AS others))
+    SELECT media_id, seq, hit FROM r WHERE seq > 0""")
 def ttl_cache(spark: SparkSession, d: str) -> DataFrame:
-    before = F.lag("start_s").over(Window.partitionBy("k").orderBy("start_s", "media_id", "seq"))
-    return event_segments(spark, d).select("media_id", "seq", "k", F.coalesce(F.col("start_s") - before <= 4, F.lit(False)).alias("fresh"))
+    """Three entries an item, kept for 100 hours from when they were stored; every eleventh translation fails."""
+    rows = event_segments(spark, d).select("media_id", "seq", F.expr("k % 7").alias("key"), F.col("start_s").alias("at"), F.expr("k % 11 <> 0").alias("ok"))
+    return cache.ttl_hits(rows, ttl=100.0, most=3).select("media_id", "seq", "hit")
 
 
 @query(f"WITH {EV} SELECT media_id, seq, round(least(greatest(val / 100, 0), 1) * 100 - 100, 6) AS level, round(val + coalesce(0.97::DOUBLE * lag(val) OVER (PARTITION BY media_id ORDER BY seq), 0), 6) AS val FROM ev")
@@ -562,3 +570,6 @@ def spectral_match(spark: SparkSession, d: str) -> DataFrame:
 
     waves = _waves(spark, d)
     return match_spectra(waves.withColumn("seq", F.lit(0)), waves.select("media_id", F.reverse("samples").alias("reference")))
+
+
+from dubflow.plans import more  # noqa: E402, F401  registers its queries

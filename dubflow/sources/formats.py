@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -40,3 +40,46 @@ def write_cache(cache: DataFrame, path: str) -> None:
 def write_srt(blocks: DataFrame, path: str) -> None:
     """A folder per media item with its subtitles (media_id, srt)."""
     blocks.select("media_id", F.col("srt").alias("value")).write.mode("error").partitionBy("media_id").option("lineSep", "").text(path)
+
+
+def write_manifest(files: DataFrame, path: str) -> None:
+    """A JSON line for each audio file (path, seconds), as a diarizer's manifest has them; null fields are written."""
+    line = F.struct(
+        F.col("path").alias("audio_filepath"), F.lit(0).alias("offset"), F.col("seconds").alias("duration"), F.lit("infer").alias("label"), F.lit("-").alias("text"),
+        F.lit(None).cast("int").alias("num_speakers"), F.lit(None).cast("string").alias("rttm_filepath"), F.lit("").alias("uniq_id"),
+    )
+    files.select(F.to_json(line, {"ignoreNullFields": "false"}).alias("value")).write.mode("error").text(path)
+
+
+# The media files that are taken.
+MEDIA = "*.{mp4,avi,mov,mkv}"
+
+
+def media_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length, modified) of the media files below a folder; contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", MEDIA).option("recursiveFileLookup", "true").load(folder)
+    return files.select("path", "length", F.col("modificationTime").alias("modified"))
+
+
+def concatenated(chunks: DataFrame, length: str = "frames") -> DataFrame:
+    """Rows (media_id, chunk, at, ...) of all chunks on one time line: `at` plus the lengths of the chunks before.
+
+    Chunks go by number, so the thousandth comes after the second. `length` is a chunk's own length, equal in all its
+    rows; no row is dropped, none made one.
+    """
+    each = chunks.groupBy("media_id", "chunk").agg(F.max(length).alias("__length"))
+    before = Window.partitionBy("media_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = each.select("media_id", "chunk", F.coalesce(F.sum("__length").over(before), F.lit(0)).alias("__start"))
+    return chunks.join(starts, ["media_id", "chunk"]).withColumn("at", F.col("at") + F.col("__start")).drop("__start")
+
+
+def chunk_number(name: Column) -> Column:
+    """The number at the end of a chunk's name, which sorts as the name should; null without one."""
+    return F.regexp_extract(F.regexp_replace(name, r"\.[A-Za-z]\w*$", ""), r"(\d+)$", 1).try_cast("long")
+
+
+def first_mirror(attempts: DataFrame) -> DataFrame:
+    """(item, url) of the first mirror, by position, that answered 200 with a whole file (item, position, url, status, whole);
+    refused ones (401, 403) and failures are passed over, an item without any has a null url."""
+    good = (F.col("status") == 200) & F.coalesce(F.col("whole"), F.lit(False))
+    return attempts.groupBy("item").agg(F.min_by("url", F.when(good, F.col("position"))).alias("first"), F.count_if(good).alias("n")).select("item", F.when(F.col("n") > 0, F.col("first")).alias("url"))
