@@ -19,12 +19,16 @@ MEL = {"rate": 16_000, "size": 800, "hop": 200, "bands": 80, "low": 55.0, "high"
 
 
 def decode(content: bytes) -> tuple[int, np.ndarray]:
-    """Sample rate and samples [channels, frames] from -1 to 1 of 8, 16 or 32 bit PCM."""
+    """Sample rate and samples [channels, frames] from -1 to 1 of 8, 16, 24 or 32 bit PCM."""
     with wave.open(io.BytesIO(content)) as f:
         width, channels, rate = f.getsampwidth(), f.getnchannels(), f.getframerate()
         raw = f.readframes(f.getnframes())
     if width == 1:
         x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
+    elif width == 3:
+        wide = np.zeros((len(raw) // 3, 4), np.uint8)
+        wide[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+        x = wide.view("<i4").ravel().astype(np.float32) / float(1 << 31)
     else:
         x = np.frombuffer(raw, {2: "<i2", 4: "<i4"}[width]).astype(np.float32) / float(1 << (8 * width - 1))
     if not len(x):
@@ -240,3 +244,40 @@ def write_wav(waves: DataFrame, folder: str) -> DataFrame:
             yield pd.DataFrame(out, columns=["path", "length"])
 
     return wav_bytes(waves).mapInPandas(run, "path string, length long")
+
+
+def stretched(x: np.ndarray, speed: float, size: int = 1024, hop: int = 256) -> np.ndarray:
+    """x played `speed` times as fast at its pitch: a phase vocoder."""
+    s = spectrum(np.asarray(x, np.float64), size, hop)
+    steps = np.arange(0, max(1e-9, len(s) - 1), speed)
+    low = steps.astype(int)
+    high, share = np.minimum(low + 1, len(s) - 1), (steps - low)[:, None]
+    size_of = abs(s[low]) * (1 - share) + abs(s[high]) * share
+    expected = 2 * np.pi * hop * np.arange(s.shape[1]) / size
+    turn = np.angle(s[high]) - np.angle(s[low]) - expected
+    turn = turn - 2 * np.pi * np.round(turn / (2 * np.pi)) + expected
+    phase = np.angle(s[0]) + np.concatenate([np.zeros((1, s.shape[1])), np.cumsum(turn, axis=0)[:-1]])
+    return waveform(size_of * np.exp(1j * phase), size, hop, round(len(x) / speed))
+
+
+def fitted(x: np.ndarray, rate: int, target: float) -> np.ndarray:
+    """A clip at its target length, as media.sync_plan says: as it is, padded or cut, or stretched."""
+    x = np.asarray(x, np.float64)
+    seconds = len(x) / rate
+    if seconds <= 0 or target <= 0 or 0.95 < seconds / target < 1.05:
+        return x
+    if seconds / target < 0.25 or seconds / target > 4:
+        n = int(target * rate)
+        return np.pad(x[:n], (0, max(0, n - len(x))))
+    return stretched(x, seconds / target)
+
+
+def fit_clips(clips: DataFrame) -> DataFrame:
+    """(media_id, seq, samples, sample_rate, target) to (media_id, seq, samples) of the target length."""
+
+    def run(batches):
+        for b in batches:
+            out = [fitted(s if s is not None else [], int(r), float(t)).astype(np.float32) for s, r, t in zip(b["samples"], b["sample_rate"], b["target"])]
+            yield pd.DataFrame({"media_id": b["media_id"], "seq": b["seq"], "samples": out})
+
+    return clips.select("media_id", "seq", "samples", "sample_rate", "target").mapInPandas(run, "media_id long, seq long, samples array<float>")

@@ -45,8 +45,16 @@ def crossfade(n: int | Column, kind: str = "linear") -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), n - 1)), shape)).otherwise(F.array().cast("array<double>"))
 
 
-def overlap_add(df: DataFrame, size: int, stride: int, ramp: int) -> DataFrame:
-    """Windows of `size` every `stride` samples with linear ramps: sum(w * y) / (sum(w) + 1e-8)."""
+def overlap_add(df: DataFrame, size: int, stride: int, ramp: int, normalise: bool = False) -> DataFrame:
+    """Windows of `size` every `stride` samples with linear ramps: sum(w * y) / (sum(w) + 1e-8); the last ones are cut short.
+
+    normalise: the samples enter with a mean of 0 and a (sample) deviation of 1 and get theirs back, as a model's windows do.
+    """
+    if normalise:
+        stats = df.groupBy("media_id").agg(F.avg("val").alias("mean"), (F.coalesce(F.stddev_samp("val"), F.lit(0.0)) + F.lit(1e-8)).alias("deviation"))
+        rows = df.join(stats, "media_id")
+        got = overlap_add(rows.select("media_id", "idx", ((F.col("val") - F.col("mean")) / F.col("deviation")).alias("val")), size, stride, ramp)
+        return got.join(stats, "media_id").select("media_id", "idx", (F.col("val") * F.col("deviation") + F.col("mean")).alias("val"))
     first = F.greatest(F.lit(0), F.ceil((F.col("idx") - size + 1) / stride)).cast("int")
     rows = df.withColumn("win", F.explode(F.sequence(first, F.floor(F.col("idx") / stride).cast("int"))))
     inside = F.col("idx") - F.col("win") * stride
@@ -55,6 +63,17 @@ def overlap_add(df: DataFrame, size: int, stride: int, ramp: int) -> DataFrame:
     return rows.groupBy("media_id", "idx").agg((F.sum(F.col("w") * F.col("val")) / (F.sum("w") + F.lit(1e-8))).alias("val"))
 
 
+def canvas(clips: DataFrame, placed: DataFrame, rate: int, total: float) -> DataFrame:
+    """(media_id, idx, val) of whole tracks: clips' samples (media_id, seq, idx, val) laid at their start (media_id, seq,
+    new_start, final_dur), added where they overlap, zeros elsewhere, a second longer than the last end or `total`; peaks
+    are scaled down."""
+    at = placed.select("media_id", "seq", (F.col("new_start") * rate).cast("long").alias("at"))
+    sums = canvas_sum(clips.join(at, ["media_id", "seq"]).select("media_id", "idx", "val", "at"), F.col("at"))
+    length = placed.groupBy("media_id").agg(((F.greatest(F.lit(float(total)), F.max(F.col("new_start") + F.col("final_dur"))) * rate).cast("long") + rate).alias("n"))
+    empty = length.select("media_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("idx"))
+    return peak_normalize(empty.join(sums, ["media_id", "idx"], "full_outer").select("media_id", "idx", F.coalesce("val", F.lit(0.0)).alias("val")))
+
+
 def rms_valid(df: DataFrame, least_rms: float = 0.02, least_variance: float = 1e-5) -> DataFrame:
     got = df.groupBy("media_id").agg(F.sqrt(F.avg(F.col("val") * F.col("val"))).alias("rms"), F.var_pop("val").alias("variance"))
     return got.withColumn("ok", (F.col("rms") >= least_rms) & (F.col("variance") >= least_variance))

@@ -197,6 +197,27 @@ def audio_windows(spark: SparkSession, d: str) -> DataFrame:
     return got.where("window is not null").select("media_id", "frame", F.round(total(F.col("window")), 6).alias("here"), F.size("window").alias("steps"), F.round(around, 6).alias("around"))
 
 
+@query(f"""WITH {EV}, s AS (SELECT media_id, seq - 1 AS idx, val FROM ev), m AS (SELECT media_id, avg(val) AS mean, coalesce(stddev_samp(val), 0) + 1e-8 AS dev FROM s GROUP BY 1),
+    w AS (SELECT s.media_id, idx, (val - mean) / dev AS v, mean, dev, unnest(range(greatest(0, ceil((idx - 9) / 8.0))::BIGINT, (idx // 8)::BIGINT + 1)) AS win FROM s JOIN m USING (media_id)),
+    x AS (SELECT *, least(1.0, (idx - win * 8) / 1.0::DOUBLE, (9 - (idx - win * 8)) / 1.0::DOUBLE) AS wt FROM w)
+    SELECT media_id, idx::INT AS idx, round(sum(wt * v) / (sum(wt) + 1e-8) * any_value(dev) + any_value(mean), 6) AS val FROM x GROUP BY 1, 2""")
+def overlap_add_normalised(spark: SparkSession, d: str) -> DataFrame:
+    rows = event_segments(spark, d).select("media_id", (F.col("seq") - 1).alias("idx"), "val")
+    return signal.overlap_add(rows, 10, 8, 1, normalise=True).select("media_id", "idx", R("val"))
+
+
+@query(f"""WITH {EV}, p AS (SELECT media_id, seq, seq * 0.75::DOUBLE AS a FROM ev), s AS (SELECT media_id, trunc(seq * 0.75::DOUBLE * 4)::BIGINT + i AS idx, val / 100 AS v FROM ev, range(5) r(i)),
+    n AS (SELECT media_id, unnest(range(trunc(greatest(20.0, max(a + 1.25)) * 4)::BIGINT + 4)) AS idx FROM p GROUP BY 1),
+    c AS (SELECT n.media_id, n.idx, coalesce(sum(v), 0) AS v FROM n LEFT JOIN s ON s.media_id = n.media_id AND s.idx = n.idx GROUP BY 1, 2), m AS (SELECT media_id, max(abs(v)) AS peak FROM c GROUP BY 1)
+    SELECT media_id, idx, round(CASE WHEN peak > 0.95 THEN v * (0.95 / peak) ELSE v END, 6) AS val FROM c JOIN m USING (media_id)""")
+def whole_canvas(spark: SparkSession, d: str) -> DataFrame:
+    """Clips of five samples at four a second, one every three quarters of a second."""
+    rows = event_segments(spark, d)
+    clips = rows.select("media_id", "seq", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("idx"), (F.col("val") / 100).alias("val"))
+    placed = rows.select("media_id", "seq", (F.col("seq") * 0.75).alias("new_start"), F.lit(1.25).alias("final_dur"))
+    return signal.canvas(clips, placed, 4, 20.0).select("media_id", "idx", R("val"))
+
+
 # Model boundaries
 
 

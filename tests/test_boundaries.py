@@ -203,3 +203,36 @@ def test_spectral_match_by_definition():
     got = audio.match(a, b, 0.5)
     inside = slice(size, len(a) - size)
     assert np.allclose(got[inside], want[inside], atol=1e-5)
+
+
+def test_fitted_clips(spark):
+    rate = 8000
+    tone = np.sin(2 * np.pi * 440 * np.arange(rate) / rate)
+    for target in (0.6, 1.7):
+        got = audio.fitted(tone, rate, target)
+        assert abs(len(got) - target * rate) <= 1
+        inside = got[1000:-1000]
+        peak = np.argmax(abs(np.fft.rfft(inside * np.hanning(len(inside))))) * rate / len(inside)
+        assert abs(peak - 440) < 5 and 0.6 < abs(inside).max() < 1.3  # the pitch stays
+    assert len(audio.fitted(tone, rate, 0.1)) == 800 and len(audio.fitted(tone, rate, 5.0)) == 40_000 and not audio.fitted(tone, rate, 5.0)[8000:].any()
+    assert audio.fitted(tone, rate, 1.01) is not None and len(audio.fitted(tone, rate, 1.01)) == rate and len(audio.fitted([], rate, 1.0)) == 0
+    rows = spark.createDataFrame([(1, 0, tone.tolist(), rate, 2.0), (1, 1, None, rate, 2.0)], "media_id long, seq long, samples array<float>, sample_rate int, target double")
+    assert {r.seq: len(r.samples) for r in audio.fit_clips(rows).collect()} == {0: 16_000, 1: 0}
+
+
+def test_wide_samples():
+    import io
+    import wave
+
+    out = io.BytesIO()
+    with wave.open(out, "wb") as f:
+        f.setnchannels(1)
+        f.setsampwidth(3)
+        f.setframerate(8000)
+        f.writeframes(b"".join(int(v).to_bytes(3, "little", signed=True) for v in (0, 1 << 22, -(1 << 23))))
+    assert audio.decode(out.getvalue())[1].tolist() == [[0.0, 0.5, -1.0]]
+
+
+def test_largest_first_or_last(spark):
+    rows = spark.createDataFrame([(1, 0, 0, 5), (1, 0, 1, 9), (1, 0, 2, 9)], "media_id long, frame int, pos int, area int")
+    assert frames.largest(rows, F.col("area")).first().pos == 2 and frames.largest(rows, F.col("area"), last_of_equals=False).first().pos == 1
