@@ -45,8 +45,11 @@ def redact(value: Column) -> Column:
     return F.when(strip(value) != "", "***").otherwise("None")
 
 
-def prompt(family: str, text: Column, source: Column, target: Column, previous: Column | None = None) -> Column:
-    """Translation prompts of the model families llama, alma and default. Their wording is fixed values."""
+def prompt(family: str, text: Column, source: Column, target: Column, previous: Column | None = None, following: Column | None = None) -> Column:
+    """Translation prompts of the model families llama, alma and default. Their wording is fixed values.
+
+    Only llama's has a place for the previous line; none has one for the following line, which plays no part.
+    """
     s, t = language_name(source), language_name(target)
     if family == "alma":
         return F.concat(F.lit("Translate this from "), s, F.lit(" to "), t, F.lit(":\n"), s, F.lit(": "), text, F.lit("\n"), t, F.lit(":"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,9 +35,23 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "translated"))
 
 
-def write_cache(cache: DataFrame, path: str) -> None:
-    """A JSON object per partition, non-ASCII kept; the table form of a cache is Parquet."""
-    cache.groupBy(F.spark_partition_id().alias("p")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "translated")))).alias("value")).select("value").write.mode("error").text(path)
+def write_cache(cache: DataFrame, path: str, single: bool = False) -> None:
+    """A JSON object per partition, non-ASCII kept; single: one object in one file, its entries streamed by one task, for
+    readers of the flat form. The table form of a cache is Parquet."""
+    rows = cache.select("key", "translated")
+    if single:
+
+        def lines(batches):
+            first = True
+            for b in batches:
+                entries = [f"{json.dumps(k, ensure_ascii=False)}: {json.dumps(v, ensure_ascii=False)}" for k, v in zip(b["key"], b["translated"])]
+                yield pd.DataFrame({"value": [("{" if first and not i else ",") + e for i, e in enumerate(entries)]})
+                first = first and not entries
+            yield pd.DataFrame({"value": ["{}" if first else "}"]})
+
+        rows.coalesce(1).mapInPandas(lines, "value string").write.mode("error").text(path)
+        return
+    rows.groupBy(F.spark_partition_id().alias("p")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "translated")))).alias("value")).select("value").write.mode("error").text(path)
 
 
 def write_srt(blocks: DataFrame, path: str) -> None:

@@ -1,5 +1,7 @@
 """Literal cases of the operators."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +75,9 @@ def test_cache(spark, tmp_path):
     assert formats.read_cache(spark, str(tmp_path / "none")).count() == 0
     formats.write_cache(spark.createDataFrame([("en|es|Hé|x", "Hola")], "key string, translated string"), str(tmp_path / "c"))
     assert [tuple(r) for r in formats.read_cache(spark, str(tmp_path / "c")).collect()] == [("en|es|Hé|x", "Hola")]
+    formats.write_cache(spark.createDataFrame([("a|b", 'say "x"'), ("é", "ü\n")], "key string, translated string"), str(tmp_path / "one"), single=True)
+    text_ = next((tmp_path / "one").glob("part*.txt")).read_text()
+    assert json.loads(text_) == {"a|b": 'say "x"', "é": "ü\n"} and "é" in text_
+    assert len(list((tmp_path / "one").glob("part*.txt"))) == 1 and {r.key for r in formats.read_cache(spark, str(tmp_path / "one")).collect()} == {"a|b", "é"}
+    formats.write_cache(spark.createDataFrame([], "key string, translated string"), str(tmp_path / "none_"), single=True)
+    assert formats.read_cache(spark, str(tmp_path / "none_")).count() == 0
