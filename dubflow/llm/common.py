@@ -87,7 +87,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._shared_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that materialize() wrote, once all that is made of them is written too."""
+    for table in tables:
+        spark = table.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._shared_path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def utf8(name: str) -> Column:

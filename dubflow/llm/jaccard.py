@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dubflow.llm.common import columns, join_classes, lean, materialize, prepare, utf8
+from dubflow.llm.common import columns, join_classes, lean, materialize, prepare, release, utf8
 
 #: Sets in one block; larger ones are dealt to cells.
 BLOCK_SETS = 2_000
@@ -198,24 +198,45 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         joined = large.join(least, large.a == least.u)
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b")))
-        edges = materialize(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+        before, edges = edges, materialize(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+        release(before)
 
 
-def _joined(narrow: DataFrame, full: DataFrame, percent: int, exact: bool) -> DataFrame:
-    """Links of the blocks (key, id, comp). A large block is dealt to cells: all pairs of its parts when exact, else each
-    part with one set that all parts have."""
-    sizes = narrow.groupBy("key").agg(F.count(F.lit(1)).alias("cnt"), F.min("id").alias("pivot"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("cnt > 1 and c0 <> c1").select(F.col("key").alias("k"), "cnt", "pivot")
-    rows = narrow.join(sizes, F.col("key") == F.col("k")).withColumn("parts", F.ceil(F.col("cnt") / BLOCK_SETS).cast("int"))
+def _joined(narrow: DataFrame, full: DataFrame, percent: int, exact: bool, total: int) -> DataFrame:
+    """Links of the blocks (key, id, comp). A block of over BLOCK_SETS sets is dealt to cells.
+
+    When exact, all pairs of its parts; but if one component has all of the block save BLOCK_SETS others at most, each part
+    of that component meets the others, who meet each other once, so copies stay in proportion to the block. Else each part
+    with one set that all parts have.
+    """
+    main = F.min_by("comp", F.xxhash64("id"))
+    sizes = narrow.groupBy("key").agg(F.count(F.lit(1)).alias("cnt"), F.min("id").alias("pivot"), main.alias("main"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("cnt > 1 and c0 <> c1")
+    sizes = blocks = materialize(sizes.select("key", "cnt", "pivot", "main"), "blocks")
+    large = sizes.where(F.col("cnt") > BLOCK_SETS)
+    if exact and not large.isEmpty():
+        others = join_classes(narrow, large, "key", "cnt", total, F.col("id")).where("cnt is not null and comp <> main").groupBy("key").agg(F.count(F.lit(1)).alias("others"))
+        sizes = sizes.join(others, "key", "left")
+    else:
+        sizes = sizes.withColumn("others", F.col("cnt"))
+    rows = join_classes(narrow, sizes, "key", "cnt", total, F.col("id")).where("cnt is not null").withColumn("parts", F.ceil(F.col("cnt") / BLOCK_SETS).cast("int"))
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     every = F.sequence(F.lit(0), F.col("parts") - 1)
+    cell = lambda a, b: F.struct(a.alias("k2"), b.alias("k3"))
+    none = F.lit(-1)
     if exact:
-        cells = F.transform(every, lambda j: F.struct(F.least(part, j).alias("k2"), F.greatest(part, j).alias("k3")))
+        cells = (
+            F.when((F.col("parts") == 1) | (F.col("others") > BLOCK_SETS), F.transform(every, lambda j: cell(F.least(part, j), F.greatest(part, j))))
+            .when(F.col("comp") == F.col("main"), F.array(cell(part, none)))
+            .otherwise(F.concat(F.transform(every, lambda j: cell(j, none)), F.array(cell(none, none))))
+        )
     else:
-        cells = F.transform(F.when(F.col("id") == F.col("pivot"), every).otherwise(F.array(part)), lambda j: F.struct(j.alias("k2"), j.alias("k3")))
+        cells = F.transform(F.when(F.col("id") == F.col("pivot"), every).otherwise(F.array(part)), lambda j: cell(j, j))
     rows = rows.select("key", "id", "comp", F.explode(cells).alias("cell")).select("key", "cell.k2", "cell.k3", "id", "comp")
     rows = rows.join(full.select(F.col("node").alias("id"), "n", "tokens"), "id").select("key", "k2", "k3", "comp", "tokens", "n")
     rows = rows.repartition("key", "k2", "k3").sortWithinPartitions("key", "k2", "k3", "n", "comp").drop("n")
-    return materialize(rows.mapInArrow(lean(lambda it: block_links(it, percent)), "a long, b long"), "edges")
+    edges = materialize(rows.mapInArrow(lean(lambda it: block_links(it, percent)), "a long, b long"), "edges")
+    release(blocks)
+    return edges
 
 
 def _flag(token: np.ndarray, ident: np.ndarray, who: np.ndarray, sure: bool = False) -> Iterator[pa.RecordBatch]:
@@ -294,6 +315,8 @@ def _groups(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
 
     rows = sets.where("e is not null").select(F.explode("e").alias("token"), F.col("cls").alias("id"), F.col("cls").alias("who"))
     tokens = materialize(shared_tokens(rows, total), "shared-tokens")
+    members = materialize(sets.select("doc_id", "text_hash", "n", "digest"), "members")
+    release(sets)  # the prefixes are its larger part
 
     least = F.ceil(F.col("n") * percent / 100).cast("long")
     need = F.greatest(F.lit(1), F.floor(least * 6 / 100).cast("int"))
@@ -313,8 +336,11 @@ def _groups(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
 
     mine = tokens.join(close.select("cls", "node", "need"), F.col("id") == F.col("cls")).select("token", "hot", F.col("node").alias("id"), "need")
     mine = materialize(mine, "close-tokens")
-    keys = [mine.where("not hot").groupBy("id").agg(F.min_by("token", F.xxhash64("token", F.lit(k))).alias("key")) for k in range(2)]
-    first = _joined(keys[0].unionByName(keys[1]).distinct().withColumn("comp", F.col("id")), full, percent, exact=False)
+    release(tokens)
+    least_two = [mine.where("not hot").groupBy("id").agg(F.min_by("token", F.xxhash64("token", F.lit(k))).alias("key")) for k in range(2)]
+    pairs = materialize(least_two[0].unionByName(least_two[1]).distinct().withColumn("comp", F.col("id")), "first-keys")
+    first = _joined(pairs, full, percent, False, total)
+    release(pairs)
     comps = components(first)
 
     # sets whose prefix, then whose whole set, has enough tokens that another component has too
@@ -332,19 +358,23 @@ def _groups(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
                 yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.full(len(token), node)), pa.array(np.full(len(token), comp))], names=["token", "id", "who"])
 
     wide = shared_tokens(active.mapInArrow(lean(exploded), "token long, id long, who long"), total)
-    wide = materialize(wide.join(label, "id", "left").select("token", "id", F.coalesce("component", "id").alias("comp")), "mixed-tokens")
+    wide = mixed_tokens = materialize(wide.join(label, "id", "left").select("token", "id", F.coalesce("component", "id").alias("comp")), "mixed-tokens")
+    release(mine)
     bound = F.ceil(F.col("n") * percent / 100)
     have = wide.groupBy("id").agg(F.count(F.lit(1)).alias("have")).join(close.select(F.col("node").alias("id"), "n"), "id").where(F.col("have") >= bound)
-    have = materialize(have.select("id", (F.col("have") - bound + 1).cast("int").alias("most")), "active-sets")
+    have = active_sets = materialize(have.select("id", (F.col("have") - bound + 1).cast("int").alias("most")), "active-sets")
     wide = wide.join(have, "id")
     freq = wide.groupBy("token").agg(F.count(F.lit(1)).alias("f")).select(F.col("token").alias("t"), "f")
     ordered = wide.join(freq, F.col("token") == F.col("t")).groupBy("id", "comp", "most").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("l"))  # a set's own tokens
-    narrow = materialize(ordered.select("id", "comp", F.explode(F.slice("l", F.lit(1), F.col("most"))).alias("x")).select(F.col("x.token").alias("key"), "id", "comp"), "keys")
+    narrow = keys = materialize(ordered.select("id", "comp", F.explode(F.slice("l", F.lit(1), F.col("most"))).alias("x")).select(F.col("x.token").alias("key"), "id", "comp"), "keys")
+    release(mixed_tokens, active_sets)
     # of blocks with the same sets, one
     same = narrow.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2"))
     same = same.where("c > 1").groupBy("c", "h1", "h2").agg(F.min("key").alias("k"))
-    narrow = narrow.join(same.select("k"), F.col("key") == F.col("k"), "left_semi")
-    second = _joined(narrow, full, percent, exact=True)
+    narrow = materialize(narrow.join(same.select("k"), F.col("key") == F.col("k"), "left_semi"), "block-keys")
+    release(keys)
+    second = _joined(narrow, full, percent, True, total)
+    release(narrow, full, close)
     final = components(first.unionByName(second))
 
     final = final.withColumnRenamed("node", "linked")
@@ -355,7 +385,7 @@ def _groups(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     else:
         named = named.withColumn("component_id", F.col("component"))
     named = materialize(named.select("digest", "copies", "component_id", F.col("component").alias("group_no")), "set-components")
-    out = join_classes(sets.select("doc_id", "text_hash", "n", "digest"), named, "digest", "copies", total, F.col("doc_id"))
+    out = join_classes(members, named, "digest", "copies", total, F.col("doc_id"))
     return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("group_no")).alias("group_no"))
 
 

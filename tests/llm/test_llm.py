@@ -468,6 +468,25 @@ def test_similar_random(spark):
     assert sorted(map(tuple, jaccard.similar_groups(df, 2, 80).collect())) == sorted(brute_groups(rows, 2, 80))
 
 
+@pytest.mark.parametrize("size", [2, 7, 60])
+def test_similar_in_cells(spark, monkeypatch, size):
+    """Blocks larger than a cell: with a component that has nearly all of one, and with many small ones."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", size)
+    rng = random.Random(size)
+    passage = [f"p{k}" for k in range(30)]
+    rows = []
+    for g in range(12):
+        own = [f"g{g}w{k}" for k in range(4 + g % 3)]
+        for _ in range(30 if g == 0 else 3):
+            w = passage + own
+            for _ in range(rng.randrange(0, 3)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(400)}"
+            rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for words, percent in ((1, 85), (2, 80), (1, 93)):
+        assert sorted(map(tuple, jaccard.similar_groups(df, words, percent).collect())) == sorted(brute_groups(rows, words, percent))
+
+
 def test_keep_one(spark, docs, empty):
     """One row of each group stays, with all its columns; ids that several texts share don't matter."""
     assert jaccard.keep_one(empty).count() == 0 and jaccard.keep_one(empty).columns == empty.columns
