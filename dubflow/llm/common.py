@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dubflow.sources.shared import new_path, shared_dir  # noqa: F401  the operators take both from here
+
 #: Rows and bytes of one Arrow batch: a few very long texts can't fill a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -53,30 +53,6 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return bounded
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or (only where that is unset and all runs in one process, as
-    in tests) a new one."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        if not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="dubflow-")
-        sc.setCheckpointDir(named)
-    return f"{named.rstrip('/')}/dubflow-{sc.applicationId}"
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(at)
-    fs.deleteOnExit(at)
-    return path
-
-
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it: cuts lineage, survives lost executors."""
     spark = df.sparkSession

@@ -186,20 +186,25 @@ def block_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that links reach, for nodes with links. Alternating large and small stars."""
+    """(node, component): the smallest node that links reach, for nodes with links. Alternating large and small stars.
+
+    A node that very many links share is joined by broadcast, so no task holds a star.
+    """
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     while True:
         stars = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty() and edges.join(edges.select(F.col("b").alias("x")), F.col("a") == F.col("x"), "left_semi").isEmpty()
         if stars:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        total = edges.count()
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).select(F.col("a").alias("u"), "m")
-        large = both.join(least, both.a == least.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-        joined = large.join(least, large.a == least.u)
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = join_classes(both, least, "a", "n", 2 * total, F.col("b")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = materialize(large, "large-stars")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        joined = join_classes(large, least, "a", "n", total, F.col("b"))
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b")))
         before, edges = edges, materialize(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-        release(before)
+        release(before, large)
 
 
 def _joined(narrow: DataFrame, full: DataFrame, percent: int, exact: bool, total: int) -> DataFrame:
