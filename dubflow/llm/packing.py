@@ -25,7 +25,7 @@ MAX_TOKENS, END_ID = 4096, 1
 #: Distinct words, and parts of words, that a worker remembers; ranks are counted in groups of about so many rows.
 CACHE_WORDS, RANK_ROWS = 400_000, 5_000
 #: Characters of text that are words in memory at once (but for one longer text).
-SPLIT_CHARS = 2 << 20
+SPLIT_CHARS = 512 << 10
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: White space as the tokenizer's own patterns have it (str.split() also splits at 1C-1F).
@@ -33,6 +33,8 @@ SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 #: The pre-tokenizer's pattern: a fixed value of the tokenizer file.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ODD = re.compile("[\x1c-\x1f]")
+#: Signs that are a part of their own at the end of a word of letters.
+SIGNS = frozenset(".,;:!?")
 
 
 class WordTokenizer:
@@ -61,11 +63,24 @@ class WordTokenizer:
 
     def _learn(self, words: list[str]) -> None:
         """Ids of new words. Latin-1 words are cut as the pre-tokenizer cuts them, and new parts encoded many to a call."""
-        plain = [w for w in words if max(w) <= "\xff" and "<|" not in w and not ODD.search(w)]
-        rest = list(set(words).difference(plain)) if len(plain) < len(words) else []
+        plain, cut, rest = [], [], []
+        for w in words:
+            if not (w.isascii() or max(w) <= "\xff"):
+                rest.append(w)
+                continue
+            if w.isalpha():  # one part
+                ps = (w.lower(),)
+            elif w[-1] in SIGNS and w[:-1].isalpha():
+                ps = (w[:-1].lower(), w[-1])
+            elif "<|" in w or ODD.search(w):
+                rest.append(w)
+                continue
+            else:
+                ps = self.split.findall(w.lower())
+            plain.append(w)
+            cut.append(ps)
         for i in range(0, len(rest), 20_000):
             self.known.update(zip(rest[i : i + 20_000], self._each(rest[i : i + 20_000]), strict=True))
-        cut = [self.split.findall(w.lower()) for w in plain]
         if len(self.parts) > CACHE_WORDS:
             self.parts = {}
         parts = self.parts
