@@ -10,12 +10,14 @@ from dubflow.functions.dims import language_name
 # White space as Python's str.strip() and regular expressions have it.
 SPACE_CLASS = "\\t-\\r\\x1c- \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SPACE = f"[{SPACE_CLASS}]"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 # What the synthesis can speak.
 SPEAKABLE = r"[a-zA-Z0-9\x{4e00}-\x{9fff}\x{3040}-\x{309f}\x{30a0}-\x{30ff}\x{0400}-\x{04ff}\x{0600}-\x{06ff}\x{ac00}-\x{d7af}]"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+    """Without the white space at both ends, of which alone it looks at the characters."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def sanitize(text: Column, speakable: str = SPEAKABLE, least: int = 2) -> Column:
