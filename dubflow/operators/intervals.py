@@ -41,14 +41,16 @@ def _turns(turns: DataFrame) -> DataFrame:
 
 
 def touching(segments: DataFrame, turns: DataFrame, bucket: float = BUCKET) -> DataFrame:
-    """(media_id, seq, turn_seq, turn_speaker, shared) of pairs that overlap or touch; shared seconds are 0 where they only touch."""
+    """(media_id, seq, turn_seq, turn_speaker, shared, crosses) of pairs that overlap or touch; shared seconds are 0 where they
+    only touch and where one without length lies in the other, which crosses."""
     # a turn that ends where a bucket begins touches what starts there: both ends are covered
     s = _covering(segments.select("media_id", "seq", "start_s", "end_s"), "start_s", "end_s", bucket)
     t = _covering(_turns(turns), "a", "z", bucket).withColumnRenamed("b", "tb")
     meet = (F.col("media_id") == F.col("m")) & (F.col("b") == F.col("tb")) & (F.col("start_s") <= F.col("z")) & (F.col("end_s") >= F.col("a"))
     once = F.col("b") == F.floor(F.greatest("start_s", "a") / bucket)  # the first bucket that both cover
     shared = F.greatest(F.lit(0.0), F.least("end_s", "z") - F.greatest("start_s", "a"))
-    return s.join(t, meet & once).select("media_id", "seq", "turn_seq", "turn_speaker", shared.alias("shared"))
+    crosses = (F.col("start_s") < F.col("z")) & (F.col("end_s") > F.col("a"))
+    return s.join(t, meet & once).select("media_id", "seq", "turn_seq", "turn_speaker", shared.alias("shared"), crosses.alias("crosses"))
 
 
 def speech_filter(segments: DataFrame, speech: DataFrame, bucket: float = BUCKET) -> DataFrame:
@@ -67,9 +69,11 @@ def _by_overlap() -> Column:
     return F.min_by("turn_speaker", F.struct(-F.col("shared"), F.col("turn_seq")))
 
 
-def overlap_speaker(segments: DataFrame, turns: DataFrame, bucket: float = BUCKET) -> DataFrame:
-    """Adds turn_speaker: of the turn with the longest overlap, the earliest of equals; null without overlap."""
-    best = touching(segments, turns, bucket).where("shared > 0").groupBy("media_id", "seq").agg(_by_overlap().alias("turn_speaker"))
+def overlap_speaker(segments: DataFrame, turns: DataFrame, bucket: float = BUCKET, moments: bool = False) -> DataFrame:
+    """Adds turn_speaker: of the turn with the longest overlap, the earliest of equals; null without overlap.
+
+    moments: what has no length overlaps what it lies in, for no seconds."""
+    best = touching(segments, turns, bucket).where("crosses" if moments else "shared > 0").groupBy("media_id", "seq").agg(_by_overlap().alias("turn_speaker"))
     return segments.join(best, ["media_id", "seq"], "left")
 
 

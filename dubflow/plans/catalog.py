@@ -73,7 +73,7 @@ def vad_semi_join(spark: SparkSession, d: str) -> DataFrame:
     SELECT media_id, seq, turn_speaker FROM ev LEFT JOIN o USING (media_id, seq)""")
 def overlap_speaker(spark: SparkSession, d: str) -> DataFrame:
     rows = event_segments(spark, d)
-    return intervals.overlap_speaker(rows.select("media_id", "seq", "start_s", "end_s"), rows.where("k % 2 = 0")).select("media_id", "seq", "turn_speaker")
+    return intervals.overlap_speaker(rows.select("media_id", "seq", "start_s", "end_s"), rows.where("k % 2 = 0"), moments=True).select("media_id", "seq", "turn_speaker")
 
 
 @query(f"""WITH {EV}, w AS (SELECT media_id, seq, start_s + 0.01 AS start_s, start_s + 0.26 AS end_s FROM ev), t AS (SELECT * FROM ev WHERE k % 4 = 0),

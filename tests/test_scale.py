@@ -49,6 +49,30 @@ def test_intervals(spark, seed):
     assert intervals.speech_filter(w.limit(0), t).count() == 0 == intervals.overlap_speaker(w.limit(0), t).count()
 
 
+def test_overlaps_of_no_length(spark):
+    """A moment inside a turn overlaps it for no seconds; one at a turn's edge does not. The query's SQL counts such moments."""
+    w = spark.createDataFrame([(1, 1, 2.0, 2.0), (1, 2, 0.0, 0.0), (1, 3, 5.0, 5.0), (1, 4, 6.0, 9.0), (1, 5, 3.0, 3.0)], SEGMENT)
+    t = spark.createDataFrame([(1, 1, 0.0, 5.0, "a"), (1, 2, 7.0, 7.0, "b"), (1, 3, 1.0, 4.0, "c")], SEGMENT + ", speaker string")
+    for bucket in (2.0, 1000.0):
+        got = {r.seq: r.turn_speaker for r in intervals.overlap_speaker(w, t, bucket, moments=True).collect()}
+        assert got == {1: "a", 2: None, 3: None, 4: "b", 5: "a"}
+        assert {r.turn_speaker for r in intervals.overlap_speaker(w, t, bucket).collect()} == {None}
+
+
+def test_overlap_query_with_moments(spark, tmp_path):
+    import duckdb
+
+    from dubflow.plans.catalog import ORACLES, QUERIES
+
+    db = duckdb.connect()
+    times = "(0, 1, 10.0, 2), (1, 2, 0.0, 1), (2, 3, 0.0, 2), (3, 9, 40.0, 4)"
+    db.sql(f"copy (select i::BIGINT as event_id, TIMESTAMP '2024-01-01' + to_minutes((h * 15)::BIGINT) as ts, 1::BIGINT as user_id, 'e' || i as event_type, v::DOUBLE as value, '{{\"k\": ' || k || '}}' as props from (values {times}) t(i, h, v, k)) to '{tmp_path}/events.parquet' (format parquet)")
+    db.sql(f"create view events as from '{tmp_path}/events.parquet'")
+    want = sorted(db.sql(ORACLES["overlap_speaker"]).fetchall())
+    assert sorted(map(tuple, QUERIES["overlap_speaker"](spark, str(tmp_path)).collect())) == want
+    assert [w[2] for w in want] == ["e0", "e0", "e0", "e3"]
+
+
 def test_one_long_item(spark):
     """Folds are linear in an item's rows: ten times as many take far less than a hundred times as long."""
     rows = lambda n: spark.range(n).select(F.lit(1).alias("media_id"), F.col("id").alias("seq"), (F.col("id") * 0.5).alias("start_s"), F.lit(0.7).alias("actual_dur"), F.lit(True).alias("valid"))
