@@ -121,8 +121,8 @@ def clustered(turns: DataFrame, vectors: DataFrame, most: int = 10) -> DataFrame
 def separate(waves: DataFrame, load: Callable[[], Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
     """Mono waveforms (media_id, samples) to (media_id, vocals, background, separated).
 
-    The model gives drums, bass, other and vocals; the first three are the background. Where it fails the vocals are the
-    input and the background is silence.
+    The model gives drums, bass, other and vocals; the first three are the background. Its samples keep the precision that it
+    gives them. Where it fails the vocals are the input and the background is silence.
     """
 
     def run(batches):
@@ -135,13 +135,13 @@ def separate(waves: DataFrame, load: Callable[[], Callable[[np.ndarray], np.ndar
             for i, s in zip(b["media_id"], b["samples"]):
                 x = np.asarray(s if s is not None else [], np.float32)
                 try:
-                    sources = np.asarray(model(x), np.float32)
+                    sources = np.asarray(model(x), float)
                     out.append((i, sources[3], sources[:3].sum(0), True))
                 except Exception:
                     out.append((i, x, np.zeros_like(x), False))
             yield pd.DataFrame(out, columns=["media_id", "vocals", "background", "separated"])
 
-    return waves.select("media_id", "samples").mapInPandas(run, "media_id long, vocals array<float>, background array<float>, separated boolean")
+    return waves.select("media_id", "samples").mapInPandas(run, "media_id long, vocals array<double>, background array<double>, separated boolean")
 
 
 def enhance(waves: DataFrame, backends: list[tuple[str, Loader]]) -> DataFrame:

@@ -300,7 +300,7 @@ def _sources():
     def run(x):
         if len(x) % 2:
             raise ValueError("odd")
-        return [x * w for w in (0.1, 0.2, 0.3, 0.4)]
+        return [x.astype(float) * w for w in (0.1, 0.2, 0.3, 0.4)]
 
     return run
 

@@ -87,6 +87,27 @@ def test_separation_without_model(spark):
     assert [(list(r.vocals), list(r.background), r.separated) for r in sorted(got)] == [([0.5, 1.0], [0.0, 0.0], False), ([], [], False)]
 
 
+def test_separation_keeps_the_models_precision(spark):
+    model = lambda: lambda x: [x.astype(float) * w for w in (0.1, 0.2, 0.3, 0.4)]
+    x = np.arange(1, 101, dtype=np.float32) / 100
+    got = backends.separate(spark.createDataFrame([(1, x.tolist())], "media_id long, samples array<float>"), model).first()
+    assert got.separated and sum(got.vocals) == pytest.approx(0.4 * x.sum(dtype=float), rel=1e-13)
+    assert sum(got.background) == pytest.approx(0.6 * x.sum(dtype=float), rel=1e-13)
+
+
+def test_separated_query(spark):
+    """On sf0.01 a total of rounded products fell on the other side of a half."""
+    import duckdb
+
+    from dubflow.plans.catalog import ORACLES, QUERIES
+
+    data = "/root/testdata/sf0.01"
+    db = duckdb.connect()
+    db.sql(f"create view events as from '{data}/events.parquet'")
+    want = sorted(db.sql(ORACLES["separated"]).fetchall())
+    assert sorted(map(tuple, QUERIES["separated"](spark, data).collect())) == want
+
+
 def test_registry(spark):
     backends.register("translate", "shout", lambda: lambda texts: [t.upper() for t in texts])
     rows = spark.createDataFrame([(1, "a"), (2, None)], "i int, text string")
