@@ -168,15 +168,20 @@ def detect_language(rows: DataFrame, column: str, out: str, backends: list[tuple
 # Synthesis
 
 
-def placeholder(words: str, rate: int = 24_000) -> list[float]:
-    """Faint noise as long as the words would take, the same for the same words."""
+def _noise(words: str, rate: int = 24_000) -> np.ndarray:
     seconds = max(0.5, min(0.3 * (len(words.split()) if words else 1), 5.0))
     seed = int.from_bytes(hashlib.sha256(words.encode("utf-8", "replace")).digest()[:8], "little")
-    return (np.random.default_rng(seed).standard_normal(int(seconds * rate)) * 1e-3).astype(np.float32).tolist()
+    return (np.random.default_rng(seed).standard_normal(int(seconds * rate)) * 1e-3).astype(np.float32)
 
 
-def synthesise(tasks: DataFrame, model: str, backends: dict[str, Loader], tries: int = 3, least: int = 50) -> DataFrame:
-    """Tasks (media_id, seq, text, reference_ok, ...) with samples and backend, a row each, in whatever order they come.
+def placeholder(words: str, rate: int = 24_000) -> list[float]:
+    """Faint noise as long as the words would take, the same for the same words."""
+    return _noise(words, rate).tolist()
+
+
+def synthesise(tasks: DataFrame, model: str, backends: dict[str, Loader], tries: int = 3, least: int = 50, size: int = 32) -> DataFrame:
+    """Tasks (media_id, seq, text, reference_ok, ...) with samples and backend, a row each, in whatever order they come, `size`
+    rows at a time.
 
     The text is sanitised; where nothing speakable is left the row gets a placeholder. Cloning models (xtts, f5) speak only
     rows with a valid reference (or `forced`); the others, and rows of unknown models, go to the network backend, `edge`. A
@@ -205,7 +210,8 @@ def synthesise(tasks: DataFrame, model: str, backends: dict[str, Loader], tries:
             except Exception:  # the next attempt takes over
                 return [None] * len(texts)
 
-        for b in batches:
+        # one placeholder has up to 120,000 samples, so no more rows than `size` are held with their clips
+        for b in (whole.iloc[k : k + size] for whole in batches for k in range(0, len(whole), size)):
             clips: list = [None] * len(b)
             made: list = [None] * len(b)
             clean, own = b["__clean"].tolist(), b["__own"].tolist()
@@ -219,8 +225,9 @@ def synthesise(tasks: DataFrame, model: str, backends: dict[str, Loader], tries:
                     if clips[k] is None:
                         clips[k], made[k] = quietly(backend, [t])[0], backend
                 if clips[k] is None:
-                    clips[k], made[k] = placeholder(t if isinstance(t, str) else "silence"), "placeholder"
-            yield b.drop(columns=["__clean", "__own"]).assign(samples=clips, backend=made)
+                    clips[k], made[k] = _noise(t if isinstance(t, str) else "silence"), "placeholder"
+            samples = pd.Series([np.asarray(c, np.float32) for c in clips], index=b.index, dtype=object)
+            yield b.drop(columns=["__clean", "__own"]).assign(samples=samples, backend=made)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tasks.schema)
     return rows.mapInPandas(run, f"{fields}, samples array<float>, backend string")

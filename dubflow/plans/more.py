@@ -382,7 +382,9 @@ def synthesised(spark: SparkSession, d: str) -> DataFrame:
     The cut to some 30 letters makes phrases of documents; it is the fixture, not the operator."""
     said = text.strip(F.regexp_replace("text", "[^a-zü ]", ""))
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("media_id"), F.lit(0).alias("seq"), F.when(F.col("doc_id") % 11 == 0, " ! ").otherwise(F.substring(said, F.lit(1), (30 + F.col("doc_id") % 7).cast("int"))).alias("text"), (F.col("doc_id") % 2 == 0).alias("reference_ok"))
-    got = backends.synthesise(rows.repartition("media_id"), "xtts", {"xtts": _xtts, "edge": _edge})
+    # of a fixed number: the texts are small, so few tasks would be left for clips that are large
+    tasks = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "media_id")
+    got = backends.synthesise(tasks, "xtts", {"xtts": _xtts, "edge": _edge})
     return got.select(F.col("media_id").alias("doc_id"), "backend")
 
 

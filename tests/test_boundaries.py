@@ -41,6 +41,15 @@ def test_synthesis(spark):
     assert np.std(backends.placeholder("some words here")) == pytest.approx(1e-3, rel=0.1)
 
 
+def test_synthesis_holds_few_clips(spark):
+    """Clips come and go in small batches, however many rows Spark hands over; every row gets its clip."""
+    network = lambda: lambda texts: [None if "mute" in t else [float(len(texts))] * 60 for t in texts]
+    tasks = spark.range(100).selectExpr("1L as media_id", "id as seq", "if(id % 10 = 0, 'mute', concat('said ', id)) as text", "true as reference_ok").coalesce(1)
+    got = {r.seq: r for r in backends.synthesise(tasks, "edge", {"edge": network}).collect()}
+    assert len(got) == 100 and max(r.samples[0] for r in got.values()) == 32.0
+    assert all(r.samples == backends.placeholder("mute") if k % 10 == 0 else r.backend == "edge" and len(r.samples) == 60 for k, r in got.items())
+
+
 def test_recognition(spark):
     def load(device):
         def f(path):
