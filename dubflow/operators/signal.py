@@ -151,12 +151,49 @@ def mel_normalize(s: Column) -> Column:
     return F.least(F.greatest((s + 100) / 100, F.lit(0.0)), F.lit(1.0))
 
 
-def average_linkage(x: np.ndarray, cut: float) -> np.ndarray:
-    """Clusters of rows, numbered by first member, whose merges lie below `cut`: nearest-neighbour chains, quadratic time."""
-    n = len(x)
-    d = np.sqrt(np.maximum(0, ((x[:, None] - x) ** 2).sum(2))) if n < 500 else np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (x * x).sum(1) - 2 * x @ x.T))
-    np.fill_diagonal(d, np.inf)
-    size, live, merges, chain = np.ones(n), np.ones(n, bool), [], []
+#: Rows or clusters up to which all distances are held at once; distances in a block beyond that.
+DENSE, BLOCK = 2_048, 1 << 21
+
+
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of x to all of y."""
+    if max(len(x), len(y)) < 500:
+        return ((x[:, None] - y) ** 2).sum(2)
+    return np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T)
+
+
+def _blocks(x: np.ndarray):
+    """(first row, squared distances of some rows to all rows), row for row, so that a block has some BLOCK distances."""
+    step = len(x) if len(x) < 500 else max(1, BLOCK // len(x))
+    for r in range(0, len(x), step):
+        d = _squares(x[r : r + step], x)
+        d[np.arange(len(d)), r + np.arange(len(d))] = 0
+        yield r, d
+
+
+def _means(x: np.ndarray, size: np.ndarray):
+    """(first cluster, mean distances of some clusters to all) for rows that stand cluster by cluster; infinite to themselves."""
+    starts, of, carry = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size), None
+    for r, d in _blocks(x):
+        end = r + len(d)
+        np.sqrt(d, out=d)
+        if len(size) < len(x):
+            d = np.add.reduceat(d, starts, axis=1)
+        first, last = of[r], of[end - 1]
+        sums = np.add.reduceat(d, np.maximum(starts[first : last + 1] - r, 0), axis=0)
+        if starts[first] < r:  # the block before had its first rows
+            sums[0] += carry
+        carry = sums[-1].copy()
+        sums = sums[: last - first + (starts[last] + size[last] <= end)]
+        sums /= size[first : first + len(sums), None] * size
+        sums[np.arange(len(sums)), first + np.arange(len(sums))] = np.inf
+        yield first, sums
+
+
+def _chain(d: np.ndarray, size: np.ndarray) -> list[tuple]:
+    """All merges (distance, kept, gone) of clusters by mean distances, which are used up: nearest-neighbour chains."""
+    n = len(d)
+    size, live, merges, chain = size.astype(float), np.ones(n, bool), [], []
     for _ in range(n - 1):
         if not chain:
             chain = [int(np.flatnonzero(live)[0])]
@@ -174,10 +211,47 @@ def average_linkage(x: np.ndarray, cut: float) -> np.ndarray:
         d[:, i], size[i] = d[i], size[i] + size[j]
         d[i, i], live[j] = np.inf, False
         d[j], d[:, j] = np.inf, np.inf
+    return merges
+
+
+def average_linkage(x: np.ndarray, cut: float, dense: int = DENSE) -> np.ndarray:
+    """Clusters of rows, numbered by first member, whose merges lie below `cut`; quadratic time, memory by blocks of distances.
+
+    While more than `dense` clusters are left, those that are each other's nearest merge, all at once, and those without
+    another below `cut` are done: no merge of others brings one nearer. What is left goes by nearest-neighbour chains.
+    """
+    n = len(x)
     root = np.arange(n)
-    for far, i, j in sorted(merges, key=lambda m: m[0]):
-        if far < cut:
-            root[root == root[j]] = root[i]
+    if cut > 0 and n > dense:  # copies come first
+        _, first, same = np.unique(x, axis=0, return_index=True, return_inverse=True)
+        root = first[same.ravel()]
+    live = np.unique(root)
+    while len(live) > 1:
+        rows = np.flatnonzero(np.isin(root, live))
+        rows = rows[np.argsort(root[rows], kind="stable")]
+        size = np.unique(root[rows], return_counts=True)[1]
+        if len(live) <= dense:
+            d = np.zeros((len(live), len(live)))
+            for k, m in _means(x[rows], size):
+                d[k : k + len(m)] = m
+            for far, i, j in sorted(_chain(d, size), key=lambda m: m[0]):
+                if far < cut:
+                    root[root == root[live[j]]] = root[live[i]]
+            break
+        near, far = np.zeros(len(live), int), np.zeros(len(live))
+        for k, m in _means(x[rows], size):
+            near[k : k + len(m)], far[k : k + len(m)] = m.argmin(1), m.min(1)
+        every, some = np.arange(len(live)), far < cut
+        gone = some & (near[near] == every) & (near < every)
+        if some.any() and not gone.any():  # rounding hides the closest pair
+            a = int(far.argmin())
+            gone[max(a, near[a])] = True
+            near[max(a, near[a])] = min(a, near[a])
+        to = np.arange(n)
+        to[live[gone]] = live[near[gone]]
+        root = to[root]
+        some[near[gone]] = True
+        live = live[some & ~gone]
     return numbered(root)
 
 
@@ -193,10 +267,10 @@ def k_means(x: np.ndarray, k: int, seed: int = 42, tries: int = 10) -> np.ndarra
     for _ in range(tries):
         centres = x[[int(rng.integers(len(x)))]]
         while len(centres) < k:
-            away = ((x[:, None] - centres) ** 2).sum(2).min(1)
+            away = _squares(x, centres).min(1)
             centres = np.vstack([centres, x[int(rng.choice(len(x), p=away / away.sum() if away.sum() else None))]])
         for _ in range(100):
-            label = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
+            label = _squares(x, centres).argmin(1)
             moved = np.stack([x[label == c].mean(0) if (label == c).any() else centres[c] for c in range(k)])
             if np.allclose(moved, centres):
                 break
@@ -207,28 +281,80 @@ def k_means(x: np.ndarray, k: int, seed: int = 42, tries: int = 10) -> np.ndarra
     return numbered(found)
 
 
+def leading(product, n: int, k: int, seed: int = 42, degree: int = 40, cycles: int = 100) -> np.ndarray:
+    """Eigenvectors of the k largest eigenvalues, largest first, of a symmetric product with all of them in -1 to 1.
+
+    A subspace is filtered by Chebyshev polynomials that are large above its least value, until its vectors stay.
+    """
+    v = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, min(n, k + 16))))[0]
+    for _ in range(cycles):
+        pv = product(v)
+        value, turn = np.linalg.eigh(v.T @ pv)
+        value, turn = value[::-1], turn[:, ::-1]
+        v, pv = v @ turn, pv @ turn
+        if np.linalg.norm(pv[:, :k] - v[:, :k] * value[:k], axis=0).max() < 1e-10:
+            break
+        top = min(max(value[-1], -0.5), 0.99)
+        half, middle = (top + 1) / 2, (top - 1) / 2
+        before, now = v, (pv - middle * v) / half
+        for _ in range(degree - 1):
+            before, now = now, (product(now) - middle * now) * (2 / half) - before
+        v = np.linalg.qr(now / np.linalg.norm(now, axis=0))[0]
+    return v[:, :k]
+
+
+def spectral_space(x: np.ndarray, most: int, near: int = 10, seed: int = 42, dense: int = DENSE) -> np.ndarray:
+    """The first `most` eigenvectors of the normalised graph of nearest neighbours, scaled; its edges are few, so it is sparse
+    beyond `dense` rows."""
+    n, near = len(x), min(near, len(x))
+    mine = np.zeros((n, near), int)
+    for r, d in _blocks(x):
+        mine[r : r + len(d)] = (np.argsort(d, axis=1, kind="stable") if n < 500 else np.argpartition(d, near - 1, axis=1))[:, :near]
+    i, j = np.repeat(np.arange(n), near), mine.ravel()
+    i, j = i[i != j], j[i != j]
+    edge, count = np.unique(np.concatenate([i * n + j, j * n + i]), return_counts=True)
+    i, j, weight = edge // n, edge % n, count / 2
+    root = 1 / np.sqrt(np.maximum(np.bincount(i, weight, n), 1e-12))
+    weight = weight * root[i] * root[j]
+    if n <= dense:
+        graph = np.eye(n)
+        graph[i, j] = -weight
+        vectors = np.linalg.eigh(graph)[1]
+    else:
+        at = np.searchsorted(i, np.arange(n))  # each row has an edge: of two nearest, one is another's
+
+        def product(v):
+            return np.concatenate([np.add.reduceat(v[j, c : c + 8] * weight[:, None], at, axis=0) for c in range(0, v.shape[1], 8)], axis=1)
+
+        vectors = leading(product, n, most, seed)
+    return vectors[:, :most] * root[:, None]
+
+
 def spectral(x: np.ndarray, k: int, near: int = 10, seed: int = 42) -> np.ndarray:
     """k-means in the first eigenvectors of the normalised graph of nearest neighbours."""
-    d = ((x[:, None] - x) ** 2).sum(2)
-    graph = np.zeros_like(d)
-    np.put_along_axis(graph, np.argsort(d, axis=1, kind="stable")[:, : min(near, len(x))], 1.0, 1)
-    graph = (graph + graph.T) / 2
-    np.fill_diagonal(graph, 0)
-    root = 1 / np.sqrt(np.maximum(graph.sum(1), 1e-12))
-    _, vectors = np.linalg.eigh(np.eye(len(x)) - root[:, None] * graph * root)
-    return k_means(vectors[:, :k] * root[:, None], k, seed)
+    return k_means(spectral_space(x, k, near, seed), k, seed)
+
+
+def silhouettes(x: np.ndarray, labels: list[np.ndarray]) -> list[float]:
+    """Mean silhouettes of several clusterings, by one pass over all distances; a cluster of one counts 0."""
+    member = [(label[:, None] == np.arange(label.max() + 1)).astype(float) for label in labels]
+    edges, every, total = np.cumsum([0] + [m.shape[1] for m in member]), np.hstack(member), np.zeros(len(labels))
+    for r, d in _blocks(x):
+        sums = np.sqrt(d) @ every
+        at = np.arange(len(sums))
+        for t, label in enumerate(labels):
+            part, mine, count = sums[:, edges[t] : edges[t + 1]], label[r : r + len(sums)], np.bincount(label)
+            own = part[at, mine] / np.maximum(count[mine] - 1, 1)
+            other = part / count
+            other[at, mine] = np.inf
+            nearest = other.min(1)
+            total[t] += np.where(count[mine] > 1, (nearest - own) / np.maximum(np.maximum(own, nearest), 1e-12), 0).sum()
+    return (total / len(x)).tolist()
 
 
 def silhouette(x: np.ndarray, label: np.ndarray) -> float:
     """Mean silhouette; a cluster of one counts 0."""
-    d = np.sqrt(np.maximum(0, ((x[:, None] - x) ** 2).sum(2)))
-    sums = np.stack([d[:, label == c].sum(1) for c in range(label.max() + 1)], 1)
-    count = np.bincount(label)
-    own = sums[np.arange(len(x)), label] / np.maximum(count[label] - 1, 1)
-    other = sums / count
-    other[np.arange(len(x)), label] = np.inf
-    nearest = other.min(1)
-    return float(np.where(count[label] > 1, (nearest - own) / np.maximum(np.maximum(own, nearest), 1e-12), 0).mean())
+    return silhouettes(x, [label])[0]
 
 
 def speakers(x: np.ndarray, most: int = 10, cut: float = 0.5) -> np.ndarray:
@@ -242,16 +368,17 @@ def speakers(x: np.ndarray, most: int = 10, cut: float = 0.5) -> np.ndarray:
     if 2 <= label.max() + 1 <= most and label.max() + 1 < n:
         return label
     best, found = -1.0, None
-    for k in range(2, min(most, n) + 1):
-        label = spectral(x, k)
-        if label.max() > 0 and (score := silhouette(x, label)) > best:
+    space = spectral_space(x, min(most, n))
+    labels = [label for k in range(2, min(most, n) + 1) if (label := k_means(space[:, :k], k)).max() > 0]
+    for label, score in zip(labels, silhouettes(x, labels) if labels else [], strict=True):
+        if score > best:
             best, found = score, label
     return found if found is not None else k_means(x, max(2, min(most, n)))
 
 
 def cluster_embeddings(df: DataFrame, most: int = 10, cut: float = 0.5) -> DataFrame:
     """(media_id, seq, vector) to (media_id, seq, speaker), numbered by first member. One item's segments are clustered by one
-    task, in memory that grows with their square: an item is one recording, its segments are phrases."""
+    task, in time that grows with their square, and memory with their number: an item is one recording, its segments phrases."""
     import pandas as pd
 
     def run(part: pd.DataFrame) -> pd.DataFrame:

@@ -124,6 +124,54 @@ def test_linkage(seed):
         assert (signal.average_linkage(x, cut) == naive_linkage(x, cut)).all()
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_linkage_in_rounds(seed, monkeypatch):
+    """Clusters by rounds and blocks of a few rows are those of the plain definition; copies, lone rows and dense groups too."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((60, 4)) * 0.15 + rng.standard_normal((4, 4))[rng.integers(0, 4, 60)]
+    x = np.concatenate([x, x[:9], x[:3], rng.standard_normal((6, 4))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for block in (1, 1 << 21):
+        monkeypatch.setattr(signal, "BLOCK", block)
+        for cut in (0.2, 0.5, 1.0):
+            for dense in (1, 10):
+                assert (signal.average_linkage(x, cut, dense) == naive_linkage(x, cut)).all()
+
+
+def test_blocks_of_many_rows(monkeypatch):
+    """Beyond 500 rows distances come in blocks that end inside clusters; the sparse space is the dense one."""
+    rng = np.random.default_rng(1)
+    who = rng.integers(0, 4, 700)
+    x = np.eye(12)[who] + rng.standard_normal((700, 12)) * 0.08
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    monkeypatch.setattr(signal, "BLOCK", 700 * 7)
+    want = signal.average_linkage(x, 0.6, 1000)
+    assert (signal.average_linkage(x, 0.6, 20) == want).all() and (want == signal.numbered(who)).all()
+    d = np.linalg.norm(x[:, None] - x, axis=2)
+    size = np.array([1, 2, 300, 1, 396])
+    edges = np.cumsum([0, *size])
+    means = np.concatenate([m for _, m in signal._means(x, size)])
+    for a in range(5):
+        for b in range(5):
+            assert means[a, b] == (np.inf if a == b else pytest.approx(d[edges[a] : edges[a + 1], edges[b] : edges[b + 1]].mean()))
+    x = rng.standard_normal((600, 12))  # connected
+    dense, sparse = signal.spectral_space(x, 6), signal.spectral_space(x, 6, dense=10)
+    assert np.allclose(np.abs((dense / np.linalg.norm(dense, axis=0) * sparse / np.linalg.norm(sparse, axis=0)).sum(0)), 1)
+    assert signal.silhouettes(x, [who[:600], who[:600] % 2]) == pytest.approx([signal.silhouette(x, who[:600]), signal.silhouette(x, who[:600] % 2)])
+
+
+def test_clustering_holds_few_distances():
+    """1,500 vectors of 64 numbers: all differences at once would be 1.2 GB."""
+    import tracemalloc
+
+    x = np.random.default_rng(2).standard_normal((1500, 64))
+    tracemalloc.start()
+    label = signal.speakers(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert label.max() > 0 and peak < 150e6
+
+
 def test_speakers(spark):
     rng = np.random.default_rng(0)
     centres = np.eye(6)[:3]
