@@ -170,6 +170,21 @@ def test_repeats_whole_table(spark):
     assert sorted(map(tuple, repeats.remove_repeats(table).drop("spans").collect()), key=repr) == removed(rows)
 
 
+def test_planted_passages(spark):
+    """Passages of over 50 words in two documents each go whole where they have 400 bytes, else they stay, as all other documents do."""
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abcdefghijklmnoß", k=rng.randrange(2, 10))) for _ in range(3000)]
+    say = lambda n: " ".join(rng.choices(words, k=n))
+    passages = [say(51 + k) for k in range(60)] + ["".join(rng.choices("abc ", k=n)) for n in (397, 398, 399)]
+    texts = [f"{say(80)} {at} {t} {at} {say(80)}" for t in passages for at in "AB"] + [say(rng.randrange(60, 300)) for _ in passages]
+    got = {r.doc_id: r for r in repeats.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    sizes = [len(t.encode()) + 2 for t in passages]  # with the blanks around it
+    assert {399, 400, 401} <= set(sizes) and all(got[d].n_bytes == len(t.encode()) for d, t in enumerate(texts))
+    assert [got[d].n_removed for d in range(len(texts))] == [n * (n >= 400) for n in sizes for _ in (0, 1)] + [0] * len(passages)
+    kept = [t.replace(f" {passages[d // 2]} ", "") if d < 2 * len(passages) and sizes[d // 2] >= 400 else t for d, t in enumerate(texts)]
+    assert [got[d].kept_sha256 for d in range(len(texts))] == [hashlib.sha256(t.encode()).hexdigest() for t in kept]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 10, 97, 1000])
 def test_feistel_is_a_permutation(spark, n):
     got = sharding.place(spark.range(n).withColumnRenamed("id", "row"), "row", n, 3, "p")
